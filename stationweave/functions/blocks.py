@@ -42,7 +42,7 @@ def source_blocks(
                  F.count(F.lit(1)).alias("n_sources"),
                  F.min("lon").alias("lon0"), F.max("lon").alias("lon1"),
                  F.min("lat").alias("lat0"), F.max("lat").alias("lat1"))
-            .drop("_tx", "_ty", "_part"))
+            .withColumnRenamed("_part", "part").drop("_tx", "_ty"))
 
 
 def km_matrix(lon_a: np.ndarray, lat_a: np.ndarray, lon_b: np.ndarray, lat_b: np.ndarray) -> np.ndarray:

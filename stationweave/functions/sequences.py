@@ -16,7 +16,7 @@ from stationweave.functions.columns import hour_index
 CHUNK_HOURS = 24 * 28
 
 
-def _chunk(ts: Column, hours: int) -> Column:
+def chunk_of(ts: Column, hours: int) -> Column:
     return F.floor(hour_index(ts) / hours).cast("long")
 
 
@@ -59,7 +59,7 @@ def nearest_observed(
 ) -> DataFrame:
     """Add the closest non-null ``value`` strictly before and/or strictly after each row of its group."""
     keys = list(keys)
-    rows = df.withColumn("_chunk", _chunk(F.col(ts), chunk_hours))
+    rows = df.withColumn("_chunk", chunk_of(F.col(ts), chunk_hours))
     seen = F.when(F.col(value).isNotNull(), F.col(ts))
     chunks = rows.groupBy(*keys, "_chunk").agg(
         F.max_by(value, seen).alias("_last"), F.min_by(value, seen).alias("_first"))
@@ -94,7 +94,7 @@ def running_count(
 ) -> DataFrame:
     """Add the number of flagged rows of the group up to and including each row."""
     keys = list(keys)
-    rows = df.withColumn("_chunk", _chunk(F.col(ts), chunk_hours)).withColumn("_flag", flag.cast("long"))
+    rows = df.withColumn("_chunk", chunk_of(F.col(ts), chunk_hours)).withColumn("_flag", flag.cast("long"))
     over = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (rows.groupBy(*keys, "_chunk").agg(F.sum("_flag").alias("_n"))
                .select(*keys, "_chunk", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_offset")))

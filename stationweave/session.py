@@ -30,3 +30,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stationweave-checkpoint-"))
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Partition count for rows that one small table explodes into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
