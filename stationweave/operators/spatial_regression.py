@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
@@ -126,8 +127,7 @@ def bandwidth_cv(
     p = len(features) + 1
 
     @F.pandas_udf("double")
-    def error(coefficients, packed, yy):
-        import pandas as pd
+    def error(coefficients: pd.Series, packed: pd.Series, yy: pd.Series) -> pd.Series:
         out = []
         for b, m, y2 in zip(coefficients, packed, yy, strict=True):
             if b is None:
