@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column
+from pyspark.sql import types as T
 
 from stationweave.functions.columns import EARTH_RADIUS_KM
 
@@ -172,7 +173,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     return total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     """Shared area of two edge arrays flattened to [x1,y1,x2,y2,...], in the units of the coordinates."""
     return pd.Series([_overlap(np.asarray(p, float).reshape(-1, 4), np.asarray(q, float).reshape(-1, 4))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 
 def moments(features: Sequence[Column], target: Column, weight: Column | None = None) -> list[Column]:
@@ -25,12 +26,17 @@ def grouped_moments(
     target: Column,
     weight: Column | None = None,
     name: str = "moments",
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group with the packed sums as an array; partial sums are combined before the shuffle."""
+    """One row per group with the packed sums as an array; partial sums are combined before the shuffle.
+
+    ``extra`` adds further aggregates by name.
+    """
     sums = moments(features, target, weight)
     aliases = [f"_m{i}" for i in range(len(sums))]
-    return (df.groupBy(*keys).agg(*[s.alias(a) for s, a in zip(sums, aliases, strict=True)])
-            .select(*keys, F.array(*aliases).alias(name)))
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    return (df.groupBy(*keys).agg(*[s.alias(a) for s, a in zip(sums, aliases, strict=True)], *more)
+            .select(*keys, *(extra or {}), F.array(*aliases).alias(name)))
 
 
 def unpack(packed: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +64,7 @@ def solve_packed(packed: np.ndarray) -> np.ndarray | None:
     return np.linalg.lstsq(scaled, right / scale, rcond=1e-10)[0] / scale
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_moments(packed: pd.Series) -> pd.Series:
     """Solve one packed system per row; NULL where the sums are missing."""
     return pd.Series([None if m is None else solve_packed(m) for m in packed])

@@ -82,7 +82,7 @@ def grouped_statistics(
         found = grouped_quantiles(rows, keys, value, list(ordered.values()), max_distinct)
         picked = [F.col("quantiles")[i].alias(n) for i, n in enumerate(ordered)]
         out = out.join(found.select(*keys, *picked), keys, "left")
-    return out.select(*keys, *names)
+    return out.select(*keys, *[F.col(f"`{n}`") for n in names])
 
 
 def time_aggregate_wide(aggregate: DataFrame, pollutants: Sequence[str], functions: Sequence[str]) -> DataFrame:
@@ -90,7 +90,7 @@ def time_aggregate_wide(aggregate: DataFrame, pollutants: Sequence[str], functio
     keys = [c for c in ("station", "station_name", "date") if c in aggregate.columns]
     if len(pollutants) == 1:
         return aggregate.where(F.col("pollutant") == pollutants[0]).drop("pollutant")
-    columns = [F.max(F.when(F.col("pollutant") == p, F.col(f))).alias(f"{p}_{f}")
+    columns = [F.max(F.when(F.col("pollutant") == p, F.col(f"`{f}`"))).alias(f"{p}_{f}")
                for p in pollutants for f in functions]
     return aggregate.groupBy(*keys).agg(*columns)
 

@@ -24,16 +24,13 @@ GAP_CLASSES = (
 )
 # Gaps per panel cell of the reference evaluation (435 gaps over 23 064 cells).
 GAPS, PANEL_CELLS = 435, 23064
-MODULUS = 2147483647
 DRAWS_PER_TASK_ROW = 1000
 
 
-def uniform(index: Column, stream: int, seed: int) -> Column:
-    """Reproducible number in [0, 1) per index: integer arithmetic only, the same in any engine."""
-    a = F.pmod(index * 48271 + F.lit(seed * 7919 + stream * 104729 + 1), F.lit(MODULUS))
-    b = F.pmod(a * a + index + stream, F.lit(MODULUS))
-    c = F.pmod(b * 69621 + a, F.lit(MODULUS))
-    return F.pmod(c * c + b, F.lit(MODULUS)) / F.lit(float(MODULUS))
+def uniform(index: str, stream: int, seed: int) -> Column:
+    """Reproducible number in [0, 1) per index: the first 52 bits of a digest, the same in any engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), F.col(index).cast("string")))
+    return F.conv(F.left(digest, F.lit(13)), 16, 10).cast("bigint") / F.lit(2.0 ** 52)
 
 
 def _class_column(u: Column, pick: Callable[[tuple], Column]) -> Column:
@@ -56,43 +53,45 @@ def draw_gaps(cells: Column, scenarios: int, frame: DataFrame, seed: int) -> Dat
     """
     per = F.greatest(F.ceil(cells * GAPS / PANEL_CELLS), F.lit(1)).cast("long")
     step = DRAWS_PER_TASK_ROW
-    counted = frame.select(per.alias("_n")).withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))))
+    counted = frame.withColumn("_n", per).withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))))
     starts = counted.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(step).cast("long"))))
     draws = (starts.repartition(shuffle_width(frame.sparkSession), "scenario", "_s")
              .withColumn("gap", F.explode(F.sequence("_s", F.least(F.col("_s") + step, F.col("_n")) - 1)))
              .withColumn("_id", F.col("scenario") * F.col("_n") + F.col("gap")))
-    u = uniform(F.col("_id"), 1, seed)
-    low, high = (_class_column(u, lambda e, at=at: F.lit(e[at])) for at in (2, 3))
-    length = low + F.floor(uniform(F.col("_id"), 2, seed) * (high - low + 1))
-    return draws.select(F.col("scenario").cast("long"), "gap", "_id", length.cast("long").alias("length"))
+    drawn = draws.withColumns({n: uniform("_id", k, seed) for k, n in enumerate(("_kind", "_size", "_where"))})
+    low, high = (_class_column(F.col("_kind"), lambda e, at=at: F.lit(e[at])) for at in (2, 3))
+    sized = drawn.withColumns({"_low": low, "_high": high})
+    length = F.col("_low") + F.floor(F.col("_size") * (F.col("_high") - F.col("_low") + 1))
+    return sized.select(*frame.columns, F.col("scenario").cast("long"), "gap", "_where",
+                        length.cast("long").alias("length"))
 
 
 def longest_first(gaps: DataFrame) -> DataFrame:
     return gaps.orderBy("scenario", F.desc("length"), "gap")
 
 
-def inject_gaps(panel: DataFrame, scenarios: int, seed: int, ts: str = "ts") -> DataFrame:
-    """Mask (scenario, station, ts) over a complete hourly panel.
+def inject_gaps(observed: DataFrame, scenarios: int, seed: int, ts: str = "ts") -> DataFrame:
+    """Mask (scenario, station, ts) over the complete hourly panel of ``observed`` (whole days, every station).
 
-    A gap lies inside one station's hours; overlapping gaps merge, so the masked total varies.
+    A gap lies inside one station's hours; overlapping gaps merge, so the masked total varies. Only the station list
+    and the time range are read, not the panel itself.
     """
-    stations = panel.select("station").distinct()
+    stations = observed.select("station").distinct()
     indexed = dense_index(stations, "station", "_index", F.expr("left(station, length(station) - 3)"))
-    size = stations.agg(F.count(F.lit(1)).alias("_stations"))
-    span = panel.agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
-    frame = size.withColumn("_span", span.select(F.struct("_from", "_to")).scalar()).select(
-        "_stations", F.col("_span._from").alias("_from"),
-        (hour_index("_span._to") - hour_index("_span._from") + 1).alias("_hours"))
+    span = observed.agg(F.date_trunc("day", F.min(ts)).alias("_from"), F.date_trunc("day", F.max(ts)).alias("_to"))
+    hours = hour_index("_to") - hour_index("_from") + 24
+    count = stations.agg(F.count(F.lit(1))).scalar()
+    frame = span.select("_from", hours.alias("_hours")).withColumn("_stations", count)
     gaps = draw_gaps(F.col("_stations") * F.col("_hours"), scenarios, frame, seed)
-    facts = frame.select(F.struct("_stations", "_from", "_hours")).scalar()
-    rows = gaps.withColumn("_f", facts)
-    room = F.greatest(F.col("_f._hours") - F.col("length") + 1, F.lit(1))
-    position = F.floor(uniform(F.col("_id"), 3, seed) * (F.col("_f._stations") * room))
-    placed = rows.withColumns({"_index": F.floor(position / room), "_start": F.pmod(position, room)})
-    last = F.least(F.col("_start") + F.col("length"), F.col("_f._hours")) - 1
-    hours = placed.join(indexed, "_index").withColumn("_at", F.explode(F.sequence("_start", last)))
-    stamp = F.timestamp_seconds(F.unix_timestamp("_f._from") + F.col("_at") * 3600)
-    return hours.select("scenario", "station", stamp.alias(ts)).distinct()
+    room = F.greatest(F.col("_hours") - F.col("length") + 1, F.lit(1))
+    placed = gaps.withColumn("_room", room)
+    placed = placed.withColumn("_position", F.floor(F.col("_where") * (F.col("_stations") * F.col("_room"))))
+    placed = placed.withColumns({"_index": F.floor(F.col("_position") / F.col("_room")),
+                                 "_start": F.pmod("_position", "_room")})
+    last = F.least(F.col("_start") + F.col("length"), F.col("_hours")) - 1
+    spread = placed.join(indexed, "_index").withColumn("_at", F.explode(F.sequence("_start", last)))
+    stamp = F.timestamp_seconds(F.unix_timestamp("_from") + F.col("_at") * 3600)
+    return spread.select("scenario", "station", stamp.alias(ts)).distinct()
 
 
 def masked_panel(panel: DataFrame, mask: DataFrame, scenarios: int, value: str = "x", ts: str = "ts") -> DataFrame:
@@ -150,7 +149,6 @@ def gwr_fill(
     places = panel.select(*outer, "station", "lon", "lat").distinct()
 
     def local(names: list[str]) -> DataFrame:
-        # Written once: both directions are read again by the fill.
         return spatial_regression.gwr(features, places, target, names, bandwidth, outer)
     back = local(regression.backward_features(target, covariates))
     ahead = local(regression.forward_features(target, covariates)) if forward else None

@@ -49,55 +49,62 @@ def design(features: Sequence[str]) -> list[Column]:
 
 def gamma_glm(
     df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], link: str = "identity",
-    iterations: int = 25, tolerance: float = 1e-8,
+    iterations: int = 25, tolerance: float = 1e-6,
 ) -> DataFrame:
     """Gamma regression of every group at once: (keys, coefficients), intercept first.
 
     Iteratively reweighted least squares. Each pass is one aggregation of weighted cross products, combined map-side,
-    so a dominant group is summed by all tasks; only the p x p systems reach the solver. A fitted mean is not taken
-    below a tenth of its observation when weighting, which bounds the weights where R would halve the step.
+    so a dominant group is summed by all tasks; only the p x p systems reach the solver. The first pass is unweighted. A
+    fitted mean is not taken below a tenth of the group's mean, which bounds the weights of rows the identity link
+    would send to zero or below. Stops on the relative deviance change of the slowest group.
     """
     if link not in ("identity", "log"):
         raise ValueError(f"unknown link: {link}")
     keys = list(keys)
     ensure_checkpoint_dir(df.sparkSession)
     y, x = F.col(target), design(features)
-    rows = (df.select(*keys, target, *features).na.drop("any").where(y > 0)).persist()
+    rows = (df.select(*keys, target, *features).na.drop("any").where(y > 0)
+            .withColumn("_y", y)).persist()
     try:
-        start_weight, start_response = (1 / (y * y), y) if link == "identity" else (F.lit(1.0), F.log(y))
-        current = _solved(rows, keys, x, start_response, start_weight)
+        current = _solved(_shaped(rows, link, y), keys, x)
         for _ in range(iterations):
+            known = current.select(*keys, "coefficients", F.col("deviance").alias("_before"), "_mean")
+            joined = rows.join(known, keys) if keys else rows.withColumns({
+                c: known.select(c).scalar() for c in ("coefficients", "_before", "_mean")})
             eta = linear_predictor(F.col("coefficients"), x)
-            joined = rows.join(current, keys) if keys else rows.withColumn(
-                "coefficients", current.select("coefficients").scalar())
-            if link == "identity":
-                mu = F.greatest(eta, 0.1 * y)
-                response, weight = y, 1 / (mu * mu)
-            else:
-                response, weight = eta + (y - F.exp(eta)) / F.exp(eta), F.lit(1.0)
-            following = _solved(joined, keys, x, response, weight)
-            moved = _largest_move(current, following, keys)
-            current = following
+            current = _solved(_shaped(joined, link, y, eta), keys, x)
+            change = F.abs(F.col("deviance") - F.col("_before")) / (F.abs("deviance") + 0.1)
+            moved = current.agg(F.max(F.coalesce(change, F.lit(1.0)))).first()[0]
             if moved is None or moved < tolerance:
                 break
-        return current
+        return current.select(*keys, "coefficients")
     finally:
         rows.unpersist()
 
 
-def _solved(rows: DataFrame, keys: list[str], x: list[Column], response: Column, weight: Column) -> DataFrame:
-    shaped = rows.withColumns({"_z": response, "_w": weight})
-    sums = grouped_moments(shaped, keys, x, F.col("_z"), F.col("_w"))
-    return sums.select(*keys, solve_moments("moments").alias("coefficients")).checkpoint()
-
-
-def _largest_move(before: DataFrame, after: DataFrame, keys: list[str]) -> float | None:
-    """Largest relative coefficient change over all groups, as one number."""
-    a = before.select(*keys, F.col("coefficients").alias("_a"))
-    b = after.select(*keys, F.col("coefficients").alias("_b"))
-    both = a.join(b, keys) if keys else b.withColumn("_a", a.select("_a").scalar())
-    change = F.zip_with("_a", "_b", lambda p, q: F.abs(q - p) / (F.abs(p) + 1e-6))
-    return both.agg(F.max(F.array_max(change))).first()[0]
+def _shaped(rows: DataFrame, link: str, y: Column, eta: Column | None = None) -> DataFrame:
+    """Working response, weight and deviance contribution of every row; the first pass is plain least squares."""
+    if eta is None:
+        unknown = F.lit(None).cast("double")
+        return rows.withColumns({"_z": y if link == "identity" else F.log(y), "_w": F.lit(1.0), "_d": unknown,
+                                 "_before": unknown})
+    rows = rows.withColumn("_eta", eta)
+    eta = F.col("_eta")
+    if link == "identity":
+        rows = rows.withColumn("_mu", F.greatest(eta, 0.1 * F.col("_mean")))
+        response, weight = y, 1 / (F.col("_mu") * F.col("_mu"))
+    else:
+        rows = rows.withColumn("_mu", F.exp(eta))
+        response, weight = eta + (y - F.col("_mu")) / F.col("_mu"), F.lit(1.0)
+    ratio = y / F.col("_mu")
+    return rows.withColumns({"_z": response, "_w": weight, "_d": 2 * (ratio - 1 - F.log(ratio))})
+
+
+def _solved(rows: DataFrame, keys: list[str], x: list[Column]) -> DataFrame:
+    """Checkpointed solution per group, with the deviance of the coefficients it started from."""
+    sums = grouped_moments(rows, keys, x, F.col("_z"), F.col("_w"),
+                           extra={"deviance": F.sum("_d"), "_before": F.any_value("_before"), "_mean": F.avg("_y")})
+    return sums.select(*keys, solve_moments("moments").alias("coefficients"), "deviance", "_before", "_mean").checkpoint()
 
 
 def station_glm(panel: DataFrame, target: str, covariates: Sequence[str], keys: Sequence[str] = ("station",),

@@ -126,7 +126,7 @@ def bandwidth_cv(
     statistics = statistics.join(squares, "station")
     p = len(features) + 1
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def error(coefficients: pd.Series, packed: pd.Series, yy: pd.Series) -> pd.Series:
         out = []
         for b, m, y2 in zip(coefficients, packed, yy, strict=True):
