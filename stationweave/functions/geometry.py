@@ -164,7 +164,8 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
         t = (gap[..., 0] * db[None, :, 1] - gap[..., 1] * db[None, :, 0]) / cross
         u = (gap[..., 0] * da[:, None, 1] - gap[..., 1] * da[:, None, 0]) / cross
     met = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    xs = np.concatenate([a[:, 0], b[:, 0], (a[:, None, 0] + t * da[:, None, 0])[met], [left, right]])
+    row = np.nonzero(met)[0]
+    xs = np.concatenate([a[:, 0], b[:, 0], a[row, 0] + t[met] * da[row, 0], [left, right]])
     xs = np.unique(xs[(xs >= left) & (xs <= right)])
     total = 0.0
     for x0, x1 in zip(xs[:-1], xs[1:], strict=True):

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
-def moments(features: Sequence[Column], target: Column, weight: Column | None = None) -> list[Column]:
+def moments(features: Sequence[Column], target: Column, weight: Column) -> list[Column]:
     """Aggregates for the upper triangle of X'WX, then X'Wy, in row order."""
-    scaled = [f * weight for f in features] if weight is not None else list(features)
+    scaled = [f * weight for f in features]
     p = len(features)
     sums = [F.sum(scaled[i] * features[j]) for i in range(p) for j in range(i, p)]
     return sums + [F.sum(s * target) for s in scaled]
@@ -30,9 +30,16 @@ def grouped_moments(
 ) -> DataFrame:
     """One row per group with the packed sums as an array; partial sums are combined before the shuffle.
 
+    Rows with a NULL feature, target or weight do not count. They get no weight instead of being filtered out: a filter
+    over many derived columns makes the optimizer's constraint inference grow exponentially.
+
     ``extra`` adds further aggregates by name.
     """
-    sums = moments(features, target, weight)
+    complete = target.isNotNull()
+    for f in features:
+        complete = complete & f.isNotNull()
+    df = df.withColumn("_use", F.when(complete, F.lit(1.0) if weight is None else weight))
+    sums = moments(features, target, F.col("_use"))
     aliases = [f"_m{i}" for i in range(len(sums))]
     more = [c.alias(n) for n, c in (extra or {}).items()]
     return (df.groupBy(*keys).agg(*[s.alias(a) for s, a in zip(sums, aliases, strict=True)], *more)

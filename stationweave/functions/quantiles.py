@@ -24,14 +24,17 @@ def grouped_quantiles(
     probabilities: Sequence[float],
     max_distinct: int = MAX_DISTINCT,
     slices: int = SLICES,
+    count: str | None = None,
 ) -> DataFrame:
     """Interpolated (type 7) quantiles per group as the array column ``quantiles``; NULL values are skipped.
 
-    Groups without any value do not appear.
+    Groups without any value do not appear. ``count`` names the frequency column of a table that already has one row
+    per group and value.
     """
     keys = list(keys)
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    present = df.where(F.col(value).isNotNull())
+    counted = (present.select(*keys, F.col(value).alias("_v"), F.col(count).alias("_c")) if count else
+               present.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     # At most total/max_distinct groups can be large, so this side is safe to broadcast.
     large = (counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
              .where(F.col("_distinct") > max_distinct).select(*keys))

@@ -89,8 +89,7 @@ def sdem(panel: DataFrame, value: str = "x", ts: str = "ts", group: Sequence[str
 
 def fitted_weights(rows: DataFrame, keys: Sequence[str], value: str = "x") -> DataFrame:
     """No-intercept least-squares weights of the four regressors per key, from rows with nothing missing."""
-    complete = rows.na.drop("any", subset=[value, *REGRESSORS])
-    sums = grouped_moments(complete, keys, [F.col(r) for r in REGRESSORS], F.col(value))
+    sums = grouped_moments(rows, keys, [F.col(r) for r in REGRESSORS], F.col(value))
     return sums.select(*keys, solve_moments("moments").alias("weights"))
 
 

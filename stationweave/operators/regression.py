@@ -49,7 +49,7 @@ def design(features: Sequence[str]) -> list[Column]:
 
 def gamma_glm(
     df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], link: str = "identity",
-    iterations: int = 25, tolerance: float = 1e-6,
+    iterations: int = 25, tolerance: float = 1e-5,
 ) -> DataFrame:
     """Gamma regression of every group at once: (keys, coefficients), intercept first.
 
@@ -63,8 +63,12 @@ def gamma_glm(
     keys = list(keys)
     ensure_checkpoint_dir(df.sparkSession)
     y, x = F.col(target), design(features)
-    rows = (df.select(*keys, target, *features).na.drop("any").where(y > 0)
-            .withColumn("_y", y)).persist()
+    usable = F.lit(True)
+    for f in features:
+        usable = usable & F.col(f).isNotNull()
+    # A row that cannot be used keeps a NULL response, which removes it from every sum.
+    rows = df.select(*keys, *features, F.when(usable & (y > 0), y).alias("_y")).persist()
+    y = F.col("_y")
     try:
         current = _solved(_shaped(rows, link, y), keys, x)
         for _ in range(iterations):

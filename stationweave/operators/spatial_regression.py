@@ -23,8 +23,12 @@ SPACE_SHARE = 0.05
 
 def station_moments(rows: DataFrame, keys: Sequence[str], target: str, features: Sequence[str]) -> DataFrame:
     """Cross products per station (and further keys), with lon/lat: the only pass over the data."""
-    complete = rows.select(*keys, "lon", "lat", target, *features).na.drop("any")
-    return grouped_moments(complete, [*keys, "lon", "lat"], design(features), F.col(target))
+    return _known(grouped_moments(rows, [*keys, "lon", "lat"], design(features), F.col(target)))
+
+
+def _known(statistics: DataFrame) -> DataFrame:
+    """Stations with at least one complete row."""
+    return statistics.where(F.col("moments")[0].isNotNull())
 
 
 def _weighted_sums(
@@ -120,17 +124,16 @@ def bandwidth_cv(
     The error of a station under its neighbours' coefficients follows from its own cross products, so the data is
     read once for all candidates.
     """
-    complete = rows.select("station", "lon", "lat", target, *features).na.drop("any")
-    statistics = grouped_moments(complete, ["station", "lon", "lat"], design(features), F.col(target))
-    squares = complete.groupBy("station").agg(F.sum(F.col(target) * F.col(target)).alias("_yy"))
-    statistics = statistics.join(squares, "station")
+    y = F.col(target)
+    statistics = _known(grouped_moments(rows, ["station", "lon", "lat"], design(features), y,
+                                        extra={"_yy": F.sum(F.col("_use") * y * y)}))
     p = len(features) + 1
 
     @F.pandas_udf(T.DoubleType())
     def error(coefficients: pd.Series, packed: pd.Series, yy: pd.Series) -> pd.Series:
         out = []
         for b, m, y2 in zip(coefficients, packed, yy, strict=True):
-            if b is None:
+            if b is None or m is None or y2 is None:
                 out.append(None)
                 continue
             gram, right = unpack(np.asarray(m, float), p)

@@ -74,21 +74,21 @@ def observation_gaps(
 ) -> DataFrame:
     """Hours from every observed row to the next one; a group's first and last row count as observed.
 
-    Inside a calendar chunk the next row is a window lead; the last row of a chunk takes the first row of the next
-    non-empty chunk from a table with one row per chunk.
+    Only observed rows and the two ends of each group move. Inside a calendar chunk the next row is a window lead; the
+    last row of a chunk takes the first row of the next non-empty chunk from a table with one row per chunk.
     """
     keys = list(keys)
-    ends = df.groupBy(*keys).agg(F.min(ts).alias("_begin"), F.max(ts).alias("_end"))
-    observed = (df.select(*keys, ts, value).join(ends, keys)
-                .where(F.col(value).isNotNull() | (F.col(ts) == F.col("_begin")) | (F.col(ts) == F.col("_end")))
-                .select(*keys, ts)
+    ends = df.groupBy(*keys).agg(F.array(F.min(ts), F.max(ts)).alias("_ends")).select(*keys, F.explode("_ends").alias(ts))
+    observed = (df.where(F.col(value).isNotNull()).select(*keys, ts).unionByName(ends)
                 .withColumn("_chunk", chunk_of(F.col(ts), chunk_hours)))
     chunks = observed.groupBy(*keys, "_chunk").agg(F.min(ts).alias("_first"))
     following = chunks.select(
         *keys, "_chunk", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_after"))
     inner = Window.partitionBy(*keys, "_chunk").orderBy(ts)
+    # An observed end appears twice; the copy that leads to itself goes.
     return (observed.join(following, [*keys, "_chunk"])
             .withColumn("next_ts", F.coalesce(F.lead(ts).over(inner), F.col("_after")))
+            .where(F.col("next_ts").isNull() | (F.col("next_ts") > F.col(ts)))
             .select(*keys, ts, "next_ts", hours_between(F.col(ts), F.col("next_ts")).alias("gap_hours")))
 
 
@@ -96,13 +96,20 @@ def gap_length(
     df: DataFrame, keys: Sequence[str] = ("station", "pollutant"), ts: str = "ts", value: str = "x",
     chunk_hours: int = CHUNK_HOURS, max_distinct: int = MAX_DISTINCT,
 ) -> DataFrame:
-    """Distribution of the positive gaps per group."""
+    """Distribution of the positive gaps per group.
+
+    Everything follows from one table of gap lengths and their counts.
+    """
     keys = list(keys)
     gaps = observation_gaps(df, keys, ts, value, chunk_hours).where(F.col("gap_hours") > 0)
-    plain = gaps.groupBy(*keys).agg(
-        F.min("gap_hours").alias("min_gap"), F.round(F.avg("gap_hours"), 3).alias("mean_gap"),
-        F.max("gap_hours").alias("max_gap"), F.round(F.stddev_samp("gap_hours"), 3).alias("sd_gap"))
-    quartiles = grouped_quantiles(gaps, keys, "gap_hours", (0.25, 0.5, 0.75), max_distinct)
+    counted = gaps.groupBy(*keys, "gap_hours").agg(F.count(F.lit(1)).alias("_c"))
+    g, c = F.col("gap_hours"), F.col("_c")
+    n, total, square = F.sum(c), F.sum(c * g), F.sum(c * g * g)
+    spread = F.sqrt(F.greatest(F.try_divide(square - total * total / n, n - 1), F.lit(0.0)))
+    plain = counted.groupBy(*keys).agg(
+        F.min(g).alias("min_gap"), F.round(total / n, 3).alias("mean_gap"),
+        F.max(g).alias("max_gap"), F.round(F.when(n > 1, spread), 3).alias("sd_gap"))
+    quartiles = grouped_quantiles(counted, keys, "gap_hours", (0.25, 0.5, 0.75), max_distinct, count="_c")
     q = F.col("quantiles")
     return plain.join(quartiles, keys).select(
         *keys, "min_gap", q[0].alias("q25_gap"), "mean_gap", q[1].alias("median_gap"),
