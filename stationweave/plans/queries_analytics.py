@@ -237,10 +237,12 @@ def _(t: Tables) -> DataFrame:
     return panel.add_leads(t.panel, "x").drop("x")
 
 
-@query("locf", sql(
-    f"select station, pollutant, {stamp('ts')} as ts, {r('''coalesce(last_value(x ignore nulls) over (partition by station,
-    pollutant order by ts rows between unbounded preceding and current row), first_value(x ignore nulls) over (partition by
-    station, pollutant order by ts rows between current row and unbounded following))''')} as x from panel", "panel"))
+LOCF_SQL = ("coalesce(last_value(x ignore nulls) over (partition by station, pollutant order by ts rows between unbounded "
+            "preceding and current row), first_value(x ignore nulls) over (partition by station, pollutant order by ts rows "
+            "between current row and unbounded following))")
+
+
+@query("locf", sql(f"select station, pollutant, {stamp('ts')} as ts, {r(LOCF_SQL)} as x from panel", "panel"))
 def _(t: Tables) -> DataFrame:
     return panel.locf(t.panel, chunk_hours=24)
 
@@ -479,26 +481,37 @@ def decomposition_views(source: str, by: str = "pollutant") -> dict[str, str]:
 FIXED = "peer_mean + 0.5e0 * ew + 0.5e0 * ed + 0.5e0 * eh"
 
 
-def weight_views(by: str) -> dict[str, str]:
-    """Four-regressor least squares per key: sums, then one elimination step per view."""
-    names = ["peer_mean", "ew", "ed", "eh"]
-    sums = [f"sum({names[i]} * {names[j]}) as a{i}{j}" for i in range(4) for j in range(i, 4)]
-    sums += [f"sum({n} * x) as b{i}" for i, n in enumerate(names)]
-    views = {"s0": f"select {by}, {', '.join(sums)} from dec where x is not null and peer_mean is not null group by all"}
-    for k in range(3):
+def moment_sql(regressors: list[str], target: str) -> str:
+    """Sums of cross products, upper triangle, and of products with the target."""
+    p = len(regressors)
+    sums = [f"sum({regressors[i]} * {regressors[j]}) as a{i}{j}" for i in range(p) for j in range(i, p)]
+    return ", ".join(sums + [f"sum({x} * {target}) as b{i}" for i, x in enumerate(regressors)])
+
+
+def solve_views(by: str, p: int) -> dict[str, str]:
+    """Solve the sums in view s0 per key: one elimination step per view, then back substitution into k0."""
+    views = {}
+    for k in range(p - 1):
         made = [by]
-        for i in range(4):
-            for j in range(i, 4):
+        for i in range(p):
+            for j in range(i, p):
                 made.append(f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} as a{i}{j}" if i > k else f"a{i}{j}")
             made.append(f"b{i} - a{k}{i} * b{k} / a{k}{k} as b{i}" if i > k else f"b{i}")
         views[f"s{k + 1}"] = f"select {', '.join(made)} from s{k}"
-    views["k3"] = "select *, b3 / a33 as c3 from s3"
-    views["k2"] = "select *, (b2 - a23 * c3) / a22 as c2 from k3"
-    views["k1"] = "select *, (b1 - a12 * c2 - a13 * c3) / a11 as c1 from k2"
-    views["k0"] = "select *, (b0 - a01 * c1 - a02 * c2 - a03 * c3) / a00 as c0 from k1"
+    source = f"s{p - 1}"
+    for k in range(p - 1, -1, -1):
+        rest = "".join(f" - a{k}{j} * c{j}" for j in range(k + 1, p))
+        views[f"k{k}"] = f"select *, (b{k}{rest}) / a{k}{k} as c{k} from {source}"
+        source = f"k{k}"
     return views
 
 
+def weight_views(by: str) -> dict[str, str]:
+    """Four-regressor least squares per key."""
+    sums = moment_sql(["peer_mean", "ew", "ed", "eh"], "x")
+    return {"s0": f"select {by}, {sums} from dec where x is not null and peer_mean is not null group by all"} | solve_views(by, 4)
+
+
 def filled(estimate: str) -> str:
     return f"coalesce(x, case when {estimate} <= 0 then 0.01e0 else {estimate} end)"
 

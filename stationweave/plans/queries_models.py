@@ -9,7 +9,8 @@ from stationweave.operators import (
     aggregate, effects, evaluation, panel, recursion, regression, rolling, spatial_regression, stations,
 )
 from stationweave.plans.binding import COVARIATE, SECOND_COVARIATE, TARGET, Tables
-from stationweave.plans.queries_analytics import SCENARIOS, SEED
+from stationweave.plans.oracle_views import r, sql, stamp
+from stationweave.plans.queries_analytics import LOCF_SQL, SCENARIOS, SEED, moment_sql, solve_views
 from stationweave.plans.registry import query
 from stationweave.session import ensure_checkpoint_dir
 
@@ -101,7 +102,43 @@ def _(t: Tables) -> DataFrame:
     return recursion.forest_fill(rows, TARGET, names, positions).select("station", "ts", TARGET)
 
 
-@query("gwr")
+LOCAL = ["click_lag1", "click_lag2", "view"]
+LOCAL_VIEWS = {
+    "carried": f"select station, pollutant, ts, {LOCF_SQL} as x from panel",
+    "wd": "select station, ts, max(case when pollutant = 'click' then x end) as y, max(case when pollutant = 'view' then x end) as v "
+          "from carried group by 1, 2",
+    "ft": "select *, lag(y, 1) over (partition by station order by ts) as l1, lag(y, 2) over (partition by station order by ts) "
+          "as l2 from wd",
+    "pl": "select station, 5e0 + ((n * 37) % 100) / 100e0 as lon, 40e0 + ((n * 53) % 100) / 100e0 as lat from "
+          "(select distinct station, cast(substr(station, 2, 4) as int) as n from panel_obs) q",
+    "st": f"select station, sum(y * y) as yy, {moment_sql(['1e0', 'l1', 'l2', 'v'], 'y')} from ft "
+          "where l1 is not null and l2 is not null group by 1",
+}
+_SUMS = ", ".join([f"sum(w * a{i}{j}) as a{i}{j}" for i in range(4) for j in range(i, 4)] + [f"sum(w * b{i}) as b{i}" for i in range(4)])
+_SQUARED = "(pow(t.lon - u.lon, 2) + pow(t.lat - u.lat, 2))"
+GWR_VIEWS = LOCAL_VIEWS | {
+    "s0": f"select station, {_SUMS} from (select t.station, exp(-0.5e0 * {_SQUARED} / pow({BANDWIDTH}e0, 2)) as w, st.* exclude "
+          "(station) from pl t cross join st join pl u on u.station = st.station) q group by 1",
+} | solve_views("station", 4)
+
+
+def local_rows(t: Tables) -> DataFrame:
+    """Located target rows with two lags and a covariate, gaps carried forward."""
+    done = panel.locf(t.panel.where(F.col("pollutant").isin(TARGET, COVARIATE)))
+    wide = done.groupBy("station", "ts").agg(
+        *[F.max(F.when(F.col("pollutant") == p, F.col("x"))).alias(p) for p in (TARGET, COVARIATE)])
+    return panel.add_lags(stations.attach_covariates(wide, t.panel_place, ["lon", "lat"]), TARGET, ["station"], lags=(1, 2))
+
+
+@query("gwr", sql(" union all ".join(
+    f"select station, '{name}' as term, {r(f'c{i}')} as coefficient from k0"
+    for i, name in enumerate(["intercept", *LOCAL])), "panel", extra=GWR_VIEWS))
+def _(t: Tables) -> DataFrame:
+    local = spatial_regression.gwr(local_rows(t), t.panel_place.select("station", "lon", "lat"), TARGET, LOCAL, BANDWIDTH)
+    return terms(local, LOCAL, "station")
+
+
+@query("gwr_all_features")
 def _(t: Tables) -> DataFrame:
     base = warmed_panel(t)
     rows = panel.panel_features(base, TARGET, [COVARIATE])
@@ -119,10 +156,24 @@ def _(t: Tables) -> DataFrame:
     return terms(spatial_regression.gtwr(rows, places, TARGET, names), names, "station", "time")
 
 
-@query("bandwidth_cv")
+CANDIDATES = [0.2, 0.3, 0.478, 1.0]
+_GRAM = " + ".join(f"{1 if i == j else 2} * c{i} * c{j} * st.a{i}{j}" for i in range(4) for j in range(i, 4))
+_CROSS = " + ".join(f"c{i} * st.b{i}" for i in range(4))
+CV_VIEWS = LOCAL_VIEWS | {
+    "s0": f"select h, station, {_SUMS} from (select h, t.station, exp(-0.5e0 * {_SQUARED} / pow(h, 2)) as w, st.* exclude (station) "
+          "from (select unnest([0.2e0, 0.3e0, 0.478e0, 1e0]) as h) c cross join pl t cross join st join pl u "
+          "on u.station = st.station where u.station <> t.station) q group by 1, 2",
+} | solve_views("h, station", 4)
+
+
+@query("bandwidth_cv", sql(
+    f"select h as bandwidth, {r(f'sum(yy - 2 * ({_CROSS}) + {_GRAM}) / sum(yy)')} as cv_share from k0 join st using (station) group by 1",
+    "panel", extra=CV_VIEWS))
 def _(t: Tables) -> DataFrame:
-    rows = panel.panel_features(warmed_panel(t), TARGET, [COVARIATE])
-    return spatial_regression.bandwidth_cv(rows, TARGET, regression.lag_names(TARGET), [0.2, 0.3, 0.478, 1.0])
+    rows = local_rows(t)
+    total = rows.where(F.col("click_lag2").isNotNull()).agg(F.sum(F.col(TARGET) * F.col(TARGET))).scalar()
+    scores = spatial_regression.bandwidth_cv(rows, TARGET, LOCAL, CANDIDATES)
+    return scores.select("bandwidth", (F.col("cv_error") / total).alias("cv_share"))
 
 
 @query("recursive_impute")
@@ -130,7 +181,13 @@ def _(t: Tables) -> DataFrame:
     return recursion.glm_fill(warmed_panel(t), TARGET, [COVARIATE]).select("station", "ts", TARGET)
 
 
-@query("choose_forward_model")
+_LEADS = " and ".join(f'lead("{c}", {k}) over (partition by station order by ts) is not null'
+                     for c in (TARGET, COVARIATE) for k in (1, 2, 3))
+
+
+@query("choose_forward_model", sql(
+    f"select station, {stamp('ts')} as ts, forward from (select station, ts, click, {_LEADS} as forward from pw) q "
+    "where click is null", "pw"))
 def _(t: Tables) -> DataFrame:
     wide = aggregate.pivot_wider(t.panel, ["station", "ts"], "pollutant", [TARGET, COVARIATE], F.max("x"))
     rows = panel.panel_features(wide, TARGET, [COVARIATE])

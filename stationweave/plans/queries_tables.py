@@ -562,8 +562,9 @@ def _(t: Tables) -> DataFrame:
                                    for p in PARTS) + " from obs group by 1", "obs"))
 def _(t: Tables) -> DataFrame:
     kinds = t.obs.select("station", "pollutant", "averaging_time").distinct()
-    joined = F.nullif(F.array_join(F.array_sort(F.collect_list("averaging_time")), ", "), F.lit(""))
-    return aggregate.pivot_wider(kinds, ["station"], "pollutant", POLLUTANTS, joined)
+    lists = aggregate.pivot_wider(kinds, ["station"], "pollutant", POLLUTANTS, F.collect_list("averaging_time"))
+    return lists.select("station", *[
+        F.when(F.size(p) > 0, F.array_join(F.array_sort(p), ", ")).alias(p) for p in POLLUTANTS])
 
 
 @query("pivot_longer", sql(
