@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from stationweave.functions.columns import EARTH_RADIUS_KM
 
-BLOCK_ROWS = 256
 KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180
 
 
@@ -28,7 +27,7 @@ def source_blocks(
     identity: str,
     payload: Sequence[str],
     tile: float,
-    rows: int = BLOCK_ROWS,
+    rows: int,
 ) -> DataFrame:
     """Pack rows with lon/lat into blocks per (keys, tile); a crowded tile is split by a hash of its identity."""
     keys = list(keys)

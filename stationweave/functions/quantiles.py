@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 MAX_DISTINCT = 1_000_000
 SLICES = 256
@@ -51,29 +51,31 @@ def _sliced(rows: DataFrame, keys: list[str], probabilities: Sequence[float], sl
     rows = rows.join(bounds, keys).withColumn(
         "_slice", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
 
+    # One row per slice and group, so both windows see at most ``slices`` rows of a group.
     order = Window.partitionBy(*keys).orderBy("_slice")
     totals = (rows.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_n"))
-              .withColumn("_stop", F.sum("_n").over(order)))
-    sizes = totals.groupBy(*keys).agg(F.max("_stop").alias("_total"))
-    wanted = (sizes
-              .select(*keys, "_total", F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities]))
-                      .alias("_i", "_p"))
-              .withColumn("_h", (F.col("_total") - 1) * F.col("_p"))
-              .withColumn("_low", F.floor("_h"))
-              .withColumn("_rank", F.explode(F.array("_low", F.least(F.col("_low") + 1, F.col("_total") - 1)))))
-    targets = (totals.join(wanted, keys)
-               .where((F.col("_rank") >= F.col("_stop") - F.col("_n")) & (F.col("_rank") < F.col("_stop")))
-               .select(*keys, "_slice", (F.col("_stop") - F.col("_n")).alias("_start"), "_i", "_h", "_low", "_rank"))
+              .withColumns({"_stop": F.sum("_n").over(order), "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+              .withColumn("_start", F.col("_stop") - F.col("_n")))
+
+    def wanted(p: float) -> list[Column]:
+        """The two neighbouring ranks of a probability."""
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        low = F.floor(h)
+        return [F.struct(F.lit(float(p)).alias("p"), (h - low).alias("frac"), rank.alias("rank"))
+                for rank in (low, F.least(low + 1, F.col("_total") - 1))]
+    every = F.array(*[w for p in probabilities for w in wanted(p)])
+    targets = (totals.withColumn("_wanted", F.filter(
+        every, lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_stop"))))
+        .where(F.size("_wanted") > 0).select(*keys, "_slice", "_start", "_wanted"))
 
     within = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    ranked = (rows.join(targets.select(*keys, "_slice").distinct(), [*keys, "_slice"], "left_semi")
-              .withColumn("_end", F.sum("_c").over(within)))
-    picked = (ranked.join(targets, [*keys, "_slice"])
-              .where((F.col("_rank") - F.col("_start") >= F.col("_end") - F.col("_c"))
-                     & (F.col("_rank") - F.col("_start") < F.col("_end"))))
-    at = (picked.groupBy(*keys, "_i").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max(F.col("_h") - F.col("_low")).alias("_frac")))
+    ranked = (rows.join(targets, [*keys, "_slice"])
+              .withColumn("_end", F.col("_start") + F.sum("_c").over(within))
+              .withColumn("_hit", F.explode(F.filter("_wanted", lambda w: (w["rank"] < F.col("_end")) & (
+                  w["rank"] >= F.col("_end") - F.col("_c"))))))
+    at = ranked.groupBy(*keys, F.col("_hit.p").alias("_p")).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_hit.frac").alias("_frac"))
     blended = F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))
-    return (at.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("_i", blended.alias("_q")))).alias("_all"))
-            .select(*keys, F.transform("_all", lambda s: s["_q"]).alias("quantiles")))
+    found = F.map_from_entries(F.collect_list(F.struct("_p", blended)))
+    return (at.groupBy(*keys).agg(found.alias("_found"))
+            .select(*keys, F.array(*[F.col("_found")[F.lit(float(p))] for p in probabilities]).alias("quantiles")))

@@ -21,6 +21,7 @@ COARSE_STEP = 0.01
 SAME_PLACE_KM = 1e-9
 SIDE = 16  # lattice points per block side
 TILE = 1.0  # degrees per station tile
+STATION_ROWS = 256  # stations per block, on average
 
 CELL = ("i", "j", "x", "y")
 
@@ -149,7 +150,7 @@ def _nearest_blocks(reached: DataFrame, keys: list[str], blocks: DataFrame, nmax
 
 def _pairs(values: DataFrame, cells: DataFrame, keys: list[str], payload: Sequence[str],
            maxdist: float | None, nmax: int | None) -> DataFrame:
-    sources = source_blocks(values, keys, "station", payload, TILE)
+    sources = source_blocks(values, keys, "station", payload, TILE, STATION_ROWS)
     blocks = _target_blocks(cells)
     if nmax is None:
         return _reach(sources, blocks, maxdist).join(blocks.select("bx", "by", "targets"), ["bx", "by"])

@@ -75,8 +75,10 @@ def haversine(lon1, lat1, lon2, lat2):
     return 2 * 6371.0088 * math.asin(math.sqrt(a))
 
 
-@pytest.mark.parametrize("nmax,maxdist", [(None, None), (3, None), (None, 60.0), (2, 60.0)])
-def test_idw_brute_force(spark, nmax, maxdist):
+@pytest.mark.parametrize("nmax,maxdist,rows", [
+    (None, None, 256), (3, None, 256), (None, 60.0, 256), (2, 60.0, 256), (None, None, 4), (3, None, 4), (2, 60.0, 4)])
+def test_idw_brute_force(spark, monkeypatch, nmax, maxdist, rows):
+    monkeypatch.setattr(interpolate, "STATION_ROWS", rows)  # small blocks split every crowded tile
     rng = np.random.default_rng(3)
     places = [(f"S{i:03d}", round(float(x), 3), round(float(y), 3)) for i, (x, y) in enumerate(rng.uniform([9, 44], [13, 47], (60, 2)))]
     places.append(("S999", 10.5, 45.5))
