@@ -64,22 +64,21 @@ def nearest_observed(
     chunks = rows.groupBy(*keys, "_chunk").agg(
         F.max_by(value, seen).alias("_last"), F.min_by(value, seen).alias("_first"))
     # One row per chunk of the calendar, so this ordering is small for every group.
-    over = Window.partitionBy(*keys).orderBy("_chunk")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    after = over.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back in descending order: a frame that runs to the end of its partition is quadratic.
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = chunks.select(*keys, "_chunk",
                             F.last("_last", ignorenulls=True).over(before).alias("_carry_back"),
-                            F.first("_first", ignorenulls=True).over(after).alias("_carry_ahead"))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(ts)
+                            F.last("_first", ignorenulls=True).over(after).alias("_carry_ahead"))
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    inner_back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, -1)
     found = {}
     if previous:
         found[previous] = F.coalesce(
-            F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1)),
-            F.col("_carry_back"))
+            F.last(value, ignorenulls=True).over(inner), F.col("_carry_back"))
     if following:
         found[following] = F.coalesce(
-            F.first(value, ignorenulls=True).over(inner.rowsBetween(1, Window.unboundedFollowing)),
-            F.col("_carry_ahead"))
+            F.last(value, ignorenulls=True).over(inner_back), F.col("_carry_ahead"))
     return (rows.join(carried, [*keys, "_chunk"])
             .withColumns(found).drop("_chunk", "_carry_back", "_carry_ahead"))
 
