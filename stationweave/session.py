@@ -24,12 +24,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make a temporary one only where none is named."""
+    """Use the folder that ``spark.checkpoint.dir`` names.
+
+    Only a session whose executors are threads of this process may go without one; it gets a temporary folder. On a
+    cluster that would be the driver's own disk, which executors cannot share, so there the setting is asked for.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stationweave-checkpoint-"))
+    if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="stationweave-checkpoint-")
+    context.setCheckpointDir(named)
 
 
 def shuffle_width(spark: SparkSession) -> int:
