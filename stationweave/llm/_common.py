@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A side of a join is broadcast up to this many rows; it must then hold a few whole numbers a row.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """The side of a join, to be broadcast if a count shows that it is small; else the join shuffles it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def width(df: DataFrame) -> int:
     return shuffle_width(df.sparkSession)
 

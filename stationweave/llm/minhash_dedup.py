@@ -25,7 +25,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from stationweave.llm._common import prepare, width, written
+from stationweave.llm._common import prepare, small_side, width, written
 from stationweave.llm._components import components
 
 SKETCH = 64
@@ -59,6 +59,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed >> np.uint64(1)).astype(np.int64)
 
 
+def fingerprint(shingles: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(shingles.tobytes())
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     values = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
@@ -74,36 +78,24 @@ def features(docs: DataFrame, id_column: str, text_column: str, size: int, k: in
             sets = [shingle_hashes(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
+                 pa.array([fingerprint(s) for s in sets], pa.string()),
                  _lists([s[:k] for s in sets])], names=["_id", "_n", "_set", "_sketch"])
 
     return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t")).mapInArrow(
         run, f"_id {kind.simpleString()}, _n long, _set string, _sketch array<long>")
 
 
-def full_sets(docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    """``_set, _shingles``: the whole shingle set of each document, under its fingerprint."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(t, size) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), _lists(sets)],
-                names=["_set", "_shingles"])
-
-    return docs.select(F.col(text_column).alias("_t")).mapInArrow(run, "_set string, _shingles array<long>")
-
-
 def _posts(classes: DataFrame) -> DataFrame:
-    """Which class is found under which value: ``_v, _set``."""
-    values = classes.select("_set", F.explode("_sketch").alias("_v"))
+    """Which class is found under which value: ``_v, _node``."""
+    values = classes.select("_node", F.explode("_sketch").alias("_v"))
     hot = written(values.groupBy("_v").count().where(F.col("count") > HOT_LIST).select("_v"), "hot-values")
-    touched = values.join(hot, "_v").groupBy("_set").agg(F.collect_list("_v").alias("_hot"))
-    marked = classes.join(touched, "_set", "left")
+    touched = values.join(small_side(hot), "_v").groupBy("_node").agg(F.collect_list("_v").alias("_hot"))
+    marked = classes.select("_node", "_sketch").join(touched, "_node", "left")
     none = F.array().cast("array<bigint>")
     cold = F.array_except("_sketch", F.coalesce("_hot", none))
     mostly_hot = F.size(cold) * 8 < F.size("_sketch") * 5
     keys = F.array_distinct(F.concat(F.slice(cold, 1, KEYS), F.when(mostly_hot, F.slice("_sketch", 1, KEYS)).otherwise(none)))
-    return marked.select("_set", F.explode(keys).alias("_v"))
+    return marked.select("_node", F.explode(keys).alias("_v"))
 
 
 def _estimate(a: Column, b: Column, k: int) -> Column:
@@ -114,22 +106,41 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int,
                percent: int, k: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose full sets are alike enough."""
+    """The pairs ``a, b`` of classes whose full sets are alike enough.
+
+    The sketches of both sides drop most pairs. For the rest the two whole texts meet and their sets are counted.
+    """
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("_set").alias(name), F.col("_n").alias(f"n_{name}"), F.col("_sketch").alias(f"s_{name}"),
-                              F.col("_first").alias(f"d_{name}"))
+        return classes.select(F.col("_node").alias(name), F.col("_n").alias(f"n_{name}"), F.col("_sketch").alias(f"s_{name}"))
     near = (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .where(_estimate(F.col("s_a"), F.col("s_b"), k) >= percent / 100 - SLACK)
-            .select("a", "b", "n_a", "n_b", "d_a", "d_b"))
+            .where(_estimate(F.col("s_a"), F.col("s_b"), k) >= percent / 100 - SLACK).select("a", "b"))
     near = written(near, "candidates")
-    wanted = near.select(F.explode(F.array("d_a", "d_b")).alias(id_column)).distinct()
-    rows = docs.select(id_column, text_column).join(wanted, id_column, "left_semi")
-    sets = written(full_sets(rows, id_column, text_column, size).dropDuplicates(["_set"]), "full-sets")
-    both = (near.join(sets.select(F.col("_set").alias("a"), F.col("_shingles").alias("x")), "a")
-            .join(sets.select(F.col("_set").alias("b"), F.col("_shingles").alias("y")), "b"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    named = classes.select("_node", "_first", "_set")
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("_node")).distinct().join(named, "_node"), "wanted")
+    texts = docs.select(F.col(id_column).alias("_first"), F.col(text_column).alias("_text")).join(
+        small_side(wanted), "_first")
+    met = (near.join(texts.select(F.col("_node").alias("a"), F.col("_set").alias("set_a"), F.col("_text").alias("x")), "a")
+           .join(texts.select(F.col("_node").alias("b"), F.col("_set").alias("set_b"), F.col("_text").alias("y")), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            one, other = [], []
+            for row in batch.to_pylist():
+                # Rows of one b follow one another; an id may have several texts, of which one is the class's own.
+                if at != (row["b"], row["y"]):
+                    at, held = (row["b"], row["y"]), shingle_hashes(row["y"], size)
+                mine = shingle_hashes(row["x"], size)
+                if fingerprint(mine) != row["set_a"] or fingerprint(held) != row["set_b"]:
+                    continue
+                shared = len(np.intersect1d(mine, held, assume_unique=True))
+                if 100 * shared >= percent * (len(mine) + len(held) - shared):
+                    one.append(row["a"])
+                    other.append(row["b"])
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
+
+    return met.select("a", "b", "set_a", "set_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
@@ -158,11 +169,11 @@ def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
                 i, j = np.nonzero(fit)
                 keep = i < j if row["same"] else i < cut
                 for x, y in zip(i[keep].tolist(), (j[keep] + cut).tolist()):
-                    one.append(members[x]["_set"])
-                    other.append(members[y]["_set"])
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.string()), pa.array(other, pa.string())], names=["a", "b"])
+                    one.append(members[x]["_node"])
+                    other.append(members[y]["_node"])
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
 
-    return pairs.select("left", "right", "same").mapInArrow(run, "a string, b string")
+    return pairs.select("left", "right", "same").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5,
@@ -178,23 +189,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     prepare(docs.sparkSession)
     found = written(features(docs, id_column, text_column, shingle_words), "sketches")
+    # The number of a class is part of the written table, so it stays the same however often the table is read.
     classes = written(found.where("_n > 0").groupBy("_set").agg(
-        F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch")), "classes")
+        F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch"))
+        .withColumn("_node", F.monotonically_increasing_id()), "classes")
     named = classes.where("_first is not null")
     confirm = lambda pairs: _confirmed(pairs, named, docs, id_column, text_column, shingle_words, percent, SKETCH)
 
     posts = written(_posts(named), "posts")
-    heads = posts.groupBy("_v").agg(F.min("_set").alias("b"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    star = posts.join(heads, "_v").select(F.col("_set").alias("a"), "b").where("a <> b").distinct()
+    heads = posts.groupBy("_v").agg(F.min("_node").alias("b"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    star = posts.join(heads, "_v").select(F.col("_node").alias("a"), "b").where("a <> b").distinct()
     links = written(confirm(star), "links")
 
     roots = components(links)
-    placed = posts.join(heads.select("_v", "_c"), "_v").join(roots, F.col("_set") == F.col("node"), "left").select(
-        "_v", "_c", "_set", F.coalesce("root", "_set").alias("_root"))
+    placed = posts.join(heads.select("_v", "_c"), "_v").join(roots, F.col("_node") == F.col("node"), "left").select(
+        "_v", "_c", "_node", F.coalesce("root", "_node").alias("_root"))
     split = placed.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_v")
-    members = placed.join(split, "_v", "left_semi").join(named.select("_set", "_n", "_sketch"), "_set")
-    blocks = (members.withColumn("_block", F.pmod(F.xxhash64("_set"), F.ceil(F.col("_c") / BLOCK)))
-              .groupBy("_v", "_block").agg(F.collect_list(F.struct("_set", "_root", "_n", "_sketch")).alias("_members")))
+    members = placed.join(split, "_v", "left_semi").join(named.select("_node", "_n", "_sketch"), "_node")
+    blocks = (members.withColumn("_block", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_c") / BLOCK)))
+              .groupBy("_v", "_block").agg(F.collect_list(F.struct("_node", "_root", "_n", "_sketch")).alias("_members")))
     blocks = written(blocks, "blocks")
     met = blocks.select("_v", F.col("_block").alias("_i"), F.col("_members").alias("left")).join(
         blocks.select("_v", F.col("_block").alias("_j"), F.col("_members").alias("right")), "_v").where("_i <= _j")
@@ -204,11 +217,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = links.unionByName(confirm(crossed))
 
     roots = components(links)
-    lowest = (classes.join(roots, F.col("_set") == F.col("node"), "left")
-              .select("_set", "_first", F.coalesce("root", "_set").alias("_root")))
+    lowest = (classes.join(roots, F.col("_node") == F.col("node"), "left")
+              .select("_set", "_first", F.coalesce("root", "_node").alias("_root")))
     component = lowest.groupBy("_root").agg(F.min("_first").alias("component_id"))
     names = written(lowest.join(component, "_root").select("_set", "component_id"), "names")
-    result = found.join(names, "_set", "left").select(
+    result = found.select("_id", "_n", "_set").join(names, "_set", "left").select(
         F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"),
         F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_column), F.col("component_id").isNull()))
