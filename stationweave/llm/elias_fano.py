@@ -13,7 +13,7 @@ import numpy as np
 
 # Every so many values the position of its unary bit is kept, as 32 bits.
 SAMPLE = 256
-_HEAD = struct.Struct("<QBQQQ")
+_HEAD = "<QBQQQ"
 
 
 class EliasFano:
@@ -74,14 +74,14 @@ class EliasFano:
         return out
 
     def to_bytes(self) -> bytes:
-        head = _HEAD.pack(self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
+        head = struct.pack(_HEAD, self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
         return head + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes, at: int = 0) -> tuple[EliasFano, int]:
         """The sequence stored at ``at`` and the place after it; raises ValueError if the bytes end too early."""
-        n, low_bits, low, high, samples = _HEAD.unpack_from(data, at)
-        at += _HEAD.size
+        n, low_bits, low, high, samples = struct.unpack_from(_HEAD, data, at)
+        at += struct.calcsize(_HEAD)
         end = at + low + high + 4 * samples
         if end > len(data):
             raise ValueError("the coded sequence is cut off")

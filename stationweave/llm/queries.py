@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stationweave.llm import minhash_dedup
+from stationweave.llm import minhash_dedup, token_files, toxicity
 from stationweave.llm._common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+@_query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = token_files.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                     end_id=1, word_memo=True)
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
+    return scored.select("doc_id", "severity", (F.col("severity") >= toxicity.TOXIC_FROM).alias("toxic"),
+                         (F.col("severity") < toxicity.TOXIC_FROM).alias("kept"))

@@ -31,7 +31,8 @@ from stationweave.llm._common import prepare, scratch, width, worker_cache, writ
 from stationweave.llm.elias_fano import EliasFano
 
 MAGIC = b"SWTOK001"
-FOOTER = struct.Struct("<QQQqQQ8s")
+FOOTER = "<QQQqQQ8s"
+FOOTER_BYTES = struct.calcsize(FOOTER)
 # Ids read at once; a single longer document is read whole.
 SLICE_IDS = 1 << 21
 # Words whose ids a worker remembers.
@@ -140,7 +141,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id
         start = len(MAGIC) + int(ends[-1]) * encoder.id_bytes
         out.write(EliasFano.encode(ends).to_bytes())
         out.write(EliasFano.encode((known - least).astype(np.uint64)).to_bytes())
-        out.write(FOOTER.pack(int(ends[-1]), len(ends), len(ends) - len(known), least, start, encoder.id_bytes, MAGIC))
+        out.write(struct.pack(FOOTER, int(ends[-1]), len(ends), len(ends) - len(known), least, start, encoder.id_bytes, MAGIC))
         out.close()
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]),
@@ -157,13 +158,13 @@ class Shard:
         store, path = fs.FileSystem.from_uri(file)
         size = store.get_file_info(path).size
         self.source = store.open_input_file(path)
-        if size < len(MAGIC) + FOOTER.size or self.source.read_at(len(MAGIC), 0) != MAGIC:
+        if size < len(MAGIC) + FOOTER_BYTES or self.source.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"{file} is not a token shard")
-        footer = self.source.read_at(FOOTER.size, size - FOOTER.size)
-        self.ids, self.n, self.without, self.least, start, self.id_bytes, magic = FOOTER.unpack(footer)
+        footer = self.source.read_at(FOOTER_BYTES, size - FOOTER_BYTES)
+        self.ids, self.n, self.without, self.least, start, self.id_bytes, magic = struct.unpack(FOOTER, footer)
         if magic != MAGIC or start != len(MAGIC) + self.ids * self.id_bytes:
             raise ValueError(f"{file} is damaged")
-        coded = self.source.read_at(size - FOOTER.size - start, start)
+        coded = self.source.read_at(size - FOOTER_BYTES - start, start)
         self.ends, at = EliasFano.from_bytes(coded)
         self.named, at = EliasFano.from_bytes(coded, at)
         if self.ends.n != self.n or self.named.n != self.n - self.without or at != len(coded):

@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from stationweave.llm._common import prepare
 
 # Labelled rows a fit takes at most, of each class; chosen by a hash of the id.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 # Labelled rows a feature must occur in, and how many features are kept at most; neither depends on the corpus.
 FEATURE_ROWS = 5
-FEATURES = 20_000
+FEATURES = 4000
 STEM = 5
-GRADES = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -97,7 +96,7 @@ def graded(rows: list[tuple[Counter, int, int]]) -> np.ndarray:
     return grades
 
 
-def fit(rows: list[tuple[Counter, int]], grades: np.ndarray, penalty: float = 1e-4, steps: int = 400,
+def fit(rows: list[tuple[Counter, int]], grades: np.ndarray, penalty: float = 1e-4, steps: int = 200,
         rate: float = 0.3) -> SeverityModel:
     """Fit by full-batch Adam on the mean negative log-likelihood of the grades plus a ridge on the weights.
 
