@@ -10,9 +10,11 @@ How each guard holds at scale:
   document posts its first ``KEYS`` values that are not of this kind. Where such values are more than three eighths
   of the sketch, it posts its first ``KEYS`` values of any kind as well. Two documents at the threshold share about 85
   of 100 values of their joint sketch, so they miss each other with a chance below 1e-7.
-- Each list first compares its members with its smallest one only. Members already connected by that are not compared
-  again; lists that still hold several components are cut into blocks of ``BLOCK`` members and blocks meet in pairs, so
-  every remaining pair of a list is looked at, in bounded memory, and only pairs that the sketches support leave the task.
+- Each list first compares its members with a few leaders only. Members already connected by that are not compared again.
+  Lists that still hold several components are cut into blocks of ``BLOCK`` members and blocks meet in pairs, so every
+  remaining pair of a list is looked at in bounded memory. Of a list of up to ``HOT_LIST`` members the pairs that the
+  sketches support leave the task to be confirmed; in longer ones the full sets meet, and only links that connect
+  something new leave the task.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ SKETCH = 64
 KEYS = 12
 HOT_LIST = 64
 BLOCK = 128
+# Members of a list that the others are compared with first; one is enough for a list of up to FEW.
+LEADERS = 4
+FEW = 8
 # Six standard deviations of the estimate over 64 values at a similarity of 0.85.
 SLACK = 0.27
 
@@ -85,6 +90,23 @@ def features(docs: DataFrame, id_column: str, text_column: str, size: int, k: in
         run, f"_id {kind.simpleString()}, _n long, _set string, _sketch array<long>")
 
 
+def full_sets(docs: DataFrame, nodes: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
+    """``_node, _n, _values``: the whole sorted shingle set of each class in ``nodes``, from one of its texts."""
+    texts = docs.select(F.col(id_column).alias("_first"), F.col(text_column).alias("_text")).join(nodes, "_first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, size) for t in batch.column("_text").to_pylist()]
+            own = np.array([fingerprint(s) == f for s, f in zip(sets, batch.column("_set").to_pylist())], dtype=bool)
+            mask = pa.array(own, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_node").filter(mask), batch.column("_n").filter(mask),
+                 _lists([s for s, o in zip(sets, own) if o])], names=["_node", "_n", "_values"])
+
+    # Rows that repeat an id with the same text give the same set; one of them is enough.
+    return texts.select("_node", "_n", "_set", "_text").mapInArrow(run, "_node long, _n long, _values array<long>").dropDuplicates(["_node"])
+
+
 def _posts(classes: DataFrame) -> DataFrame:
     """Which class is found under which value: ``_v, _node``."""
     values = classes.select("_node", F.explode("_sketch").alias("_v"))
@@ -143,8 +165,45 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column:
     return met.select("a", "b", "set_a", "set_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in two blocks of one list whose sketches share enough values."""
+def shared_counts(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """Sizes of the intersections of all sets with those from number ``cut`` on; memory is bounded in slices of values."""
+    known, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.zeros((len(sets), len(sets) - cut), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for start in range(0, len(known), 1 << 14):
+        lo, hi = np.searchsorted(place, [start, start + (1 << 14)])
+        table = np.zeros((len(sets), 1 << 14), dtype=np.float32)
+        table[owner[lo:hi], place[lo:hi] - start] = 1
+        shared += table @ table[cut:].T
+    return shared
+
+
+def spanning(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """The pairs that connect something new, in order: no more than there are members."""
+    parent = list(range(size))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    kept = []
+    for x, y in pairs:
+        a, b = top(x), top(y)
+        if a != b:
+            parent[a] = b
+            kept.append((x, y))
+    return kept
+
+
+def _compare_blocks(pairs: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs of different components in two blocks of one list.
+
+    With ``whole`` the blocks hold full sets, the links are final and those that connect nothing new stay in the task.
+    Else they hold sketches and every pair that shares enough of them is returned as a candidate.
+    """
     need = percent / 100 - SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,22 +212,24 @@ def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
             for row in batch.to_pylist():
                 left, right = row["left"], row["right"]
                 members = left if row["same"] else left + right
-                sketch = [np.array(m["_sketch"], dtype=np.int64) for m in members]
-                known, place = np.unique(np.concatenate(sketch), return_inverse=True)
-                owner = np.repeat(np.arange(len(members)), [len(s) for s in sketch])
-                table = np.zeros((len(members), len(known)), dtype=np.float32)
-                table[owner, place] = 1
+                comp = np.array([m["_root"] for m in members])
+                if (comp == comp[0]).all():
+                    continue
+                sets = [np.array(m["_values"], dtype=np.int64) for m in members]
                 cut = 0 if row["same"] else len(left)
-                shared = table @ table[cut:].T
+                shared = shared_counts(sets, cut)
                 n = np.array([m["_n"] for m in members], dtype=np.float64)
-                held = np.array([len(s) for s in sketch], dtype=np.float64)
-                comp = np.array([m["_root"] for m in members])
-                fit = 100 * np.minimum.outer(n, n[cut:]) >= percent * np.maximum.outer(n, n[cut:])
-                fit &= shared >= need * np.minimum.outer(held, held[cut:])
+                if whole:
+                    fit = 100 * shared >= percent * (np.add.outer(n, n[cut:]) - shared)
+                else:
+                    held = np.array([len(s) for s in sets], dtype=np.float64)
+                    fit = 100 * np.minimum.outer(n, n[cut:]) >= percent * np.maximum.outer(n, n[cut:])
+                    fit &= shared >= need * np.minimum.outer(held, held[cut:])
                 fit &= comp[:, None] != comp[None, cut:]
                 i, j = np.nonzero(fit)
                 keep = i < j if row["same"] else i < cut
-                for x, y in zip(i[keep].tolist(), (j[keep] + cut).tolist()):
+                found = list(zip(i[keep].tolist(), (j[keep] + cut).tolist()))
+                for x, y in spanning(found, len(members)) if whole else found:
                     one.append(members[x]["_node"])
                     other.append(members[y]["_node"])
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
@@ -176,6 +237,17 @@ def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("left", "right", "same").mapInArrow(run, "a long, b long")
 
 
+def _meet(members: DataFrame, name: str) -> DataFrame:
+    """Cut lists into blocks and pair the blocks of each list: ``left, right, same``."""
+    blocks = (members.withColumn("_block", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_c") / BLOCK)))
+              .groupBy("_v", "_block").agg(F.collect_list(F.struct("_node", "_root", "_n", "_values")).alias("_members")))
+    blocks = written(blocks, name)
+    met = blocks.select("_v", F.col("_block").alias("_i"), F.col("_members").alias("left")).join(
+        blocks.select("_v", F.col("_block").alias("_j"), F.col("_members").alias("right")), "_v").where("_i <= _j")
+    return met.select("left", F.when(F.col("_i") < F.col("_j"), F.col("right")).alias("right"),
+                      (F.col("_i") == F.col("_j")).alias("same")).repartition(width(members))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per input row: ``<id_column>, n_shingles, component_id, kept``.
@@ -197,24 +269,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     confirm = lambda pairs: _confirmed(pairs, named, docs, id_column, text_column, shingle_words, percent, SKETCH)
 
     posts = written(_posts(named), "posts")
-    heads = posts.groupBy("_v").agg(F.min("_node").alias("b"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    star = posts.join(heads, "_v").select(F.col("_node").alias("a"), "b").where("a <> b").distinct()
+    leaders = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("_node", F.lit(i)).alias("h"), F.col("_node").alias("b")))["b"]
+                                         for i in range(LEADERS)]))
+    heads = posts.groupBy("_v").agg(leaders.alias("_leaders"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    heads = heads.withColumn("_leaders", F.when(F.col("_c") > FEW, F.col("_leaders")).otherwise(F.slice("_leaders", 1, 1)))
+    star = (posts.join(heads, "_v").select(F.col("_node").alias("a"), F.explode("_leaders").alias("b")).where("a <> b")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = written(confirm(star), "links")
 
     roots = components(links)
     placed = posts.join(heads.select("_v", "_c"), "_v").join(roots, F.col("_node") == F.col("node"), "left").select(
         "_v", "_c", "_node", F.coalesce("root", "_node").alias("_root"))
     split = placed.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_v")
-    members = placed.join(split, "_v", "left_semi").join(named.select("_node", "_n", "_sketch"), "_node")
-    blocks = (members.withColumn("_block", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_c") / BLOCK)))
-              .groupBy("_v", "_block").agg(F.collect_list(F.struct("_node", "_root", "_n", "_sketch")).alias("_members")))
-    blocks = written(blocks, "blocks")
-    met = blocks.select("_v", F.col("_block").alias("_i"), F.col("_members").alias("left")).join(
-        blocks.select("_v", F.col("_block").alias("_j"), F.col("_members").alias("right")), "_v").where("_i <= _j")
-    rest = met.select("left", F.when(F.col("_i") < F.col("_j"), F.col("right")).alias("right"),
-                      (F.col("_i") == F.col("_j")).alias("same")).repartition(width(docs))
-    crossed = _compare_blocks(rest, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_lists = written(placed.join(split, "_v", "left_semi"), "open-lists")
+    short = open_lists.where(F.col("_c") <= HOT_LIST).join(named.select("_node", "_n", F.col("_sketch").alias("_values")), "_node")
+    crossed = _compare_blocks(_meet(short, "blocks"), percent, whole=False).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(confirm(crossed))
+    long = open_lists.where(F.col("_c") > HOT_LIST)
+    if not long.isEmpty():
+        nodes = named.join(long.select("_node").distinct(), "_node", "left_semi").select("_node", "_first", "_set", "_n")
+        sets = full_sets(docs, small_side(written(nodes, "long-list-nodes")), id_column, text_column, shingle_words)
+        links = links.unionByName(_compare_blocks(_meet(long.join(sets, "_node"), "whole-blocks"), percent, whole=True))
 
     roots = components(links)
     lowest = (classes.join(roots, F.col("_node") == F.col("node"), "left")
@@ -229,8 +305,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5,
                percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns."""
-    kept = near_duplicates(docs, id_column, text_column, shingle_words, percent).where(~F.col("kept"))
-    gone = kept.select(F.col(id_column).alias("_gone"), F.col("component_id").alias("_of")).distinct()
-    # An id is dropped with all its rows unless one of them is kept; rows that share an id are read as one document.
-    return docs.join(gone, F.col(id_column).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns.
+
+    Rows are found again by their id: an id goes if none of its rows is kept. Of rows that repeat both id and text one
+    stays, and which one is open.
+    """
+    judged = written(near_duplicates(docs, id_column, text_column, shingle_words, percent).groupBy(id_column).agg(
+        F.max("kept").alias("_stays"), F.count_if("kept").alias("_times")).withColumnRenamed(id_column, "_judged"), "judged")
+    gone = judged.where(~F.col("_stays")).select("_judged")
+    again = judged.where("_times > 1").select("_judged")
+    match = F.col(id_column).eqNullSafe(F.col("_judged"))
+    left = docs.join(small_side(gone), match, "left_anti")
+    if again.isEmpty():
+        return left
+    repeated = small_side(again)
+    return left.join(repeated, match, "left_anti").unionByName(
+        left.join(repeated, match, "left_semi").dropDuplicates([id_column, text_column]))
