@@ -8,7 +8,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stationweave.llm import minhash_dedup, token_files, toxicity
+from stationweave.llm import decontamination, minhash_dedup, mixing, token_files, toxicity
 from stationweave.llm._common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
+        F.col("items").isNotNull().alias("contaminated"), F.col("items").isNull().alias("kept"))
+
+
 @_query
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
@@ -42,3 +51,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
     return scored.select("doc_id", "severity", (F.col("severity") >= toxicity.TOXIC_FROM).alias("toxic"),
                          (F.col("severity") < toxicity.TOXIC_FROM).alias("kept"))
+
+
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", "taken")

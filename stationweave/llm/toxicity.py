@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from stationweave.llm._common import prepare
+from stationweave.llm._common import prepare, written
 
 # Labelled rows a fit takes at most, of each class; chosen by a hash of the id.
 SAMPLE_ROWS = 4000
@@ -96,7 +96,7 @@ def graded(rows: list[tuple[Counter, int, int]]) -> np.ndarray:
     return grades
 
 
-def fit(rows: list[tuple[Counter, int]], grades: np.ndarray, penalty: float = 1e-4, steps: int = 200,
+def fit(rows: list[tuple[Counter, int]], grades: np.ndarray, penalty: float = 1e-4, steps: int = 500,
         rate: float = 0.3) -> SeverityModel:
     """Fit by full-batch Adam on the mean negative log-likelihood of the grades plus a ridge on the weights.
 
@@ -193,14 +193,18 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     picked = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t")).join(chosen, "_id")
     counted = picked.select("_id", "_y", "_t").mapInArrow(
         count, f"_id {kind}, _y int, names array<string>, counts array<int>, total long")
-    # Features of too few sampled rows go before anything reaches the driver.
-    pairs = counted.select("_id", "_y", "total", F.explode(F.arrays_zip("names", "counts")).alias("f")).select(
-        "_id", "_y", "total", F.col("f.names").alias("name"), F.col("f.counts").alias("n"))
-    common = pairs.groupBy("name").agg(F.countDistinct("_id").alias("rows")).where(F.col("rows") >= FEATURE_ROWS)
-    rows = (counted.select("_id", "_y", "total").join(
-        pairs.join(common.select("name"), "name", "left_semi").groupBy("_id").agg(
-            F.collect_list(F.struct("name", "n")).alias("features")), "_id", "left")
-        .orderBy("_id", "total").select("_y", "total", "features").toArrow().to_pylist())
+    pairs = written(counted.select("_id", "_y", "total", F.explode(F.arrays_zip("names", "counts")).alias("f")).select(
+        "_id", "_y", "total", F.col("f.names").alias("name"), F.col("f.counts").alias("n")), "word-counts")
+    heads = written(counted.select("_id", "_y", "total"), "labelled-rows")
+    mean = heads.agg(F.avg("_y")).first()[0] or 0.0
+    # The features whose rows differ most in label from the rest, ties by name; only those reach the driver.
+    telling = (pairs.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.sum("_y").alias("toxic"))
+               .where(F.col("rows") >= FEATURE_ROWS)
+               .orderBy(F.desc(F.abs(F.col("toxic") - mean * F.col("rows")) / F.sqrt("rows")), "name").limit(FEATURES))
+    features = pairs.join(telling.select("name"), "name", "left_semi").groupBy("_id", "total").agg(
+        F.collect_list(F.struct("name", "n")).alias("features"))
+    rows = (heads.join(features, ["_id", "total"], "left").orderBy("_id", "total").select("_y", "total", "features")
+            .toArrow().to_pylist())
     table = [(Counter({f["name"]: f["n"] for f in sorted(r["features"] or [], key=lambda x: x["name"])}), r["total"], r["_y"])
              for r in rows]
     return fit([(w, n) for w, n, _ in table], graded(table))
