@@ -30,6 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def uri_of(path: str) -> str:
+    """The path as a URI that file systems outside Spark read as well."""
+    if path.startswith("file:"):
+        return "file:///" + path[len("file:"):].lstrip("/")
+    return path if "://" in path else f"file://{path}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; a lost executor loses none of it."""
     spark = df.sparkSession

@@ -8,7 +8,8 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stationweave.llm import decontamination, minhash_dedup, mixing, token_files, toxicity
+from stationweave.llm import (decontamination, embedding_dedup, hilbert_shards, line_templates, minhash_dedup, mixing, quality,
+                              token_files, toxicity, warc)
 from stationweave.llm._common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,40 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+@_query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@_query
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    cleaned = line_templates.drop_recurring(docs, dropped="n_dropped")
+    n_lines = F.when(F.col("before").isNull(), 0).otherwise(F.size(F.split("before", "\n"))).cast("long")
+    return cleaned.select("doc_id", n_lines.alias("n_lines"), "n_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+ORACLES["op6_line_templates"] = line_templates.SQL
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.document_shards(_table(spark, sf_dir, "documents"), shards=16).withColumns(
+        {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@_query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality.train(docs, labels.where(~held_out))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 
-from stationweave.llm._common import prepare, scratch, width, worker_cache, written
+from stationweave.llm._common import prepare, scratch, uri_of, width, worker_cache, written
 from stationweave.llm.elias_fano import EliasFano
 
 MAGIC = b"SWTOK001"
@@ -217,8 +217,5 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
 def token_table(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write the shards of ``docs`` to a fresh shared folder and read them back."""
-    folder = scratch(docs.sparkSession, "token-shards")
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file://" + uri[len("file:"):]
-    return read_token_shards(write_token_shards(docs, tokenizer_path, uri, **options))
+    folder = uri_of(scratch(docs.sparkSession, "token-shards"))
+    return read_token_shards(write_token_shards(docs, tokenizer_path, folder, **options))
