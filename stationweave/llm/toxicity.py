@@ -96,8 +96,8 @@ def graded(rows: list[tuple[Counter, int, int]]) -> np.ndarray:
     return grades
 
 
-def fit(rows: list[tuple[Counter, int]], grades: np.ndarray, penalty: float = 1e-4, steps: int = 500,
-        rate: float = 0.3) -> SeverityModel:
+def fit(rows: list[tuple[Counter, int]], grades: np.ndarray, penalty: float = 1e-4, steps: int = 800,
+        rate: float = 0.03) -> SeverityModel:
     """Fit by full-batch Adam on the mean negative log-likelihood of the grades plus a ridge on the weights.
 
     Thresholds are a first one plus positive gaps, so they stay in order. Inputs are scaled to a typical share of 1 %.
