@@ -35,13 +35,13 @@ def grouped_quantiles(
     present = df.where(F.col(value).isNotNull())
     counted = (present.select(*keys, F.col(value).alias("_v"), F.col(count).alias("_c")) if count else
                present.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    # At most total/max_distinct groups can be large, so this side is safe to broadcast.
+    # Usually empty or short; whether it is broadcast is left to its size at run time.
     large = (counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
              .where(F.col("_distinct") > max_distinct).select(*keys))
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    direct = (counted.join(F.broadcast(large), keys, "left_anti")
+    direct = (counted.join(large, keys, "left_anti")
               .groupBy(*keys).agg(F.percentile("_v", probs, F.col("_c")).alias("quantiles")))
-    rows = counted.join(F.broadcast(large), keys, "left_semi")
+    rows = counted.join(large, keys, "left_semi")
     return direct.unionByName(_sliced(rows, keys, probabilities, slices))
 
 

@@ -12,6 +12,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from stationweave.functions.columns import hour_index
+from stationweave.session import ensure_checkpoint_dir
 
 CHUNK_HOURS = 24 * 28
 
@@ -103,14 +104,19 @@ def running_count(
             .drop("_chunk", "_flag", "_offset"))
 
 
-def dense_index(df: DataFrame, column: str, name: str, bucket: Column) -> DataFrame:
-    """Number the values of a unique column 0..n-1 by (bucket, value) without ordering them all in one task."""
-    rows = df.withColumn("_bucket", bucket)
-    over = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket: the only unpartitioned ordering.
-    offsets = (rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-               .select("_bucket", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_offset")))
-    inner = Window.partitionBy("_bucket").orderBy(column)
-    return (rows.join(offsets, "_bucket")
-            .withColumn(name, F.row_number().over(inner) - 1 + F.col("_offset"))
-            .drop("_bucket", "_offset"))
+def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Number the values of a unique column 0..n-1 in their order without ordering them all in one task.
+
+    Rows are dealt by ranges and numbered inside each; ranges are shifted by the counts before them. The checkpoint keeps
+    the ranges the same for both.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = (df.repartitionByRange(column).sortWithinPartitions(column)
+             .withColumn("_at", F.monotonically_increasing_id()).checkpoint())
+    rows = dealt.withColumns({"_range": F.shiftright("_at", 33), "_inside": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    # One row per range: the only unpartitioned ordering.
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_range", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_offset")))
+    return (rows.join(offsets, "_range").withColumn(name, F.col("_inside") + F.col("_offset"))
+            .drop("_at", "_range", "_inside", "_offset"))

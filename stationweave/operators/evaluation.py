@@ -77,7 +77,7 @@ def inject_gaps(observed: DataFrame, scenarios: int, seed: int, ts: str = "ts")
     and the time range are read, not the panel itself.
     """
     stations = observed.select("station").distinct()
-    indexed = dense_index(stations, "station", "_index", F.expr("left(station, length(station) - 3)"))
+    indexed = dense_index(stations, "station", "_index")
     span = observed.agg(F.date_trunc("day", F.min(ts)).alias("_from"), F.date_trunc("day", F.max(ts)).alias("_to"))
     hours = hour_index("_to") - hour_index("_from") + 24
     count = stations.agg(F.count(F.lit(1))).scalar()

@@ -79,7 +79,7 @@ def _reach(sources: DataFrame, blocks: DataFrame, maxdist: float | None) -> Data
     """One row per (source block, lattice block it may serve), ready for the equi-join on the lattice block.
 
     Without a distance limit every lattice block is served. With one, only the blocks within the exact longitude and
-    latitude reach of the source block.
+    latitude reach of the source block, also where that leads over the date line.
     """
     span = blocks.agg(F.struct(
         F.min("bx").alias("bx0"), F.max("bx").alias("bx1"), F.min("by").alias("by0"), F.max("by").alias("by1"),
@@ -97,15 +97,20 @@ def _reach(sources: DataFrame, blocks: DataFrame, maxdist: float | None) -> Data
 
         def block(value: Column, origin: str) -> Column:
             return F.floor((value - F.col(f"_s.{origin}")) / F.col("_s.step") / SIDE)
-        low_x = F.greatest(low_x, block(F.col("lon0") - wide, "gx0") - 1)
-        high_x = F.least(high_x, block(F.col("lon1") + wide, "gx0") + 1)
+        # The reach is a longitude interval on a circle: its copies one turn to either side are cut to the lattice too.
+        spans = [(F.greatest(low_x, block(F.col("lon0") - wide + turn, "gx0") - 1),
+                  F.least(high_x, block(F.col("lon1") + wide + turn, "gx0") + 1)) for turn in (-360.0, 0.0, 360.0)]
         low_y = F.greatest(low_y, block(F.col("lat0") - degrees, "gy0") - 1)
         high_y = F.least(high_y, block(F.col("lat1") + degrees, "gy0") + 1)
-    return (rows.withColumns({"_ax": low_x, "_bx": high_x, "_ay": low_y, "_by": high_y})
-            .where((F.col("_ax") <= F.col("_bx")) & (F.col("_ay") <= F.col("_by")))
-            .withColumn("bx", F.explode(F.sequence("_ax", "_bx")))
+    else:
+        spans = [(low_x, high_x)]
+    columns = F.array_distinct(F.concat(*[
+        F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")) for low, high in spans]))
+    return (rows.withColumns({"_xs": columns, "_ay": low_y, "_by": high_y})
+            .where((F.size("_xs") > 0) & (F.col("_ay") <= F.col("_by")))
+            .withColumn("bx", F.explode("_xs"))
             .withColumn("by", F.explode(F.sequence("_ay", "_by")))
-            .drop("_s", "_ax", "_bx", "_ay", "_by"))
+            .drop("_s", "_xs", "_ay", "_by"))
 
 
 def _gap(a0: str, a1: str, b0: str, b1: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,6 +19,9 @@ from stationweave.operators.panel import LAGS, LEADS
 from stationweave.session import ensure_checkpoint_dir
 
 
+PASSES = 25
+
+
 def lag_names(column: str, lags: Sequence[int] = LAGS) -> list[str]:
     return [f"{column}_lag{k}" for k in lags]
 
@@ -49,14 +53,15 @@ def design(features: Sequence[str]) -> list[Column]:
 
 def gamma_glm(
     df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], link: str = "identity",
-    iterations: int = 25, tolerance: float = 1e-5,
+    iterations: int = PASSES, tolerance: float = 1e-5,
 ) -> DataFrame:
     """Gamma regression of every group at once: (keys, coefficients), intercept first.
 
     Iteratively reweighted least squares. Each pass is one aggregation of weighted cross products, combined map-side,
     so a dominant group is summed by all tasks; only the p x p systems reach the solver. The first pass is unweighted. A
     fitted mean is not taken below a tenth of the group's mean, which bounds the weights of rows the identity link
-    would send to zero or below. Stops on the relative deviance change of the slowest group.
+    would send to zero or below. Stops on the relative deviance change of the slowest group; groups without a solution
+    count as settled. If ``iterations`` passes don't settle every group, a warning says how many are left.
     """
     if link not in ("identity", "log"):
         raise ValueError(f"unknown link: {link}")
@@ -78,9 +83,13 @@ def gamma_glm(
             eta = linear_predictor(F.col("coefficients"), x)
             current = _solved(_shaped(joined, link, y, eta), keys, x)
             change = F.abs(F.col("deviance") - F.col("_before")) / (F.abs("deviance") + 0.1)
-            moved = current.agg(F.max(F.coalesce(change, F.lit(1.0)))).first()[0]
-            if moved is None or moved < tolerance:
+            # A group without a solution has nothing that could still move.
+            change = F.when(F.col("coefficients").isNull(), 0.0).otherwise(F.coalesce(change, F.lit(1.0)))
+            moving = current.agg(F.count_if(change >= tolerance)).first()[0]
+            if not moving:
                 break
+        else:
+            warnings.warn(f"{moving} groups still move after {iterations} passes", stacklevel=2)
         return current.select(*keys, "coefficients")
     finally:
         rows.unpersist()
@@ -137,7 +146,9 @@ def pooled_glm(
     rows = df.select(*used).na.drop("any").where(F.col(target) > 0)
     stages, names = _assembled(rows, features, factor)
     ready = reduce(lambda d, s: s.transform(d), stages, rows).select(F.col(target).alias("label"), "features")
-    fit = GeneralizedLinearRegression(family="gamma", link=link, maxIter=25, tol=1e-8, regParam=ridge).fit(ready)
+    fit = GeneralizedLinearRegression(family="gamma", link=link, maxIter=PASSES, tol=1e-8, regParam=ridge).fit(ready)
+    if fit.hasSummary and fit.summary.numIterations >= PASSES:
+        warnings.warn(f"the pooled fit still moves after {PASSES} passes", stacklevel=2)
     return fit, names
 
 

@@ -71,6 +71,20 @@ def resolve_zone(zones: DataFrame, level: int, names: Sequence[str], stations: D
     return found.where(F.col("_zone").isNotNull()).select("asked", F.col("_zone").alias("zone_id"))
 
 
+def known_zones(zone_ids: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Raise when none of the requested names was resolved, warn when some were not; ``zone_ids`` otherwise.
+
+    What is collected is never longer than the request.
+    """
+    found = {r[0] for r in zone_ids.select("asked").distinct().collect()}
+    absent = [n for n in names if n not in found]
+    if len(absent) == len(names):
+        raise ValueError(f"no requested zone is known: {sorted(absent)}")
+    if absent:
+        warnings.warn(f"zones not known: {sorted(absent)}", stacklevel=2)
+    return zone_ids
+
+
 def select_by_zone(stations: DataFrame, column: str, zone_ids: DataFrame) -> DataFrame:
     """Stations whose zone attribute is among the resolved ids."""
     ids = zone_ids.select(F.col("zone_id").alias(column)).distinct()

@@ -35,7 +35,7 @@ def get_measurements(
     quadrant: Sequence[tuple[float, float]] | None = None,
     polygon: Sequence[tuple[float, float]] | None = None,
 ) -> Measurements:
-    """Wide measurements of the stations in a zone, a quadrant (two corners or a hull) or a polygon.
+    """Wide measurements of the stations in a zone, a quadrant (two corners or a hull) or a polygon, in no order.
 
     ``start`` and ``end`` are both years or both ISO dates. ``master`` has one row per sampling point.
     """
@@ -52,7 +52,7 @@ def get_measurements(
         if zones_table is None or zone_level is None:
             raise ValueError("a zone request needs zones_table and zone_level")
         level = level_number(zone_level)
-        ids = selection.resolve_zone(zones_table, level, zone_names, master)
+        ids = selection.known_zones(selection.resolve_zone(zones_table, level, zone_names, master), zone_names)
         chosen = selection.select_by_zone(chosen, ZONE_COLUMN[level], ids)
         zone_df = zones_table.where(F.col("level") == level).join(ids.select("zone_id"), "zone_id", "left_semi")
     else:
@@ -73,7 +73,7 @@ def get_measurements(
             else selection.filter_dates(rows, start, end))
     wide = aggregate.pivot_measurements(rows, available)
     named = stations.attach_station_name(wide, chosen)
-    return Measurements(aggregate.sort_station_time(named), tuple(available), zone_level,
+    return Measurements(named, tuple(available), zone_level,
                         tuple(zone_names or ()), zone_df)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
@@ -27,12 +28,28 @@ EXTRACT_COLUMNS = {
 def scan_measurements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Long measurements from many CSV extracts or Parquet folders; files may lack optional columns.
 
-    All CSV paths form one scan. Columns are matched by header name, so drifted files are safe.
+    CSV files with the same header form one scan, however many they are; one job finds the headers of all files. Columns
+    are matched by header name, so drifted files are safe.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     if all(p.rstrip("/").endswith(".parquet") for p in listed):
         return _to_contract(spark.read.option("mergeSchema", True).parquet(*listed))
-    return union_by_name([_to_contract(spark.read.option("header", True).csv(p)) for p in listed])
+    frames = []
+    for header, files in _headers(spark, listed):
+        names = next(csv.reader([header.removeprefix("\ufeff")]))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        frames.append(_to_contract(spark.read.schema(schema).option("header", True).csv(files)))
+    return union_by_name(frames)
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, list[str]]]:
+    """Distinct headers and their files. A header is the first line of its file; the list is as long as the paths' files."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = (lines.where(F.col("at") == 0).withColumn("row", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("value", "row").alias("header")))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(r.header, r.files) for r in found if r.header]
 
 
 def _to_contract(raw: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_running_count_and_dense_index(panel, panel_frame):
     got = running_count(panel, ["station"], "ts", F.col("x").isNull(), "n", 10).toPandas().sort_values(["station", "ts"])
     want = panel_frame["x"].isna().groupby(panel_frame["station"]).cumsum()
     assert (got["n"].to_numpy() == want.to_numpy()).all()
-    index = dense_index(panel.select("station").distinct(), "station", "i", F.expr("left(station, 1)"))
+    index = dense_index(panel.select("station").distinct(), "station", "i")
     assert sorted(r["i"] for r in index.collect()) == [0, 1, 2]
 
 
@@ -134,6 +134,24 @@ def test_station_glm_matches_irls_and_mllib(regression_rows):
     assert np.allclose(log, regression.pooled_coefficients(model), atol=1e-4)
 
 
+def test_station_glm_stops_with_an_empty_station(regression_rows, monkeypatch, recwarn):
+    """A station without a usable row doesn't keep the passes going, and too few passes are told."""
+    _, df = regression_rows
+    passes = []
+    solved = regression._solved
+    monkeypatch.setattr(regression, "_solved", lambda *a: passes.append(1) or solved(*a))
+    plain = {r["station"]: r["coefficients"] for r in regression.gamma_glm(df, ["station"], "y", ["a", "b"]).collect()}
+    alone, passes[:] = len(passes), []
+    empty = df.limit(3).withColumns({"station": F.lit("none"), "y": F.lit(None).cast("double")})
+    with_empty = {r["station"]: r["coefficients"] for r in regression.gamma_glm(df.unionByName(empty), ["station"], "y", ["a", "b"]).collect()}
+    assert len(passes) == alone
+    assert with_empty.pop("none") is None and set(with_empty) == set(plain)
+    assert all(list(with_empty[k]) == pytest.approx(list(plain[k])) for k in plain)
+    assert not [w for w in recwarn if "still move" in str(w.message)]
+    with pytest.warns(UserWarning, match="still move"):
+        regression.gamma_glm(df, ["station"], "y", ["a", "b"], iterations=1, tolerance=1e-14)
+
+
 def test_gwr_brute_force_and_wide_bandwidth(regression_rows):
     table, df = regression_rows
     places = df.select("station", "lon", "lat").distinct()

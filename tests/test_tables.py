@@ -229,3 +229,45 @@ def test_request_flow(spark):
         workflows.get_measurements(df, master, ["pm"], 2024, "2024-02-01", zs, "NUTS1", ["XX1"])
     with pytest.raises(ValueError):
         workflows.get_measurements(df, master, ["pm"], 2024, 2024)
+
+
+def test_distance_limit_over_the_date_line(spark):
+    """A grid point and a station 22 km apart on both sides of 180 degrees see each other."""
+    from stationweave.operators import interpolate
+    values = spark.createDataFrame([("A", "d", 179.9, 0.0, 5.0), ("B", "d", -170.0, 0.0, 9.0)],
+                                   "station string, date string, lon double, lat double, x double")
+    cells = spark.createDataFrame([(0, 0, -179.9, 0.0, -179.9, 0.0, 0.1), (1, 0, -179.8, 0.0, -179.9, 0.0, 0.1)],
+                                  "i long, j long, x double, y double, gx0 double, gy0 double, step double")
+    blocks = interpolate._target_blocks(cells)
+    sources = interpolate.source_blocks(values, ["date"], "station", ["x"], interpolate.TILE, interpolate.STATION_ROWS)
+    served = interpolate._reach(sources, blocks, 50.0).collect()
+    assert [r.lon0 for r in served] == [179.9]
+
+
+def test_many_files_of_one_header_are_one_scan(spark, tmp_path):
+    from stationweave.sources.readers import scan_measurements
+    head = "AirQualityStationEoICode,AirPollutant,Concentration,AveragingTime,DatetimeBegin,DatetimeEnd"
+    for i in range(40):
+        (tmp_path / f"f{i}.csv").write_text(f"{head}\nS{i},NO2,{i}.5,hour,2024-01-01 00:00:00,2024-01-01 01:00:00\n")
+    (tmp_path / "g.csv").write_text("Concentration,AirQualityStationEoICode\n7.5,S99\n")
+    df = scan_measurements(spark, [str(p) for p in tmp_path.iterdir()])
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    assert sorted((r.station, r.concentration) for r in df.collect()) == sorted([(f"S{i}", i + 0.5) for i in range(40)] + [("S99", 7.5)])
+
+
+def test_unknown_zones_warn_or_fail(spark):
+    import pytest
+    from stationweave.operators import selection
+    zones = spark.createDataFrame([(2, "Z1", "One", "XX")], "level int, zone_id string, zone_name string, country_code string")
+    with pytest.warns(UserWarning, match="Two"):
+        found = selection.known_zones(selection.resolve_zone(zones, 2, ["One", "Two"]), ["One", "Two"])
+    assert [r.zone_id for r in found.collect()] == ["Z1"]
+    with pytest.raises(ValueError):
+        selection.known_zones(selection.resolve_zone(zones, 2, ["Two"]), ["Two"])
+
+
+def test_dense_index_follows_the_order_of_ids(spark):
+    from stationweave.functions.sequences import dense_index
+    ids = [f"{p}{i}" for p in ("A", "BB", "") for i in range(30)] + ["", "x" * 9]
+    got = {r.k: r.n for r in dense_index(spark.createDataFrame([(i,) for i in ids], "k string").repartition(6), "k", "n").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(ids))}
