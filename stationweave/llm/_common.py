@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from stationweave.session import configure, ensure_checkpoint_dir, shuffle_width
 
 # A batch handed to Python holds whole texts, so few rows of it; very long texts are bounded by their own length.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 
 def prepare(spark: SparkSession) -> SparkSession:

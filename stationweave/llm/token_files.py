@@ -36,7 +36,7 @@ FOOTER_BYTES = struct.calcsize(FOOTER)
 # Ids read at once; a single longer document is read whole.
 SLICE_IDS = 1 << 21
 # Words whose ids a worker remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 # A character that is one token of its own between spaces, and the characters that one side alone takes for a space.
 _MARK = "\x01"
 _DOUBTFUL = re.compile("[\x01\x1c-\x1f]")
