@@ -11,6 +11,8 @@ from stationweave.functions import geometry
 from stationweave.operators.stations import slice_max
 
 CELL_DEGREES = 1.0
+# Degrees added to a cell's sides where edges are dealt to it, for rounding.
+EDGE_SLACK = 1e-9
 
 
 def prepare_zones(zones: DataFrame) -> DataFrame:
@@ -28,10 +30,19 @@ def _covering(zones: DataFrame, cell: float) -> DataFrame:
 
 
 def candidate_zones(points: DataFrame, zones: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """(point, zone) rows where the point lies in the zone: cell equi-join, box test, then the ray test."""
+    """(point, zone) rows where the point lies in the zone: cell equi-join, box test, then the ray test.
+
+    A cell gets only the edges that an eastward ray from one of its points can cross; a cell without any is outside.
+    """
     keyed = points.withColumns({"_cx": F.floor(F.col("lon") / cell), "_cy": F.floor(F.col("lat") / cell)})
     ready = zones if "edges" in zones.columns else prepare_zones(zones)
-    near = keyed.join(_covering(ready.select("zone_id", "edges", "box"), cell), ["_cx", "_cy"])
+    west, south = F.col("_cx") * cell - EDGE_SLACK, F.col("_cy") * cell - EDGE_SLACK
+    north = (F.col("_cy") + 1) * cell + EDGE_SLACK
+    crossable = F.filter("edges", lambda e: (F.greatest(e["x1"], e["x2"]) >= west) & (
+        F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
+    covering = (_covering(ready.select("zone_id", "edges", "box"), cell).withColumn("edges", crossable)
+                .where(F.size("edges") > 0))
+    near = keyed.join(covering, ["_cx", "_cy"])
     x, y = F.col("lon"), F.col("lat")
     in_box = x.between(F.col("box.x0"), F.col("box.x1")) & y.between(F.col("box.y0"), F.col("box.y1"))
     return (near.where(in_box).where(geometry.contains(F.col("edges"), x, y))
