@@ -26,12 +26,14 @@ LEAST_DOCUMENTS = 3
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``_id, _line`` (number from 0), ``_form`` (tokens joined by a space, variable ones masked), ``_leaf``."""
-    rows = docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(text_column, "\n")).alias("_line", "_raw"))
-    tidy = F.regexp_replace(F.regexp_replace("_raw", r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    # Whole texts are tidied before they are cut, so that the costly patterns run once a text and no filter repeats them.
+    # Only white space that isn't a single blank is touched; line ends stay.
+    tidy = F.regexp_replace(text_column, r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++", " ")
     # Anchored at token starts and possessive, so a token of any length is passed once.
-    masked = F.regexp_replace(tidy, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+    masked = F.regexp_replace(tidy, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
+    rows = docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(masked, "\n")).alias("_line", "_raw"))
     tokens = F.split("_form", " ")
-    return (rows.select("_id", "_line", masked.alias("_form"))
+    return (rows.select("_id", "_line", F.trim("_raw").alias("_form"))
             .withColumn("_n", F.size(tokens)).where(F.col("_n") >= LEAST_TOKENS)
             .withColumn("_leaf", F.concat_ws(" ", F.col("_n").cast("string"), F.slice(tokens, 1, LEAD))).drop("_n"))
 
