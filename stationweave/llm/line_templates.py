@@ -24,7 +24,7 @@ SIMILARITY = 0.8
 LEAST_DOCUMENTS = 3
 
 
-def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _lines(docs: DataFrame, id_column: str, text_column: str, least_tokens: int) -> DataFrame:
     """``_id, _line`` (number from 0), ``_form`` (tokens joined by a space, variable ones masked), ``_leaf``."""
     # Whole texts are tidied before they are cut, so that the costly patterns run once a text and no filter repeats them.
     # Only white space that isn't a single blank is touched; line ends stay.
@@ -34,18 +34,18 @@ def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(masked, "\n")).alias("_line", "_raw"))
     tokens = F.split("_form", " ")
     return (rows.select("_id", "_line", F.trim("_raw").alias("_form"))
-            .withColumn("_n", F.size(tokens)).where(F.col("_n") >= LEAST_TOKENS)
+            .withColumn("_n", F.size(tokens)).where((F.col("_form") != "") & (F.col("_n") >= least_tokens))
             .withColumn("_leaf", F.concat_ws(" ", F.col("_n").cast("string"), F.slice(tokens, 1, LEAD))).drop("_n"))
 
 
 def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                    least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+                    least_documents: int = LEAST_DOCUMENTS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """``_id, _lines``: the numbers of the lines that go, for each id that loses any.
 
     Rows that repeat an id are one document here; so are the rows without one.
     """
     prepare(docs.sparkSession)
-    lines = _lines(docs, id_column, text_column)
+    lines = _lines(docs, id_column, text_column, least_tokens)
     busy = (lines.select("_leaf", "_id").distinct().groupBy("_leaf").count()
             .where(F.col("count") >= least_documents).select("_leaf"))
     busy = written(busy, "busy-leaves")
@@ -74,14 +74,14 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_documents: int = LEAST_DOCUMENTS,
-                   dropped: str | None = None) -> DataFrame:
+                   dropped: str | None = None, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """``docs`` without the recurring lines in their texts; ``dropped`` names a column for the number of lines gone.
 
-    A null text stays null and an empty one empty. Lines of fewer than ``LEAST_TOKENS`` tokens stay. A text all of whose
-    lines go becomes empty. Of rows that repeat an id, each loses the lines whose number and form recur in one of them.
+    A null text stays null and an empty one empty. Lines of fewer than ``least_tokens`` tokens stay; with 1 every line that isn't blank
+    is judged. A text all of whose lines go becomes empty. Of rows that repeat an id, each loses the lines whose number and form recur in one of them.
     All other columns stay, whatever they are called.
     """
-    gone = recurring_lines(docs, id_column, text_column, least_documents).withColumnsRenamed({"_id": "__of", "_lines": "__gone"})
+    gone = recurring_lines(docs, id_column, text_column, least_documents, least_tokens).withColumnsRenamed({"_id": "__of", "_lines": "__gone"})
     gone = written(gone, "recurring-lines")
     joined = docs.join(gone, F.col(id_column).eqNullSafe(F.col("__of")), "left")
     rest = F.array_join(F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
@@ -129,3 +129,6 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(o.rest, '')) END AS text_md5
 FROM documents d LEFT JOIN left_over o USING (doc_id)
 """
+
+# The same with lines of any length in the tree.
+ALL_SQL = SQL.replace(f"len(tokens) >= {LEAST_TOKENS}", "len(tokens) >= 1")

@@ -65,15 +65,26 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-@_query
-def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _without_templates(spark: SparkSession, sf_dir: str, least_tokens: int) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
-    cleaned = line_templates.drop_recurring(docs, dropped="n_dropped")
+    cleaned = line_templates.drop_recurring(docs, dropped="n_dropped", least_tokens=least_tokens)
     n_lines = F.when(F.col("before").isNull(), 0).otherwise(F.size(F.split("before", "\n"))).cast("long")
     return cleaned.select("doc_id", n_lines.alias("n_lines"), "n_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+@_query
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_templates(spark, sf_dir, line_templates.LEAST_TOKENS)
+
+
+@_query
+def op6_line_templates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of any length, also those that ``op6_line_templates`` never looks at."""
+    return _without_templates(spark, sf_dir, 1)
+
+
 ORACLES["op6_line_templates"] = line_templates.SQL
+ORACLES["op6_line_templates_all"] = line_templates.ALL_SQL
 
 
 @_query

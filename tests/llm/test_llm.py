@@ -371,6 +371,14 @@ def test_line_templates(spark):
     assert line_templates.drop_recurring(table(spark, [])).count() == 0
 
 
+def test_short_line_templates(spark, monkeypatch):
+    rows = [(i, f"Les.\nAll rights reserved.\n\n \nPage {i}\nOwn{'x' * i} line\nEnd.", "s") for i in range(4)] + [(9, "Les.\nstays", "s")]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(table(spark, rows), least_tokens=1).collect()}
+    assert got[3] == "\n \nOwnxxx line" and got[9] == "stays"
+    monkeypatch.setattr(line_templates, "LEAST_TOKENS", 1)
+    assert got == plain_templates([(i, t) for i, t, _ in rows])
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(7)
     big = "<html>" + prose(rng, 300) + "\r\n\r\nä</html>"
