@@ -25,32 +25,33 @@ LEAST_DOCUMENTS = 3
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str, least_tokens: int) -> DataFrame:
-    """``_id, _line`` (number from 0), ``_form`` (tokens joined by a space, variable ones masked), ``_leaf``."""
+    """``_id, _text`` (hash of the text), ``_line`` (number from 0), ``_form`` (tokens joined by a space, variable ones
+    masked), ``_leaf``."""
     # Whole texts are tidied before they are cut, so that the costly patterns run once a text and no filter repeats them.
     # Only white space that isn't a single blank is touched; line ends stay.
     tidy = F.regexp_replace(text_column, r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++", " ")
     # Anchored at token starts and possessive, so a token of any length is passed once.
     masked = F.regexp_replace(tidy, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")
-    rows = docs.select(F.col(id_column).alias("_id"), F.posexplode(F.split(masked, "\n")).alias("_line", "_raw"))
+    rows = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_text"), F.posexplode(F.split(masked, "\n")).alias("_line", "_raw"))
     tokens = F.split("_form", " ")
-    return (rows.select("_id", "_line", F.trim("_raw").alias("_form"))
+    return (rows.select("_id", "_text", "_line", F.trim("_raw").alias("_form"))
             .withColumn("_n", F.size(tokens)).where((F.col("_form") != "") & (F.col("_n") >= least_tokens))
             .withColumn("_leaf", F.concat_ws(" ", F.col("_n").cast("string"), F.slice(tokens, 1, LEAD))).drop("_n"))
 
 
 def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     least_documents: int = LEAST_DOCUMENTS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """``_id, _lines``: the numbers of the lines that go, for each id that loses any.
+    """``_id, _text, _lines``: the numbers of the lines that go, for each id and hash of a text that loses any.
 
-    Rows that repeat an id are one document here; so are the rows without one.
+    A document is an id with a text: rows that repeat both are one, with or without an id, and others are apart.
     """
     prepare(docs.sparkSession)
     lines = _lines(docs, id_column, text_column, least_tokens)
-    busy = (lines.select("_leaf", "_id").distinct().groupBy("_leaf").count()
+    busy = (lines.select("_leaf", "_id", "_text").distinct().groupBy("_leaf").count()
             .where(F.col("count") >= least_documents).select("_leaf"))
     busy = written(busy, "busy-leaves")
     held = written(lines.join(small_side(busy), "_leaf"), "busy-lines")
-    pairs = written(held.select("_leaf", "_form", "_id").distinct(), "line-forms")
+    pairs = written(held.select("_leaf", "_form", "_id", "_text").distinct(), "line-forms")
     forms = written(pairs.groupBy("_leaf", "_form").agg(F.count(F.lit(1)).alias("_docs")), "form-counts")
 
     tokens = forms.select("_leaf", "_docs", F.posexplode(F.split("_form", " ")).alias("_at", "_token"))
@@ -65,12 +66,12 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "_leaf", "_form", F.when(~F.coalesce(own, F.lit(False)), F.col("_form")).alias("_own"))
     placed = written(placed, "form-templates")
     # A null in _own stands for the template of the leaf.
-    met = pairs.join(placed, ["_leaf", "_form"]).select("_leaf", "_own", "_id").distinct()
+    met = pairs.join(placed, ["_leaf", "_form"]).select("_leaf", "_own", "_id", "_text").distinct()
     recurring = (met.groupBy("_leaf", "_own").count().where(F.col("count") >= least_documents)
                  .select(F.col("_leaf").alias("_l"), F.col("_own").alias("_o")))
     gone = placed.join(recurring, (F.col("_leaf") == F.col("_l")) & F.col("_own").eqNullSafe(F.col("_o"))).select("_leaf", "_form")
     return (held.join(small_side(written(gone, "recurring-forms")), ["_leaf", "_form"])
-            .groupBy("_id").agg(F.collect_set("_line").alias("_lines")))
+            .groupBy("_id", "_text").agg(F.collect_set("_line").alias("_lines")))
 
 
 def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_documents: int = LEAST_DOCUMENTS,
@@ -78,12 +79,13 @@ def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``docs`` without the recurring lines in their texts; ``dropped`` names a column for the number of lines gone.
 
     A null text stays null and an empty one empty. Lines of fewer than ``least_tokens`` tokens stay; with 1 every line that isn't blank
-    is judged. A text all of whose lines go becomes empty. Of rows that repeat an id, each loses the lines whose number and form recur in one of them.
-    All other columns stay, whatever they are called.
+    is judged. A text all of whose lines go becomes empty. Rows that repeat an id, or have none, each lose the recurring lines of their own
+    text. All other columns stay, whatever they are called.
     """
-    gone = recurring_lines(docs, id_column, text_column, least_documents, least_tokens).withColumnsRenamed({"_id": "__of", "_lines": "__gone"})
+    gone = recurring_lines(docs, id_column, text_column, least_documents, least_tokens).withColumnsRenamed(
+        {"_id": "__of", "_text": "__text", "_lines": "__gone"})
     gone = written(gone, "recurring-lines")
-    joined = docs.join(gone, F.col(id_column).eqNullSafe(F.col("__of")), "left")
+    joined = docs.join(gone, F.col(id_column).eqNullSafe(F.col("__of")) & (F.xxhash64(text_column) == F.col("__text")), "left")
     rest = F.array_join(F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(rest)
     columns = [text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]

@@ -379,6 +379,18 @@ def test_short_line_templates(spark, monkeypatch):
     assert got == plain_templates([(i, t) for i, t, _ in rows])
 
 
+def test_line_templates_of_repeated_ids(spark):
+    common = "This very line stands in many documents"
+    rows = [(i, f"{common}\nfirst of {i}", "s") for i in range(3)]
+    rows += [(0, f"clean text of another row\n{common}", "s"), (None, f"{common}\nno id", "s"), (None, "clean text without any id", "s")]
+    got = line_templates.drop_recurring(table(spark, rows), dropped="n").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n) for r in got) == sorted(
+        [(False, i, f"first of {i}", 1) for i in range(3)] + [(False, 0, "clean text of another row", 1), (True, 0, "no id", 1),
+                                                              (True, 0, "clean text without any id", 0)])
+    alone = [(None, f"{common}\n{'x' * i}", "s") for i in range(3)]
+    assert {r.text for r in line_templates.drop_recurring(table(spark, alone)).collect()} == {"", "x", "xx"}
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(7)
     big = "<html>" + prose(rng, 300) + "\r\n\r\nä</html>"
