@@ -4,7 +4,7 @@ A document and a benchmark item that share a seed, a run of ``MIN_MATCH`` equal
 words that are still unmarked on both sides are found by Karp-Rabin hashes of windows, marked, and looked for again until
 none of at least ``MIN_MATCH`` words is left. The share of the item's words under tiles is its coverage; tiles may lie in any
 order, so a passage whose parts were moved around is still covered. An item at or above the threshold contaminates the
-document.
+document. With ``short_items`` an item of fewer than ``MIN_MATCH`` words is one seed and must be found whole.
 
 Words are lower-cased runs of letters and digits, so punctuation doesn't hide a match.
 
@@ -108,42 +108,51 @@ def coverage(item_length: int, tiles: list[tuple[int, int, int]]) -> float:
 
 @dataclass
 class Block:
-    """Items of one block with their seeds, sorted by hash."""
+    """Items of one block with their seeds by number of words, each sorted by hash."""
 
     names: list
     words: list[np.ndarray]
-    hashes: np.ndarray
-    owners: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple], min_match: int) -> Block:
+    def of(cls, rows: list[tuple], min_match: int, short_items: bool = False) -> Block:
         words = [word_hashes(text) for _, text in rows]
-        seeds = [window_hashes(w, min(min_match, len(w))) if len(w) else np.zeros(0, dtype=np.uint64) for w in words]
-        hashes = np.concatenate([*seeds, np.zeros(0, dtype=np.uint64)])
-        owners = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])
-        order = np.argsort(hashes, kind="stable")
-        return cls([n for n, _ in rows], words, hashes[order], owners[order])
-
-    def find(self, text: np.ndarray, min_match: int) -> list[tuple[int, list]]:
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for k, w in enumerate(words):
+            if len(w) >= (1 if short_items else min_match):
+                by_size[min(min_match, len(w))].append(k)
+        seeds = {}
+        for size, members in by_size.items():
+            windows = [window_hashes(words[k], size) for k in members]
+            hashes, owners = np.concatenate(windows), np.repeat(members, [len(x) for x in windows])
+            order = np.argsort(hashes, kind="stable")
+            seeds[size] = hashes[order], owners[order]
+        return cls([n for n, _ in rows], words, seeds)
+
+    def find(self, text: np.ndarray) -> list[tuple[int, list]]:
         """Tilings of the items that share a seed with the text: (item number, tiles)."""
-        hits = window_hashes(text, min_match)
-        at = np.searchsorted(self.hashes, hits)
-        at[at == len(self.hashes)] = 0
-        found = np.flatnonzero(self.hashes[at] == hits) if len(self.hashes) else np.zeros(0, dtype=np.int64)
+        return sorted((x for size in self.seeds for x in self._find(text, size)), key=lambda x: x[0])
+
+    def _find(self, text: np.ndarray, size: int) -> list[tuple[int, list]]:
+        seeds, owners = self.seeds[size]
+        hits = window_hashes(text, size)
+        at = np.searchsorted(seeds, hits)
+        at[at == len(seeds)] = 0
+        found = np.flatnonzero(seeds[at] == hits)
         places: dict[int, list[int]] = defaultdict(list)
         for p in found.tolist():
             j = int(at[p])
-            while j < len(self.hashes) and self.hashes[j] == hits[p]:
-                places[int(self.owners[j])].append(p)
+            while j < len(seeds) and seeds[j] == hits[p]:
+                places[int(owners[j])].append(p)
                 j += 1
         out = []
         for owner, starts in sorted(places.items()):
             # A tile lies inside the words that seeds of this item cover; a gap keeps runs on both sides of it apart.
-            covered = np.unique((np.array(sorted(set(starts)))[:, None] + np.arange(min_match)).ravel())
+            covered = np.unique((np.array(sorted(set(starts)))[:, None] + np.arange(size)).ravel())
             breaks = np.flatnonzero(np.diff(covered) > 1) + 1
             kept = np.insert(text[covered], breaks, np.arange(1, len(breaks) + 1).astype(np.uint64))
             origin = np.insert(covered, breaks, -1)
-            tiles = greedy_tiles(kept, self.words[owner], min_match)
+            tiles = greedy_tiles(kept, self.words[owner], size)
             out.append((owner, [(int(origin[p]), i, n) for p, i, n in tiles]))
         return out
 
@@ -159,12 +168,14 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, chars: int
 
 
 def tilings(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-            item_column: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH) -> DataFrame:
+            item_column: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH,
+            short_items: bool = False) -> DataFrame:
     """One row per document row and item that share a seed: ``<id>, <item>, coverage, tiles``.
 
-    ``tiles`` lists the words of the document under each tile as ``start, words``. Items shorter than ``min_match`` words
-    have no seed and match nothing. Null and empty texts share nothing. Repeated rows of either table are compared on
-    their own. Other columns are ignored. Either table may be empty; so is then the result.
+    ``tiles`` lists the words of the document under each tile as ``start, words``. Items of fewer than ``min_match`` words
+    match nothing; with ``short_items`` each is one seed, so it is there whole or not at all. Null and empty texts
+    share nothing. Repeated rows of either table are compared on their own. Other columns are ignored. Either table may be
+    empty; so is then the result.
     """
     prepare(docs.sparkSession)
     kind, item_kind = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
@@ -176,7 +187,7 @@ def tilings(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
             for batch in batches:
                 ids, items, shares, marks = [], [], [], []
                 for r, text in enumerate(batch.column(1).to_pylist()):
-                    for owner, tiles in block.find(word_hashes(text), min_match):
+                    for owner, tiles in block.find(word_hashes(text)):
                         ids.append(r)
                         items.append(block.names[owner])
                         shares.append(coverage(len(block.words[owner]), tiles))
@@ -190,7 +201,7 @@ def tilings(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
 
     found = None
     for rows in _blocks(benchmark, item_column, item_text, BLOCK_CHARS):
-        part = scan(Block.of([r for r in rows if len(_WORD.findall(r[1])) >= min_match], min_match))
+        part = scan(Block.of(rows, min_match, short_items))
         found = part if found is None else found.unionByName(part)
     return found.withColumnsRenamed({"_id": id_column, "_item": item_column})
 
@@ -208,7 +219,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, text_column: str = "text",
-               item_column: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH) -> DataFrame:
+               item_column: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH,
+               short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with their own columns.
 
     Each block of the benchmark filters what the blocks before it left; rows are judged by their own text.
@@ -216,11 +228,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAG
     prepare(docs.sparkSession)
     left = docs
     for rows in _blocks(benchmark, item_column, item_text, BLOCK_CHARS):
-        block = Block.of([r for r in rows if len(_WORD.findall(r[1])) >= min_match], min_match)
+        block = Block.of(rows, min_match, short_items)
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [all(coverage(len(block.words[o]), t) < threshold for o, t in block.find(word_hashes(x), min_match))
+                clean = [all(coverage(len(block.words[o]), t) < threshold for o, t in block.find(word_hashes(x)))
                          for x in batch.column(text_column).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

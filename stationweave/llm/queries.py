@@ -27,9 +27,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @_query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    # Rows are judged by their own text, also those that repeat an id or have none.
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", key.alias("_key"))
+    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"), id_column="_key", short_items=True)
+    return docs.select("doc_id", "_key").join(found, "_key", "left").select(
         "doc_id", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
         F.col("items").isNotNull().alias("contaminated"), F.col("items").isNull().alias("kept"))
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import types as T
 
 from stationweave.llm import (_common, _components, decontamination, elias_fano, embedding_dedup, hilbert_shards, line_templates,
-                              minhash_dedup, mixing, quality, token_files, toxicity, warc)
+                              minhash_dedup, mixing, quality, queries, token_files, toxicity, warc)
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -258,6 +258,25 @@ def test_decontamination(spark, odd_rows, monkeypatch):
     assert decontamination.keep_clean(table(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_short_items_and_missing_ids(spark, tmp_path):
+    rng = random.Random(10)
+    item = prose(rng, 30)
+    bench = spark.createDataFrame([(1, item), (2, "Golden Gate Bridge"), (3, "Οὐλυμπόνδε"), (4, "?!")], "item_id long, text string")
+    rows = [(1, "over the golden gate - bridge it goes", "a"), (2, "the golden bridge and the gate of it", "a"), (3, "ἔβη οὐλυμπόνδε", "a"),
+            (4, "Gate", "a"), (None, prose(rng, 9) + " " + item, "a"), (None, prose(rng, 50), "a"), (5, item, "a"), (5, prose(rng, 50), "a"),
+            (6, None, "a"), (7, "", "a")]
+    docs = table(spark, rows)
+    tiles = {r.doc_id: [tuple(t) for t in r.tiles] for r in decontamination.tilings(docs.where("doc_id < 5"), bench, short_items=True).collect()}
+    assert tiles == {1: [(2, 3)], 3: [(1, 1)]}
+    assert sorted(r.text for r in decontamination.keep_clean(docs, bench, short_items=True).collect() if r.text) == sorted(
+        rows[k][1] for k in (1, 3, 5, 7))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id or 0, r.contaminated, r.kept, r.items) for r in queries.op1_decontamination(spark, str(tmp_path)).collect())
+    assert got == [(0, False, True, 0), (0, True, False, 1), (1, True, False, 1), (2, False, True, 0), (3, True, False, 1),
+                   (4, False, True, 0), (5, False, True, 0), (5, True, False, 1), (6, False, True, 0), (7, False, True, 0)]
+
+
 def filled(sizes, weights, share):
     """Targets by sharing the excess again and again."""
     total, target, full = share * sum(sizes.values()), dict.fromkeys(sizes, 0.0), set()
