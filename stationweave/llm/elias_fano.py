@@ -61,6 +61,28 @@ class EliasFano:
         place = byte * 8 + (current & -current).bit_length() - 1
         return ((place - i) << self.low_bits) | self._low(i)
 
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """Values number ``first`` up to ``last``: select of the first one, then the unary string up to the next sample."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, dtype=np.uint64)
+        place = int(self.samples[first // SAMPLE])
+        following = (last - 1) // SAMPLE + 1
+        stop = int(self.samples[following]) if following < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[place >> 3:(stop + 7) >> 3], bitorder="little")
+        bits[:place & 7] = 0
+        skip = first % SAMPLE
+        places = np.flatnonzero(bits)[skip:skip + last - first] + (place >> 3 << 3)
+        out = (places - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            at = first * self.low_bits
+            packed = np.unpackbits(self.low[at >> 3:(last * self.low_bits + 7) >> 3], bitorder="little")
+            low = packed[at & 7:(at & 7) + (last - first) * self.low_bits].reshape(last - first, self.low_bits)
+            for b in range(self.low_bits):
+                out |= low[:, b].astype(np.uint64) << np.uint64(b)
+        return out
+
     def values(self) -> np.ndarray:
         """All values at once."""
         if self.n == 0:

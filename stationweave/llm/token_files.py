@@ -15,7 +15,6 @@ of lost attempts are never read. Readers take ids in slices, so a shard of any s
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,109 +28,50 @@ from pyspark.sql import DataFrame, Window
 
 from stationweave.llm._common import prepare, scratch, uri_of, width, worker_cache, written
 from stationweave.llm.elias_fano import EliasFano
+from stationweave.llm.word_ids import WordEncoder, batches_of_bytes, with_end
 
 MAGIC = b"SWTOK001"
 FOOTER = "<QQQqQQ8s"
 FOOTER_BYTES = struct.calcsize(FOOTER)
 # Ids read at once; a single longer document is read whole.
 SLICE_IDS = 1 << 21
-# Words whose ids a worker remembers.
-MEMO_WORDS = 300_000
-# A character that is one token of its own between spaces, and the characters that one side alone takes for a space.
-_MARK = "\x01"
-_DOUBTFUL = re.compile("[\x01\x1c-\x1f]")
+# Documents whose boundaries are selected at once.
+SLICE_DOCUMENTS = 1 << 12
 
 MANIFEST = "shard long, file string, documents long, ids long"
 
 
-class TextEncoder:
-    """Encodes texts with a tokenizer file; ids come back as little-endian bytes of ``id_bytes`` each.
-
-    With ``word_memo`` each distinct word is encoded once per worker. That gives the same ids only for tokenizers that
-    drop white space and never join across it; the caller says so.
-    """
-
-    def __init__(self, path: str, word_memo: bool) -> None:
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.id_bytes = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = "<u2" if self.id_bytes == 2 else "<u4"
-        self.memo: dict[str, bytes] = {}
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.word_memo = word_memo and self.mark is not None
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, many to a call, kept apart by the mark."""
-        found: list[bytes] = []
-        for i in range(0, len(words), 512):
-            part = words[i:i + 512]
-            ids = np.array(self._encode_joined(part), dtype=self.kind)
-            ends = np.flatnonzero(ids == self.mark)
-            assert len(ends) == len(part)
-            data, size, start = ids.tobytes(), self.id_bytes, 0
-            for end in ends.tolist():
-                found.append(data[start * size:end * size])
-                start = end + 1
-        return found
-
-    def _encode_joined(self, words: list[str]) -> list[int]:
-        joined = f" {_MARK} ".join(words) + f" {_MARK}"
-        return self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text; null is empty."""
-        given = [t or "" for t in texts]
-        if not self.word_memo:
-            return self._whole(given)
-        direct = [i for i, t in enumerate(given) if _DOUBTFUL.search(t)]
-        out = dict(zip(direct, self._whole([given[i] for i in direct])))
-        split = {i: t.split() for i, t in enumerate(given) if i not in out}
-        memo = self.memo
-        new = list({w for words in split.values() for w in words if w not in memo})
-        fresh = dict(zip(new, self._words(new)))
-        if len(memo) < MEMO_WORDS:
-            memo.update(fresh)
-            fresh = {}
-        look = memo.__getitem__ if not fresh else lambda w: memo[w] if w in memo else fresh[w]
-        for i, words in split.items():
-            out[i] = b"".join(map(look, words))
-        return [out[i] for i in range(len(given))]
-
-
 def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, id_column: str = "doc_id",
                        text_column: str = "text", shards: int | None = None, word_memo: bool = False) -> DataFrame:
     """Encode whole texts and write shards in ascending id order; returns the manifest, one row per shard.
 
-    ``folder`` is a URI that all executors reach. The end id closes every document, also null and empty ones, which
+    With ``word_memo`` each distinct word is encoded once per worker. That gives the same ids only for tokenizers that
+    drop white space and never join across it; the caller says so. ``folder`` is a URI that all executors reach. The end id closes every document, also null and empty ones, which
     have no other id. Documents without an id come first; rows that repeat an id follow one another by a hash of
     their text. Other columns are ignored. An empty table gives an empty manifest. The manifest is a written table, so
     reading it again doesn't write the shards again.
     """
     prepare(docs.sparkSession)
+    cut = "blanks" if word_memo else "whole"
     key = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_t"))
     order = ["_id", F.xxhash64("_t")]
     dealt = key.repartitionByRange(shards or width(docs), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(f"encoder_{tokenizer_path}_{word_memo}", lambda: TextEncoder(tokenizer_path, word_memo))
-        end = np.array([end_id], dtype=encoder.kind).tobytes()
+        encoder = worker_cache(f"encoder_{tokenizer_path}_{cut}", lambda: WordEncoder(tokenizer_path, cut))
+        kind = "<u2" if encoder.id_bytes == 2 else "<u4"
         shard, store, path, out = TaskContext.get().partitionId(), None, "", None
         lengths, ids = [], []
-        for batch in batches:
+        for batch in batches_of_bytes(batches, 1):
             if out is None:
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
                 path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
                 out = store.open_output_stream(path)
                 out.write(MAGIC)
-            coded = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            out.write(b"".join(coded))
-            lengths.append(np.array([len(x) for x in coded], dtype=np.uint64) // np.uint64(encoder.id_bytes))
+            counts, coded = with_end(*encoder.encode(batch.column(1)), end_id)
+            out.write(coded.astype(kind).tobytes())
+            lengths.append(counts.astype(np.uint64))
             ids.append(batch.column(0))
         if out is None:
             return
@@ -180,16 +120,23 @@ class Shard:
         return np.frombuffer(data, "<u2" if self.id_bytes == 2 else "<u4").astype("<u4")
 
     def documents(self) -> Iterator[tuple[list, np.ndarray, list[bytes]]]:
-        """Slices of (document ids, ends within the shard with the first start before them, id bytes)."""
-        ends = np.concatenate([[0], self.ends.values().astype(np.int64)])
-        names = [None] * self.without + (self.named.values().astype(np.int64) + self.least).tolist()
-        i = 0
-        while i < self.n:
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_IDS, side="right")) - 1)
-            data = self.read(int(ends[i]), int(ends[j])).tobytes()
-            cuts = ((ends[i:j + 1] - ends[i]) * 4).tolist()
-            yield names[i:j], ends[i:j + 1], [data[a:b] for a, b in zip(cuts, cuts[1:])]
-            i = j
+        """Slices of (document ids, ends within the shard with the first start before them, id bytes).
+
+        Boundaries and document ids come from select, a bounded number of documents at a time.
+        """
+        start = 0
+        for i in range(0, self.n, SLICE_DOCUMENTS):
+            j = min(self.n, i + SLICE_DOCUMENTS)
+            ends = np.concatenate([[start], self.ends.select_range(i, j).astype(np.int64)])
+            named = self.named.select_range(max(0, i - self.without), max(0, j - self.without)).astype(np.int64)
+            names = [None] * max(0, min(j, self.without) - i) + (named + self.least).tolist()
+            start, a = int(ends[-1]), 0
+            while a < j - i:
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_IDS, side="right")) - 1)
+                data = self.read(int(ends[a]), int(ends[b])).tobytes()
+                cuts = ((ends[a:b + 1] - ends[a]) * 4).tolist()
+                yield names[a:b], ends[a:b + 1], [data[x:y] for x, y in zip(cuts, cuts[1:])]
+                a = b
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
