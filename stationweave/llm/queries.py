@@ -8,8 +8,8 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stationweave.llm import (decontamination, embedding_dedup, hilbert_shards, line_templates, minhash_dedup, mixing, quality,
-                              token_files, toxicity, warc)
+from stationweave.llm import (decontamination, embedding_dedup, hilbert_shards, line_templates, minhash_dedup, mixing,
+                              packing, prefix_trie, quality, token_files, toxicity, warc, whitening)
 from stationweave.llm._common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, labels.where(~held_out))
     return quality.score(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.rebuilt(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(rebuilt)
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.SQL
+
+
+@_query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, cut="spaces")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
