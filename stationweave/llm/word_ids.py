@@ -8,6 +8,9 @@ the kind of tokenizer:
 ``spaces``: byte-level with a space in front of the word that follows it; a space before a visible character always
 starts a token. Texts with other spaces (two in a row, before a line end, at the end) are encoded whole.
 ``whole``: any tokenizer; nothing is cut.
+
+Words are also cut before a mark that follows an ASCII letter or digit, and ASCII capitals become small, where trials show
+that the tokenizer cuts or does the same. Texts that hold one of its added tokens are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,6 +32,13 @@ def _visible(char: str) -> bool:
     return "!" <= char <= "~" or "¡" <= char <= "ԯ"
 
 
+# Marks that end a word, what they have to follow, and the character that stands for a cut.
+_MARKS, _BEFORE, _CUT = ".,;:!?", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "\x00"
+_MARKED = f"([A-Za-z0-9])([{_MARKS}])"
+# New words are handed to the tokenizer so many at a time, as one text with an added token between them.
+_JOINED = 1024
+
+
 class WordEncoder:
     """Encodes string arrays with a tokenizer file into counts per text and one run of ids."""
 
@@ -38,6 +48,15 @@ class WordEncoder:
             raise ValueError(f"unknown cut {cut}")
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.id_bytes = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        self.between = next(((i, t.content) for i, t in added.items()
+                             if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        small = _BEFORE.swapcase()
+        self.small = cut == "blanks" and self._direct([small, *small]) == self._direct([small.lower(), *small.lower()])
+        trials = [(f"x{a}", f"{m}") for a in _BEFORE for m in _MARKS] + [(a, m) for a in _BEFORE for m in _MARKS]
+        apart = self._direct([x for pair in trials for x in pair])
+        self.marks = [a + b for a, b in zip(apart[::2], apart[1::2])] == self._direct([a + b for a, b in trials])
         self._clear()
 
     def _clear(self) -> None:
@@ -49,6 +68,17 @@ class WordEncoder:
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of words without added tokens."""
+        if not self.between:
+            found = self._direct(words)
+            return np.array([len(x) for x in found], np.int64), np.fromiter((i for x in found for i in x), np.uint32)
+        mark, text = self.between
+        ids = np.concatenate([np.array(self._direct([text.join(words[i:i + _JOINED]) + text])[0], np.uint32)
+                              for i in range(0, len(words), _JOINED)])
+        ends = np.flatnonzero(ids == mark)
+        return np.diff(ends, prepend=-1) - 1, np.delete(ids, ends)
+
     def _shrink(self) -> None:
         """Keep the words met since the last time, if that is less than half of the memo."""
         kept = np.flatnonzero(self.used)
@@ -73,39 +103,45 @@ class WordEncoder:
         memo = self.memo
         new = [w for w in words if w not in memo]
         if new:
-            found = self._direct(new)
-            lengths = np.array([len(x) for x in found], np.int64)
+            lengths, ids = self._words(new)
             starts = len(self.pool) + np.cumsum(lengths) - lengths
-            self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
+            self.pool = np.concatenate([self.pool, ids])
             self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
             self.used = np.concatenate([self.used, np.zeros(len(new), bool)])
             memo.update(zip(new, range(len(memo), len(memo) + len(new))))
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text."""
+        if self.cut == "blanks":
+            texts = pc.replace_substring_regex(texts, _MARKED, r"\1 \2") if self.marks else texts
+            return pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.small else texts)
+        texts = pc.replace_substring_regex(texts, _MARKED, rf"\1{_CUT}\2") if self.marks else texts
+        return pc.split_pattern(pc.replace_substring(texts, " ", f"{_CUT} "), _CUT)
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Texts that must not be cut because they hold an added token or the character that marks cuts."""
+        whole = np.zeros(len(texts), bool)
+        for part in [*self.added, _CUT]:
+            whole |= pc.match_substring(texts, part, ignore_case=part != _CUT).to_numpy(zero_copy_only=False)
+        return whole
+
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts and ids of texts that may be cut, and which texts may not; if there are any, the rest is empty."""
         if len(self.memo) > MEMO_WORDS:
             self._shrink()
-        split = pc.ascii_split_whitespace(texts) if self.cut == "blanks" else pc.split_pattern(texts, " ")
+        split = self._split(texts)
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = split.flatten().dictionary_encode()
         distinct, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = len(self.memo)
         if self.cut == "spaces":
-            # A text's first word stands behind no space.
-            odd = np.array([not w or not _visible(w[0]) for w in distinct], bool)[places].astype(np.int64)
-            odd[offsets[:-1]] = 0
-            uncut = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) > 0
-            if uncut.any():
+            odd = np.array([w[:1] == " " and not _visible(w[1:2]) for w in distinct], bool)
+            if odd.any():
+                uncut = np.diff(np.concatenate([[0], np.cumsum(odd[places])])[offsets]) > 0
                 return np.zeros(0, np.int64), np.zeros(0, np.uint32), uncut
-            heads = [x.split(" ", 1)[0] for x in texts.to_pylist()]
-            first = list(dict.fromkeys(heads))
-            by_head = dict(zip(first, self._numbers(first).tolist()))
-            numbers = self._numbers([" " + w for w in distinct])[places]
-            numbers[offsets[:-1]] = [by_head[h] for h in heads]
-        else:
-            numbers = self._numbers(distinct)[places]
+        known = len(self.memo)
+        numbers = self._numbers(distinct)[places]
         self.used[numbers[numbers < known]] = True
         ends = np.concatenate([[0], np.cumsum(self.lengths[numbers])])[offsets]
         return np.diff(ends), self._gather(numbers), np.zeros(len(texts), bool)
@@ -117,9 +153,13 @@ class WordEncoder:
             return np.zeros(0, np.int64), np.zeros(0, np.uint32)
         whole = np.ones(len(texts), bool)
         if self.cut != "whole":
-            counts, ids, whole = self._by_words(texts)
-            if not whole.any():
-                return counts, ids
+            whole = self._whole(texts)
+            rest = texts.filter(pa.array(~whole)) if whole.any() else texts
+            if len(rest):
+                counts, ids, uncut = self._by_words(rest)
+                if not whole.any() and not uncut.any():
+                    return counts, ids
+                whole[np.flatnonzero(~whole)[uncut]] = True
         direct = self._direct(texts.filter(pa.array(whole)).to_pylist())
         counts = np.zeros(len(texts), np.int64)
         counts[whole] = [len(x) for x in direct]
