@@ -24,10 +24,40 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Paths made inside the calls of ``settled`` that are running, innermost last.
+_open: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``scratch`` gave, through Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a written table; every scratch path that was made on the way is deleted.
+
+    Nothing else that ``make`` built may be used afterwards.
+    """
+    _open.append([])
+    try:
+        out = written(make(), name)
+        kept = _open[-1].pop()
+        if len(_open) > 1:
+            _open[-2].append(kept)
+        return out
+    finally:
+        for path in _open.pop():
+            discard(spark, path)
 
 
 def uri_of(path: str) -> str:

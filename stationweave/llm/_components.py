@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from stationweave.llm._common import written
+from stationweave.llm._common import settled, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the number of nodes. A node with very many edges only appears as a grouping key with map-side
     minimum and as a join key that adaptive execution splits.
     """
+    return settled(edges.sparkSession, lambda: _contracted(edges), "components")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     known = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     known = written(known, "edges")
     state = _state(known)

@@ -11,14 +11,17 @@ How each guard holds at scale:
   of the sketch, it posts its first ``KEYS`` values of any kind as well. Two documents at the threshold share about 85
   of 100 values of their joint sketch, so they miss each other with a chance below 1e-7.
 - Each list first compares its members with a few leaders only. Members already connected by that are not compared again.
-  Lists that still hold several components are cut into blocks of ``BLOCK`` members and blocks meet in pairs, so every
-  remaining pair of a list is looked at in bounded memory. Of a list of up to ``HOT_LIST`` members the pairs that the
-  sketches support leave the task to be confirmed; in longer ones the full sets meet, and only links that connect
-  something new leave the task.
+  Lists that still hold several components are cut into bands of like set sizes and those into blocks of about
+  ``BLOCK_VALUES`` values, and blocks of one band and the next meet in pairs: sets of other bands differ too much in size
+  to be alike. So every remaining pair of a list that can be alike is looked at in bounded memory. Of a list of up to
+  ``HOT_LIST`` members the pairs that the sketches support leave the task to be confirmed; in longer ones the full sets
+  meet, and only links that connect something new leave the task.
+- A row is known by its id and a hash of its text, so rows that repeat an id or have none are documents of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +30,14 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from stationweave.llm._common import prepare, small_side, width, written
+from stationweave.llm._common import prepare, settled, small_side, width, written
 from stationweave.llm._components import components
 
 SKETCH = 64
 KEYS = 12
 HOT_LIST = 64
-BLOCK = 128
+# Members of a block at most, and the values that a block of full sets holds (more only if one set alone has more).
+BLOCK, BLOCK_VALUES = 128, 1 << 18
 # Members of a list that the others are compared with first; one is enough for a list of up to FEW.
 LEADERS = 4
 FEW = 8
@@ -75,24 +79,39 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def features(docs: DataFrame, id_column: str, text_column: str, size: int, k: int = SKETCH) -> DataFrame:
-    """``_id, _n`` (set size), ``_set`` (128-bit fingerprint of the set), ``_sketch`` (its k smallest hashes)."""
+    """``_id, _hash`` (of the text), ``_n`` (set size), ``_set`` (fingerprint of the set), ``_sketch`` (its k smallest hashes)."""
     kind = docs.schema[id_column].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([fingerprint(s) for s in sets], pa.string()),
-                 _lists([s[:k] for s in sets])], names=["_id", "_n", "_set", "_sketch"])
+                 _lists([s[:k] for s in sets])], names=["_id", "_hash", "_n", "_set", "_sketch"])
 
-    return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t")).mapInArrow(
-        run, f"_id {kind.simpleString()}, _n long, _set string, _sketch array<long>")
+    return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t"), F.xxhash64(text_column).alias("_h")).mapInArrow(
+        run, f"_id {kind.simpleString()}, _hash long, _n long, _set string, _sketch array<long>")
+
+
+def _texts(docs: DataFrame, classes: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``_node, _set, _n, _text``: the text that stands for each class (``_node, _first, _hash, _set, _n``).
+
+    It is found by its id and hash; a class all of whose rows lack an id by the hash alone, from one of them.
+    """
+    keyed = docs.select(F.col(id_column).alias("_first"), F.xxhash64(text_column).alias("_hash"), F.col(text_column).alias("_text"))
+    columns = ["_node", "_set", "_n", "_text"]
+    found = keyed.join(small_side(classes), ["_first", "_hash"]).select(*columns)
+    nameless = classes.where("_first is null")
+    if nameless.isEmpty():
+        return found
+    alone = keyed.where("_first is null").join(small_side(nameless.drop("_first")), "_hash").select(*columns)
+    return found.unionByName(alone.dropDuplicates(["_node"]))
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
     """``_node, _n, _values``: the whole sorted shingle set of each class in ``nodes``, from one of its texts."""
-    texts = docs.select(F.col(id_column).alias("_first"), F.col(text_column).alias("_text")).join(nodes, "_first")
+    texts = _texts(docs, nodes, id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +157,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column:
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
             .where(_estimate(F.col("s_a"), F.col("s_b"), k) >= percent / 100 - SLACK).select("a", "b"))
     near = written(near, "candidates")
-    named = classes.select("_node", "_first", "_set")
+    named = classes.select("_node", "_first", "_hash", "_set", "_n")
     wanted = written(near.select(F.explode(F.array("a", "b")).alias("_node")).distinct().join(named, "_node"), "wanted")
-    texts = docs.select(F.col(id_column).alias("_first"), F.col(text_column).alias("_text")).join(
-        small_side(wanted), "_first")
+    texts = _texts(docs, wanted, id_column, text_column)
     met = (near.join(texts.select(F.col("_node").alias("a"), F.col("_set").alias("set_a"), F.col("_text").alias("x")), "a")
            .join(texts.select(F.col("_node").alias("b"), F.col("_set").alias("set_b"), F.col("_text").alias("y")), "b"))
 
@@ -237,15 +255,33 @@ def _compare_blocks(pairs: DataFrame, percent: int, whole: bool) -> DataFrame:
     return pairs.select("left", "right", "same").mapInArrow(run, "a long, b long")
 
 
-def _meet(members: DataFrame, name: str) -> DataFrame:
-    """Cut lists into blocks and pair the blocks of each list: ``left, right, same``."""
-    blocks = (members.withColumn("_block", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_c") / BLOCK)))
-              .groupBy("_v", "_block").agg(F.collect_list(F.struct("_node", "_root", "_n", "_values")).alias("_members")))
+def _meet(members: DataFrame, name: str, percent: int, whole: bool) -> DataFrame:
+    """Pair what can be alike in each list: ``left, right, same``.
+
+    A list of sketches is short and one block. Lists of full sets are cut into bands of sizes and blocks: sets of a band are at most 100 / percent times as large as each other, so a set can only be like those of its own
+    band and of the two beside it. A band's blocks hold so many members that their values stay bounded.
+    """
+    if not whole:
+        listed = members.groupBy("_v").agg(F.collect_list(F.struct("_node", "_root", "_n", "_values")).alias("left"))
+        return listed.select("left", F.lit(None).cast(listed.schema["left"].dataType).alias("right"), F.lit(True).alias("same"))
+    # A little more than the ratio, so that rounding doesn't put two sets at the threshold two bands apart.
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    banded = members.withColumn("_band", F.floor(F.log("_n") / step))
+    # The widest set of a band, so that a block's bytes are bounded by its members.
+    counted = banded.groupBy("_v", "_band").agg(F.count(F.lit(1)).alias("_b"), F.max(F.size("_values")).alias("_w"))
+    fits = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.col("_w"), F.lit(1)))))
+    counted = counted.select("_v", "_band", F.ceil(F.col("_b") / fits).alias("_blocks"))
+    blocks = (banded.join(counted, ["_v", "_band"])
+              .withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")))
+              .groupBy("_v", "_band", "_block").agg(F.collect_list(F.struct("_node", "_root", "_n", "_values")).alias("_members")))
     blocks = written(blocks, name)
-    met = blocks.select("_v", F.col("_block").alias("_i"), F.col("_members").alias("left")).join(
-        blocks.select("_v", F.col("_block").alias("_j"), F.col("_members").alias("right")), "_v").where("_i <= _j")
-    return met.select("left", F.when(F.col("_i") < F.col("_j"), F.col("right")).alias("right"),
-                      (F.col("_i") == F.col("_j")).alias("same")).repartition(width(members))
+    left = blocks.select("_v", F.col("_band").alias("_i"), F.col("_block").alias("_k"), F.col("_members").alias("left"))
+    # A block meets those of its own band and, from the band below, those of the next.
+    right = blocks.select("_v", F.col("_block").alias("_l"), F.col("_members").alias("right"), F.col("_band").alias("_j"),
+                          F.explode(F.array("_band", F.col("_band") - 1)).alias("_i"))
+    met = left.join(right, ["_v", "_i"]).where((F.col("_i") < F.col("_j")) | (F.col("_k") <= F.col("_l")))
+    same = (F.col("_i") == F.col("_j")) & (F.col("_k") == F.col("_l"))
+    return met.select("left", F.when(~same, F.col("right")).alias("right"), same.alias("same")).repartition(width(members))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5,
@@ -259,16 +295,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     id takes the component of the rows that are like it and is then not kept; alone it has a null component and is
     kept. Other columns are ignored, whatever they are called. An empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    judged = settled(spark, lambda: _judged(docs, id_column, text_column, shingle_words, percent), "near-duplicates")
+    result = judged.select(F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), "component_id")
+    return result.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_column), F.col("component_id").isNull()))
+
+
+def _judged(docs: DataFrame, id_column: str, text_column: str, shingle_words: int, percent: int) -> DataFrame:
+    """One row per input row: ``_id, _hash, _n, component_id, _root``, the number of its component (null without words)."""
     found = written(features(docs, id_column, text_column, shingle_words), "sketches")
     # The number of a class is part of the written table, so it stays the same however often the table is read.
     classes = written(found.where("_n > 0").groupBy("_set").agg(
-        F.min("_id").alias("_first"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch"))
+        F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_hash")).alias("_one"), F.first("_n").alias("_n"),
+        F.first("_sketch").alias("_sketch"))
+        .select("_set", F.col("_one._id").alias("_first"), F.col("_one._hash").alias("_hash"), "_n", "_sketch")
         .withColumn("_node", F.monotonically_increasing_id()), "classes")
-    named = classes.where("_first is not null")
-    confirm = lambda pairs: _confirmed(pairs, named, docs, id_column, text_column, shingle_words, percent, SKETCH)
+    confirm = lambda pairs: _confirmed(pairs, classes, docs, id_column, text_column, shingle_words, percent, SKETCH)
 
-    posts = written(_posts(named), "posts")
+    posts = written(_posts(classes), "posts")
     leaders = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("_node", F.lit(i)).alias("h"), F.col("_node").alias("b")))["b"]
                                          for i in range(LEADERS)]))
     heads = posts.groupBy("_v").agg(leaders.alias("_leaders"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
@@ -282,39 +326,42 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "_v", "_c", "_node", F.coalesce("root", "_node").alias("_root"))
     split = placed.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_v")
     open_lists = written(placed.join(split, "_v", "left_semi"), "open-lists")
-    short = open_lists.where(F.col("_c") <= HOT_LIST).join(named.select("_node", "_n", F.col("_sketch").alias("_values")), "_node")
-    crossed = _compare_blocks(_meet(short, "blocks"), percent, whole=False).select(
+    short = open_lists.where(F.col("_c") <= HOT_LIST).join(classes.select("_node", "_n", F.col("_sketch").alias("_values")), "_node")
+    crossed = _compare_blocks(_meet(short, "blocks", percent, whole=False), percent, whole=False).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(confirm(crossed))
     long = open_lists.where(F.col("_c") > HOT_LIST)
     if not long.isEmpty():
-        nodes = named.join(long.select("_node").distinct(), "_node", "left_semi").select("_node", "_first", "_set", "_n")
+        nodes = classes.join(long.select("_node").distinct(), "_node", "left_semi").select("_node", "_first", "_hash", "_set", "_n")
         sets = full_sets(docs, small_side(written(nodes, "long-list-nodes")), id_column, text_column, shingle_words)
-        links = links.unionByName(_compare_blocks(_meet(long.join(sets, "_node"), "whole-blocks"), percent, whole=True))
+        links = links.unionByName(_compare_blocks(_meet(long.join(sets, "_node"), "whole-blocks", percent, whole=True), percent, whole=True))
 
     roots = components(links)
     lowest = (classes.join(roots, F.col("_node") == F.col("node"), "left")
               .select("_set", "_first", F.coalesce("root", "_node").alias("_root")))
     component = lowest.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    names = written(lowest.join(component, "_root").select("_set", "component_id"), "names")
-    result = found.select("_id", "_n", "_set").join(names, "_set", "left").select(
-        F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"),
-        F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return result.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_column), F.col("component_id").isNull()))
+    names = lowest.join(component, "_root").select("_set", "component_id", "_root")
+    return found.select("_id", "_hash", "_n", "_set").join(names, "_set", "left").select(
+        "_id", "_hash", "_n", F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), "_root")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5,
                percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns.
+    """One row of ``docs`` for each component of ``near_duplicates``, with its own columns.
 
-    Rows are found again by their id: an id goes if none of its rows is kept. Of rows that repeat both id and text one
-    stays, and which one is open.
+    It is the one with the smallest id, rows without an id last; of several with that id the one whose text has the
+    smallest hash. Of rows that repeat both id and text one stays, and which one is open. Rows without words all stay.
     """
-    judged = written(near_duplicates(docs, id_column, text_column, shingle_words, percent).groupBy(id_column).agg(
-        F.max("kept").alias("_stays"), F.count_if("kept").alias("_times")).withColumnRenamed(id_column, "_judged"), "judged")
-    gone = judged.where(~F.col("_stays")).select("_judged")
-    again = judged.where("_times > 1").select("_judged")
-    match = F.col(id_column).eqNullSafe(F.col("_judged"))
+    spark = prepare(docs.sparkSession)
+    judged = settled(spark, lambda: _judged(docs, id_column, text_column, shingle_words, percent), "near-duplicates")
+    alike = judged.where("_root is not null")
+    key = F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_hash")
+    first = alike.groupBy("_root").agg(F.min(key).alias("_first"))
+    placed = alike.select("_root", "_id", "_hash", key.alias("_key")).join(first, "_root")
+    gone = written(placed.where("_key <> _first").select("_id", "_hash").distinct(), "near-duplicates-gone")
+    again = written(placed.where("_key = _first").groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"),
+                    "near-duplicates-again")
+    match = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_hash"))
     left = docs.join(small_side(gone), match, "left_anti")
     if again.isEmpty():
         return left

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from stationweave.llm._common import prepare, ranked, small_side, written
+from stationweave.llm._common import prepare, ranked, settled, small_side, written
 
 BUCKET = 96
 FAN = 64
@@ -88,7 +88,12 @@ def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     repeated rows are dealt with one by one. Documents without words take no part in the exchange of words: their
     fraction is rounded by a hash. Null ids, sources and texts are values like others. An empty table gives no rows.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    return settled(spark, lambda: _decided(docs, id_column, text_column, source_column, weights, share, most, seed), "mix-decided")
+
+
+def _decided(docs: DataFrame, id_column: str, text_column: str, source_column: str, weights: Sequence[int], share: float,
+             most: int, seed: int) -> DataFrame:
     units = written(docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"),
                                 words_in(F.col(text_column)).alias("_size"))
                     .groupBy("_id", "_source", "_size").agg(F.count(F.lit(1)).alias("_rows")), "mix-units")
@@ -152,7 +157,7 @@ def taken_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
           **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns."""
-    decided = written(copies(docs, id_column, text_column, source_column, **options), "mix-decided")
+    decided = copies(docs, id_column, text_column, source_column, **options)
     named = decided.withColumnsRenamed({c: f"__mix{c}" for c in decided.columns})
     keyed = docs.withColumn("__mix_words", words_in(F.col(text_column)))
     own = [keyed[c] for c in docs.columns]
@@ -162,7 +167,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                           & keyed[source_column].eqNullSafe(decisions["__mix_source"])
                           & (keyed["__mix_words"] == decisions["__mix_size"]))
 
-    dealt = met(named.where("__mix_rows = 1")).select(*own, "__mix_copies")
+    # Decisions grow with the documents, so they meet them in a sorted join whatever the size and are never broadcast.
+    dealt = met(named.where("__mix_rows = 1").hint("merge")).select(*own, "__mix_copies")
     # Rows that share an id, a source and a size are the exception; only they are numbered.
     several = named.where("__mix_rows > 1").select("__mix_id", "__mix_source", "__mix_size", "__mix_rows", "__mix_copies")
     if not several.isEmpty():

@@ -119,6 +119,36 @@ def test_near_duplicates_odd_rows(spark, odd_rows):
     assert minhash_dedup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_without_ids_and_with_one_id(spark):
+    text = prose(random.Random(1), 60)
+    near = text + " more"
+    rows = [(None, text, "a"), (None, near, "a"), (5, near, "a"), (8, prose(random.Random(2), 60), "a")]
+    got = minhash_dedup.near_duplicates(table(spark, rows), shingle_words=3, percent=85).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, 5, False), (0, 5, False), (5, 5, True), (8, 8, True)]
+    kept = minhash_dedup.keep_first(table(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 8]
+    for i in (None, 3):
+        kept = minhash_dedup.keep_first(table(spark, [(i, text, "a"), (i, near, "a"), (i, text, "a")])).collect()
+        assert [(r.doc_id, r.text in (text, near)) for r in kept] == [(i, True)]
+
+
+def test_settled_deletes_what_was_made_on_the_way(spark, tmp_path):
+    import os
+    made = []
+
+    def make():
+        made.append(_common.written(spark.range(5), "inner"))
+        inner = _common.settled(spark, lambda: _common.written(made[0], "deeper"), "nested")
+        made.append(inner)
+        return inner
+    kept = _common.settled(spark, make, "outer")
+    assert kept.count() == 5 and not _common._open
+    assert all(not os.path.exists(f.removeprefix("file://")) for df in made for f in df.inputFiles())
+    with pytest.raises(ValueError):
+        _common.settled(spark, lambda: int("x"), "broken")
+    assert not _common._open
+
+
 def test_keep_first_leaves_one_of_repeated_rows(spark):
     text = prose(random.Random(1), 30)
     kept = minhash_dedup.keep_first(table(spark, [(1, text, "a"), (1, text, "a"), (2, text, "a")]))
