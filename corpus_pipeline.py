@@ -7,7 +7,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from stationweave.llm import decontamination, minhash_dedup, mixing, token_files, toxicity
-from stationweave.llm._common import prepare, written
+from stationweave.llm._common import prepare, settled
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next stage's documents."""
+    """All stages over ``documents``; each result is written and read again as the next one's documents.
+
+    What a stage made on the way, token shards included, is deleted when its result is written, and so is the result of
+    the stage before.
+    """
     folder = sf_dir.rstrip("/")
-    docs = prepare(spark).read.parquet(f"{folder}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, folder), f"stage-{name}")
-    return docs
+
+    def upto(k: int) -> DataFrame:
+        if k < 0:
+            return prepare(spark).read.parquet(f"{folder}/documents.parquet")
+        name, stage = STAGES[k]
+        return settled(spark, lambda: stage(spark, upto(k - 1), folder), f"stage-{name}")
+
+    return upto(len(STAGES) - 1)
