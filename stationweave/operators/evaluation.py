@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from stationweave.functions.columns import hour_index
+from stationweave.functions.columns import clip_floor, hour_index
+from stationweave.functions.linalg import grouped_moments, linear_predictor, solve_moments
 from stationweave.functions.sequences import dense_index
 from stationweave.operators import effects, recursion, regression, spatial_regression
 from stationweave.operators.panel import panel_features
@@ -122,20 +123,88 @@ def score_summary(scores: DataFrame, keys: Sequence[str] = ("method",)) -> DataF
         F.avg("mae").alias("mae_mean"), F.stddev_samp("mae").alias("mae_sd"), F.avg("n").alias("n_mean"))
 
 
+def masked_regressors(panel: DataFrame, mask: DataFrame, value: str = "x", ts: str = "ts",
+                      group: Sequence[str] = effects.GROUP) -> DataFrame:
+    """Peer mean and effects of every masked cell that hides a value: (scenario, group, station, ts, truth, regressors).
+
+    A scenario's sums are the panel's less those of its masked cells. The panel is summed once for all scenarios, and what
+    is made per scenario is in proportion to the masked cells. The same numbers as decomposing each blanked panel.
+    """
+    group = list(group)
+    calendar = effects.with_calendar(panel, ts).where(F.col(value).isNotNull())
+    hidden = (calendar.join(mask.select("scenario", "station", ts).distinct(), ["station", ts])
+              .select("scenario", *group, "station", ts, F.col(value).alias("truth"), *effects.KINDS))
+    bucket = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("int").alias("bucket")) for k in effects.KINDS]))
+
+    # Station means per bucket, before and after hiding.
+    place = [*group, "station", "kind", "bucket"]
+    whole = (calendar.select(*group, "station", F.col(value).alias("_v"), bucket.alias("_k"))
+             .groupBy(*group, "station", "_k.kind", "_k.bucket").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n")))
+    less = (hidden.select("scenario", *group, "station", "truth", bucket.alias("_k"))
+            .groupBy("scenario", *group, "station", "_k.kind", "_k.bucket").agg(F.sum("truth").alias("_ds"), F.count("truth").alias("_dn")))
+    left = less.join(whole, place).withColumns({
+        "_was": F.col("_s") / F.col("_n"),
+        "_mean": F.when(F.col("_n") > F.col("_dn"), (F.col("_s") - F.col("_ds")) / (F.col("_n") - F.col("_dn")))})
+    # Means over the stations: the panel's, moved by the stations whose mean moved or went.
+    level = [*group, "kind", "bucket"]
+    overall = whole.groupBy(*level).agg(F.sum(F.col("_s") / F.col("_n")).alias("_t"), F.count(F.lit(1)).alias("_c"))
+    moved = left.groupBy("scenario", *level).agg(F.sum(F.coalesce("_mean", F.lit(0.0)) - F.col("_was")).alias("_dt"),
+                                                 F.count_if(F.col("_mean").isNull()).alias("_dc"))
+    moved = moved.join(overall, level).select(
+        "scenario", *level, F.try_divide(F.col("_t") + F.col("_dt"), F.col("_c") - F.col("_dc")).alias("_overall"))
+    effect = left.join(moved, ["scenario", *level]).select(
+        "scenario", *place, F.coalesce(F.col("_mean") - F.col("_overall"), F.lit(0.0)).alias("_effect"))
+    # A station's masked buckets of one scenario are at most 53 + 7 + 24.
+    entry = F.struct(F.concat_ws(":", "kind", "bucket"), F.col("_effect"))
+    packed = effect.groupBy("scenario", *group, "station").agg(F.map_from_entries(F.collect_list(entry)).alias("_effects"))
+
+    hour = [*group, *effects.KINDS]
+    peers = calendar.groupBy(*hour).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    gone = hidden.groupBy("scenario", *hour).agg(F.sum("truth").alias("_ds"), F.count("truth").alias("_dn"))
+    rest = gone.join(peers, hour).select(
+        "scenario", *hour, F.try_divide(F.when(F.col("_n") > F.col("_dn"), F.col("_s") - F.col("_ds")),
+                                        F.col("_n") - F.col("_dn")).alias("peer_mean"))
+    rows = hidden.join(rest, ["scenario", *hour]).join(packed, ["scenario", *group, "station"])
+    return rows.select("scenario", *group, "station", ts, "truth", "peer_mean", *[
+        F.try_element_at("_effects", F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))).alias(f"{k}_effect") for k in effects.KINDS])
+
+
+def imputation_estimates(
+    panel: DataFrame, mask: DataFrame, scenarios: int, methods: Sequence[str] = tuple(effects.METHODS),
+) -> DataFrame:
+    """(method, scenario, pollutant, truth, estimate) of every masked cell that hides a value.
+
+    The regressors of the masked cells come from sums by subtraction, once for all methods. Fitted weights need each
+    scenario's whole panel, as every row's regressors move with a bucket's mean: one decomposition gives the cross
+    products of a station, whose sums over stations are those of the pollutant.
+    """
+    unknown = set(methods) - set(effects.METHODS)
+    if unknown:
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
+    key = ["scenario", "pollutant"]
+    rows = masked_regressors(panel, mask)
+    x = [F.col(c) for c in effects.REGRESSORS]
+    fixed = sum((F.lit(w) * c for w, c in zip(effects.WEIGHTS[1:], x[1:], strict=True)), x[0])
+    estimates = {"sdem": fixed}
+    if set(methods) - {"sdem"}:
+        whole = effects.decomposition(masked_panel(panel, mask, scenarios), group=key)
+        sums = grouped_moments(whole, [*key, "station"], x, F.col("x")).where(F.col("moments")[0].isNotNull()).checkpoint()
+        size = len(x) * (len(x) + 1) // 2 + len(x)
+        added = sums.groupBy(*key).agg(F.array(*[F.sum(F.col("moments")[i]) for i in range(size)]).alias("moments"))
+        for name, table, by in (("sdem_global_weights", added, key), ("sdem_station_weights", sums, [*key, "station"])):
+            if name in methods:
+                weights = table.select(*by, solve_moments("moments").alias(f"_{name}"))
+                rows = rows.join(weights, by, "left")
+                estimates[name] = linear_predictor(F.col(f"_{name}"), x)
+    each = F.array(*[F.struct(F.lit(m).alias("method"), clip_floor(estimates[m]).alias("estimate")) for m in methods])
+    return rows.select(*key, "truth", F.explode(each).alias("_e")).select("_e.method", *key, "truth", "_e.estimate")
+
+
 def evaluate_imputation(
     panel: DataFrame, mask: DataFrame, scenarios: int, methods: Sequence[str] = tuple(effects.METHODS),
 ) -> DataFrame:
     """Scores per (method, scenario, pollutant) of the decomposition methods on the same masks, in one plan."""
-    blanked = masked_panel(panel, mask, scenarios)
-    frames = []
-    for name in methods:
-        filled = effects.METHODS[name](blanked, group=("scenario", "pollutant"))
-        frames.append(filled.where(F.col("truth").isNotNull()).select(
-            F.lit(name).alias("method"), "scenario", "pollutant", "truth", F.col("x").alias("estimate")))
-    stacked = frames[0]
-    for f in frames[1:]:
-        stacked = stacked.unionByName(f)
-    return score(stacked, ["method", "scenario", "pollutant"])
+    return score(imputation_estimates(panel, mask, scenarios, methods), ["method", "scenario", "pollutant"])
 
 
 def gwr_fill(

@@ -53,7 +53,7 @@ def design(features: Sequence[str]) -> list[Column]:
 
 def gamma_glm(
     df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], link: str = "identity",
-    iterations: int = PASSES, tolerance: float = 1e-5,
+    iterations: int = PASSES, tolerance: float | None = 1e-5,
 ) -> DataFrame:
     """Gamma regression of every group at once: (keys, coefficients), intercept first.
 
@@ -62,6 +62,7 @@ def gamma_glm(
     fitted mean is not taken below a tenth of the group's mean, which bounds the weights of rows the identity link
     would send to zero or below. Stops on the relative deviance change of the slowest group; groups without a solution
     count as settled. If ``iterations`` passes don't settle every group, a warning says how many are left.
+    ``tolerance=None`` makes exactly ``iterations`` passes after the first one.
     """
     if link not in ("identity", "log"):
         raise ValueError(f"unknown link: {link}")
@@ -75,13 +76,15 @@ def gamma_glm(
     rows = df.select(*keys, *features, F.when(usable & (y > 0), y).alias("_y")).persist()
     y = F.col("_y")
     try:
-        current = _solved(_shaped(rows, link, y), keys, x)
+        current = _solved(shaped(rows, link, y), keys, x)
         for _ in range(iterations):
             known = current.select(*keys, "coefficients", F.col("deviance").alias("_before"), "_mean")
             joined = rows.join(known, keys) if keys else rows.withColumns({
                 c: known.select(c).scalar() for c in ("coefficients", "_before", "_mean")})
             eta = linear_predictor(F.col("coefficients"), x)
-            current = _solved(_shaped(joined, link, y, eta), keys, x)
+            current = _solved(shaped(joined, link, y, eta), keys, x)
+            if tolerance is None:
+                continue
             change = F.abs(F.col("deviance") - F.col("_before")) / (F.abs("deviance") + 0.1)
             # A group without a solution has nothing that could still move.
             change = F.when(F.col("coefficients").isNull(), 0.0).otherwise(F.coalesce(change, F.lit(1.0)))
@@ -89,13 +92,14 @@ def gamma_glm(
             if not moving:
                 break
         else:
-            warnings.warn(f"{moving} groups still move after {iterations} passes", stacklevel=2)
+            if tolerance is not None:
+                warnings.warn(f"{moving} groups still move after {iterations} passes", stacklevel=2)
         return current.select(*keys, "coefficients")
     finally:
         rows.unpersist()
 
 
-def _shaped(rows: DataFrame, link: str, y: Column, eta: Column | None = None) -> DataFrame:
+def shaped(rows: DataFrame, link: str, y: Column, eta: Column | None = None) -> DataFrame:
     """Working response, weight and deviance contribution of every row; the first pass is plain least squares."""
     if eta is None:
         unknown = F.lit(None).cast("double")
@@ -182,19 +186,6 @@ def spline_columns(df: DataFrame, column: str, knots: Sequence[float], prefix: s
     return df.withColumns(made), list(made)
 
 
-def smooth_time_glm(
-    df: DataFrame, target: str, features: Sequence[str], link: str = "log", factor: str | None = None,
-    time: str = "time", ridge: float = 1e-3,
-) -> tuple[DataFrame, GeneralizedLinearRegressionModel, list[str]]:
-    """Pooled Gamma model with a smooth of the hour of the week: a spline basis with a fixed ridge.
-
-    Returns the table with its basis columns, the model and the feature names.
-    """
-    rows, basis = spline_columns(df, time, WEEK_KNOTS, "smooth_")
-    model, names = pooled_glm(rows, target, [*features, *basis], link, factor, ridge)
-    return (dummy_columns(rows, names, factor) if factor else rows), model, names
-
-
 def forest(
     df: DataFrame, target: str, features: Sequence[str], factor: str | None = None, trees: int = 20, depth: int = 5,
     seed: int = 77,

@@ -31,19 +31,12 @@ def _known(statistics: DataFrame) -> DataFrame:
     return statistics.where(F.col("moments")[0].isNotNull())
 
 
-def _weighted_sums(
-    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidth: float, time: bool = False,
-    leave_out: bool = False,
-) -> DataFrame:
-    """Kernel-weighted sum of the statistics at every target station: (keys, target, moments).
+def _pairs(statistics: DataFrame, targets: DataFrame, keys: list[str], payload: list[str], reach: float) -> DataFrame:
+    """Blocks of targets with the blocks of statistics within reach: (keys, targets, sources).
 
-    Source blocks are copied to the target tiles within the kernel's exact reach and met by an equi-join; a block pair
-    is one matrix product.
+    Source blocks are copied to the target tiles within the kernel's exact reach and met by an equi-join.
     """
-    share = SPACE_SHARE if time else 1.0
-    reach = UNDERFLOW * bandwidth / share
     tile = max(reach / 2, 1e-6)
-    payload = ["station", "moments", *(["dt"] if time else [])]
     # The statistics are re-tiled per target tile, so blocks stay as bounded as the station tiles.
     sources = source_blocks(statistics, keys, "station", payload, tile, rows=128)
 
@@ -54,7 +47,28 @@ def _weighted_sums(
     wanted = source_blocks(targets, keys, "station", ["station"], tile, rows=128)
     wanted = (wanted.withColumns({"_gx": F.floor(F.col("lon0") / tile), "_gy": F.floor(F.col("lat0") / tile)})
               .select(*keys, "_gx", "_gy", F.col("sources").alias("targets")))
-    pairs = wanted.join(spread, [*keys, "_gx", "_gy"])
+    return wanted.join(spread, [*keys, "_gx", "_gy"])
+
+
+def _weighted_sums(
+    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidth: float, time: bool = False,
+    leave_out: bool = False, reach: float | None = None,
+) -> DataFrame:
+    """Kernel-weighted sum of the statistics at every target station: (keys, target, moments).
+
+    A block pair is one matrix product.
+    """
+    return _array_sum(_weighted_parts(statistics, targets, keys, bandwidth, time, leave_out, reach), [*keys, "station"])
+
+
+def _weighted_parts(
+    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidth: float, time: bool, leave_out: bool,
+    reach: float | None,
+) -> DataFrame:
+    """One weighted sum per target and block of statistics."""
+    share = SPACE_SHARE if time else 1.0
+    payload = ["station", "moments", *(["dt"] if time else [])]
+    pairs = _pairs(statistics, targets, keys, payload, UNDERFLOW * bandwidth / share if reach is None else reach)
 
     def kernel(t: dict, s: dict) -> dict:
         d = np.hypot(t["lon"][:, None] - s["lon"][None, :], t["lat"][:, None] - s["lat"][None, :])
@@ -67,8 +81,7 @@ def _weighted_sums(
 
     fields = T.StructType([T.StructField("station", T.StringType()),
                            T.StructField("part", T.ArrayType(T.DoubleType()))])
-    parts = reduce_pairs(pairs, keys, ["lon", "lat", "station"], ["lon", "lat", *payload], kernel, fields)
-    return _array_sum(parts, [*keys, "station"])
+    return reduce_pairs(pairs, keys, ["lon", "lat", "station"], ["lon", "lat", *payload], kernel, fields)
 
 
 def _array_sum(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,19 +114,28 @@ def gtwr(
     """Local coefficients per (station, hour of the week) with a kernel on space and time together.
 
     The space-time distance is (sqrt(a * space) + sqrt((1 - a) * hours)) ** 2 with a = SPACE_SHARE. A statistic is
-    copied to the hours its weight can reach, which the bandwidth bounds.
+    copied to the hours its weight can reach, and for each lag in hours only to the stations that the rest of the
+    distance still reaches (``lag_reaches``), so the pairs thin out as the hours grow apart.
     """
     statistics = station_moments(rows, ["station", time], target, features)
-    hours = math.floor(UNDERFLOW * bandwidth / (1 - SPACE_SHARE))
-    shifts = F.explode(F.sequence(F.lit(-hours), F.lit(hours)))
-    copied = (statistics.withColumn("dt", shifts)
-              .withColumns({time: F.col(time) + F.col("dt"), "dt": F.col("dt").cast("double")})
-              .where(F.col(time).between(1, 168)))
     # A station's copies from different hours share its identity; each is its own row of a block.
     slots = targets.select("station", "lon", "lat").withColumn(
         time, F.explode(F.sequence(F.lit(1), F.lit(168))))
-    sums = _weighted_sums(copied, slots, [time], bandwidth, time=True)
-    return sums.select("station", time, solve_moments("moments").alias("coefficients"))
+    parts = None
+    for lag, reach in enumerate(lag_reaches(bandwidth)):
+        copied = (statistics.withColumn("dt", F.explode(F.array(*[F.lit(d) for d in sorted({-lag, lag})])))
+                  .withColumns({time: F.col(time) + F.col("dt"), "dt": F.col("dt").cast("double")})
+                  .where(F.col(time).between(1, 168)))
+        part = _weighted_parts(copied, slots, [time], bandwidth, True, False, reach)
+        parts = part if parts is None else parts.unionByName(part)
+    return _array_sum(parts, [time, "station"]).select("station", time, solve_moments("moments").alias("coefficients"))
+
+
+def lag_reaches(bandwidth: float) -> list[float]:
+    """Degrees within which a Gaussian space-time weight isn't exactly zero, for 0, 1, 2, ... hours apart."""
+    most = UNDERFLOW * bandwidth
+    hours = math.floor(most / (1 - SPACE_SHARE))
+    return [(math.sqrt(most) - math.sqrt((1 - SPACE_SHARE) * lag)) ** 2 / SPACE_SHARE for lag in range(hours + 1)]
 
 
 def bandwidth_cv(

@@ -86,8 +86,8 @@ KM = ("2 * 6371.0088e0 * asin(sqrt(pow(sin(radians(lat - y) / 2), 2)"
       " + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2)))")
 
 
-def sql(body: str, *views: str, extra: dict[str, str] | None = None) -> str:
-    """Query text with the named views, and what they need, as common table expressions."""
+def sql(body: str, *views: str, extra: dict[str, str] | None = None, kept: bool = False) -> str:
+    """Query text with the named views, and what they need, as common table expressions; ``kept`` stores the extra ones."""
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -98,5 +98,5 @@ def sql(body: str, *views: str, extra: dict[str, str] | None = None) -> str:
         order.append(name)
     for v in views:
         need(v)
-    parts = [f"{n} as ({VIEWS[n][1]})" for n in order] + [f"{n} as ({t})" for n, t in (extra or {}).items()]
+    parts = [f"{n} as ({VIEWS[n][1]})" for n in order] + [f"{n} as {'materialized ' if kept else ''}({t})" for n, t in (extra or {}).items()]
     return ("with " + ", ".join(parts) + " " if parts else "") + body

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
@@ -12,6 +14,7 @@ from stationweave.operators import (
 from stationweave.plans.binding import POLLUTANTS, Tables
 from stationweave.plans.oracle_views import KM, LOCAL, PARTS, day, r, sql, stamp
 from stationweave.plans.registry import query
+from stationweave.session import ensure_checkpoint_dir
 
 # ---- aggregation
 
@@ -630,31 +633,47 @@ SCORES = (f"count(*)::bigint as n, {r('1 - sum(pow(truth - est, 2)) / nullif(var
 METHOD_VIEWS = MASKED | decomposition_views("blank", "scenario, pollutant")
 
 
-EVALUATION = METHOD_VIEWS | {"scored": f"select 'sdem' as method, scenario, pollutant, {SCORES} from (select *, "
-                             f"{filled(FIXED)} as est from dec) q where truth is not null and est is not null group by all"}
+def renamed(views: dict[str, str], prefix: str) -> dict[str, str]:
+    """Solving views under names of their own."""
+    return {prefix + n: re.sub(r"\b([sk]\d)\b", prefix + r"\1", t) for n, t in views.items()}
+
+
+def _clipped(estimate: str) -> str:
+    return f"case when {estimate} <= 0 then 0.01e0 else {estimate} end"
+
+
+METHOD_VIEWS |= renamed(weight_views("scenario, pollutant"), "g") | renamed(weight_views("scenario, pollutant, station"), "o") | {
+    "estimated": " union all ".join([
+        f"select 'sdem' as method, scenario, pollutant, truth, {_clipped(FIXED)} as est from dec",
+        f"select 'sdem_global_weights', dec.scenario, dec.pollutant, truth, {_clipped(WEIGHTED)} from dec join gk0 "
+        "on gk0.scenario = dec.scenario and gk0.pollutant = dec.pollutant",
+        f"select 'sdem_station_weights', dec.scenario, dec.pollutant, truth, {_clipped(WEIGHTED)} from dec join ok0 "
+        "on ok0.scenario = dec.scenario and ok0.pollutant = dec.pollutant and ok0.station = dec.station"]),
+    "judged": "select * from estimated where truth is not null and est is not null",
+}
 
 
-@query("evaluate_imputation", sql("select * from scored", "panel", extra=EVALUATION))
+@query("evaluate_imputation", sql(f"select method, scenario, pollutant, {SCORES} from judged group by all", "panel", extra=METHOD_VIEWS,
+                                  kept=True))
 def _(t: Tables) -> DataFrame:
-    mask = evaluation.inject_gaps(t.panel_obs, SCENARIOS, SEED)
-    return evaluation.evaluate_imputation(t.panel, mask, SCENARIOS, ["sdem"])
+    ensure_checkpoint_dir(t.spark)
+    mask = evaluation.inject_gaps(t.panel_obs, SCENARIOS, SEED).checkpoint()
+    return evaluation.evaluate_imputation(t.panel, mask, SCENARIOS)
 
 
-_RAW_SCORED = {"scored": "select scenario, count(*) as n, 1 - sum(pow(truth - est, 2)) / nullif(var_pop(truth) * count(*), 0) "
-               f"as r2, sqrt(avg(pow(truth - est, 2))) as rmse, avg(abs(truth - est)) as mae from (select *, {filled(FIXED)} as est "
-               "from dec) q where truth is not null and est is not null group by all"}
+_RAW_SCORED = {"scored": "select method, scenario, count(*) as n, 1 - sum(pow(truth - est, 2)) / nullif(var_pop(truth) * count(*), 0) "
+               "as r2, sqrt(avg(pow(truth - est, 2))) as rmse, avg(abs(truth - est)) as mae from judged group by all"}
 
 
 @query("score_summary", sql(
-    f"select 'sdem' as method, {r('avg(r2)')} as r2_mean, {r('avg(rmse)')} as rmse_mean, {r('stddev_samp(rmse)')} as rmse_sd, "
-    f"{r('avg(mae)')} as mae_mean, {r('stddev_samp(mae)')} as mae_sd, {r('avg(n)')} as n_mean from scored", "panel",
-    extra=METHOD_VIEWS | _RAW_SCORED))
-def _(t: Tables) -> DataFrame:
-    mask = evaluation.inject_gaps(t.panel_obs, SCENARIOS, SEED)
-    blanked = evaluation.masked_panel(t.panel, mask, SCENARIOS)
-    done = effects.sdem(blanked, group=("scenario", "pollutant")).withColumn("method", F.lit("sdem"))
-    scores = evaluation.score(done.withColumnRenamed("x", "estimate"), ["method", "scenario"])
-    return evaluation.score_summary(scores)
+    f"select method, {r('avg(r2)')} as r2_mean, {r('avg(rmse)')} as rmse_mean, {r('stddev_samp(rmse)')} as rmse_sd, "
+    f"{r('avg(mae)')} as mae_mean, {r('stddev_samp(mae)')} as mae_sd, {r('avg(n)')} as n_mean from scored group by method", "panel",
+    extra=METHOD_VIEWS | _RAW_SCORED, kept=True))
+def _(t: Tables) -> DataFrame:
+    ensure_checkpoint_dir(t.spark)
+    mask = evaluation.inject_gaps(t.panel_obs, SCENARIOS, SEED).checkpoint()
+    estimates = evaluation.imputation_estimates(t.panel, mask, SCENARIOS)
+    return evaluation.score_summary(evaluation.score(estimates, ["method", "scenario"]))
 
 
 def _score(name: str, expression: str) -> None:

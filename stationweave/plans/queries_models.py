@@ -5,12 +5,13 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from stationweave.functions.columns import time_of_week
 from stationweave.operators import (
-    aggregate, effects, evaluation, panel, recursion, regression, rolling, spatial_regression, stations,
+    aggregate, effects, evaluation, panel, recursion, regression, rolling, smooth, spatial_regression, stations,
 )
 from stationweave.plans.binding import COVARIATE, SECOND_COVARIATE, TARGET, Tables
 from stationweave.plans.oracle_views import r, sql, stamp
-from stationweave.plans.queries_analytics import LOCF_SQL, SCENARIOS, SEED, moment_sql, solve_views
+from stationweave.plans.queries_analytics import CALENDAR, LOCF_SQL, SCENARIOS, SEED, moment_sql, renamed, solve_views
 from stationweave.plans.registry import query
 from stationweave.session import ensure_checkpoint_dir
 
@@ -85,11 +86,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("gam_smooth_time")
 def _(t: Tables) -> DataFrame:
-    rows, model, names = regression.smooth_time_glm(_pooled_rows(t), TARGET, POOLED, "log", "type")
-    from stationweave.functions.linalg import linear_predictor
-    beta = F.array(*[F.lit(c) for c in regression.pooled_coefficients(model)])
-    eta = linear_predictor(beta, [F.lit(1.0), *[F.col(f"`{n}`") for n in names]])
-    return rows.select("station", "ts", F.exp(eta).alias("fitted"))
+    """The smooth of the hour of the week beside lags, covariates and the station type; strength by cross-validation over days."""
+    rows = _pooled_rows(t)
+    # One row per station type.
+    types = sorted(x["type"] for x in rows.select("type").distinct().collect() if x["type"] is not None)[:-1]
+    names = [f"type={v}" for v in types]
+    rows = regression.dummy_columns(rows, names, "type")
+    smooths = [smooth.Smooth("time")]
+    fit = smooth.additive_gamma(rows, TARGET, [*POOLED, *names], smooths, fold=F.xxhash64(F.to_date("ts")))
+    return smooth.with_fitted(rows, fit, smooths).select("station", "ts", "fitted")
 
 
 @query("rf_impute")
@@ -147,7 +152,27 @@ def _(t: Tables) -> DataFrame:
     return terms(spatial_regression.gwr(rows, places, TARGET, names, BANDWIDTH), names, "station")
 
 
-@query("gtwr")
+_HOURS = f"(sqrt(0.05e0 * sqrt{_SQUARED}) + sqrt(0.95e0 * abs(t.slot - u.slot)))"
+_TIMED_SUMS = ", ".join([f"sum(w * a{i}{j}) as a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum(w * b{i}) as b{i}" for i in range(3)])
+GTWR_VIEWS = LOCAL_VIEWS | {
+    "slots": f"select *, (d - 1) * 24 + h as slot from (select *, {CALENDAR} from ft) q",
+    "st2": f"select station, slot, {moment_sql(['1e0', 'l1', 'v'], 'y')} from slots where l1 is not null group by 1, 2",
+    "s0": f"select station, slot, {_TIMED_SUMS} from (select t.station, t.slot, exp(-0.5e0 * pow(pow({_HOURS}, 2) / 0.2e0, 2)) as w, "
+          "u.* exclude (station, slot, lon, lat) from (select *, unnest(generate_series(1, 168)) as slot from pl) t join "
+          "(select * from st2 join pl using (station)) u on u.slot between t.slot - 8 and t.slot + 8) q group by 1, 2",
+} | solve_views("station, slot", 3)
+
+
+@query("gtwr", sql(" union all ".join(
+    f"select station, slot::bigint as time, '{name}' as term, {r(f'c{i}')} as coefficient from k0"
+    for i, name in enumerate(["intercept", "click_lag1", "view"])), "panel", extra=GTWR_VIEWS, kept=True))
+def _(t: Tables) -> DataFrame:
+    rows = local_rows(t).withColumn("time", time_of_week("ts"))
+    names = [*regression.lag_names(TARGET, (1,)), COVARIATE]
+    return terms(spatial_regression.gtwr(rows, t.panel_place.select("station", "lon", "lat"), TARGET, names), names, "station", "time")
+
+
+@query("gtwr_filled")
 def _(t: Tables) -> DataFrame:
     base = warmed_panel(t)
     rows = panel.panel_features(base, TARGET, [COVARIATE])
@@ -156,6 +181,183 @@ def _(t: Tables) -> DataFrame:
     return terms(spatial_regression.gtwr(rows, places, TARGET, names), names, "station", "time")
 
 
+# ---- Gamma regressions after a fixed number of passes, so that SQL can follow them
+
+PASSES = 3
+# A lead beside the lags; the fit for hours whose later values are known.
+AHEAD = ["click_lag1", "click_lead1", "view"]
+
+
+def weighted_sql(regressors: list[str], target: str, weight: str) -> str:
+    """``moment_sql`` with a weight."""
+    p = len(regressors)
+    sums = [f"sum({weight} * {regressors[i]} * {regressors[j]}) as a{i}{j}" for i in range(p) for j in range(i, p)]
+    return ", ".join(sums + [f"sum({weight} * {x} * {target}) as b{i}" for i, x in enumerate(regressors)])
+
+
+def gamma_views(regressors: list[str], passes: int) -> dict[str, str]:
+    """Identity-link Gamma fits per station: least squares, then reweighted passes. The result is in view z{passes}k0."""
+    p = len(regressors)
+    views = LOCAL_VIEWS | {
+        "ft2": "select *, lead(y, 1) over (partition by station order by ts) as n1 from ft",
+        "use": "select *, avg(y) over (partition by station) as ym from ft2 where y > 0 and "
+               + " and ".join(f"{x} is not null" for x in regressors[1:])}
+    eta = " + ".join(f"c{i} * {x}" for i, x in enumerate(regressors))
+    for k in range(passes + 1):
+        if k:
+            views[f"w{k}"] = (f"select use.*, 1e0 / pow(greatest({eta}, 0.1e0 * ym), 2) as w from use "
+                              f"join z{k - 1}k0 on z{k - 1}k0.station = use.station")
+        source, weight = (f"w{k}", "w") if k else ("use", "1e0")
+        made = {"s0": f"select station, {weighted_sql(regressors, 'y', weight)} from {source} group by 1"} | solve_views("station", p)
+        views |= renamed(made, f"z{k}")
+    return views
+
+
+def gamma_terms(names: list[str]) -> str:
+    return " union all ".join(f"select station, '{n}' as term, {r(f'c{i}')} as coefficient from z{PASSES}k0"
+                              for i, n in enumerate(["intercept", *names]))
+
+
+@query("glm_gamma_station_passes", sql(gamma_terms(LOCAL), "panel", extra=gamma_views(["1e0", "l1", "l2", "v"], PASSES), kept=True))
+def _(t: Tables) -> DataFrame:
+    return terms(regression.gamma_glm(local_rows(t), ["station"], TARGET, LOCAL, iterations=PASSES, tolerance=None), LOCAL, "station")
+
+
+@query("glm_gamma_station_fwd_passes", sql(gamma_terms(AHEAD), "panel", extra=gamma_views(["1e0", "l1", "n1", "v"], PASSES), kept=True))
+def _(t: Tables) -> DataFrame:
+    rows = panel.add_leads(local_rows(t), TARGET, ["station"], leads=(1,))
+    return terms(regression.gamma_glm(rows, ["station"], TARGET, AHEAD, iterations=PASSES, tolerance=None), AHEAD, "station")
+
+
+# ---- smooths of the hour of the week and, by station, of a covariate
+
+TIME_KNOTS, COVARIATE_KNOTS, STRENGTH = (1.0, 43.0, 85.0, 127.0, 168.0), (0.0, 20.0, 60.0, 200.0), 0.01
+
+
+def spline_sql(column: str, knots: tuple[float, ...]) -> list[str]:
+    """The natural cubic basis: a straight line, then differences of bends."""
+    span = knots[-1] - knots[0]
+    x = f"(({column} - {knots[0]!r}e0) / {span!r}e0)"
+    k = [(v - knots[0]) / span for v in knots]
+
+    def cube(at: float) -> str:
+        return f"pow(greatest({x} - {at!r}e0, 0e0), 3)"
+
+    def bend(i: int) -> str:
+        return f"({cube(k[i])} - {cube(k[-1])}) / {k[-1] - k[i]!r}e0"
+    return [x] + [f"({bend(i)} - {bend(len(k) - 2)})" for i in range(len(k) - 2)]
+
+
+def roughness_sql(knots: tuple[float, ...]) -> dict[tuple[int, int], str]:
+    """Integrals of products of the bends' second derivatives, as a cubic in the knots: for knots a <= b the product of
+    6 (x - a) and 6 (x - b), integrated from b to 1. Scaled to a trace of 1."""
+    k = [(v - knots[0]) / (knots[-1] - knots[0]) for v in knots]
+    last, n = len(k) - 2, len(k) - 2
+
+    def ramp(i: int, j: int) -> float:
+        low, high = min(k[i], k[j]), max(k[i], k[j])
+        d = 1 - high
+        return 36 * (d ** 3 / 3 + (high - low) * d ** 2 / 2) / ((1 - k[i]) * (1 - k[j]))
+
+    def value(i: int, j: int) -> float:
+        return ramp(i, j) - ramp(i, last) - ramp(last, j) + ramp(last, last)
+    trace = sum(value(i, i) for i in range(n))
+    return {(i + 1, j + 1): f"{value(i, j) / trace!r}e0" for i in range(n) for j in range(i, n)}
+
+
+def _steps(by: str, source: str, prefix: str, steps: range, p: int, start: int, also: str = "") -> dict[str, str]:
+    """Elimination of some variables from the sums a.., b.., one view per variable."""
+    views = {}
+    for k in steps:
+        made = [by] if by else []
+        for i in range(start, p):
+            for j in range(i, p):
+                made.append(f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} as a{i}{j}" if i > k else f"a{i}{j}")
+            made.append(f"b{i} - a{k}{i} * b{k} / a{k}{k} as b{i}" if i > k else f"b{i}")
+        views[f"{prefix}{k}"] = f"select {', '.join(made)}{also} from {source}"
+        source = f"{prefix}{k}"
+    return views
+
+
+def smooth_views(passes: int) -> dict[str, str]:
+    """Log-link fits with penalised smooths: stations' blocks are eliminated, the rest is summed, solved and put back."""
+    own, shared = spline_sql("v", COVARIATE_KNOTS), spline_sql("slot", TIME_KNOTS)
+    nl, nt = len(own), len(shared)
+    p = nl + 2 + nt
+    names = [f"g{i}" for i in range(nl)] + ["1e0", "l1"] + [f"t{i}" for i in range(nt)]
+    strength = f"{STRENGTH!r}e0"
+    local, pooled = roughness_sql(COVARIATE_KNOTS), roughness_sql(TIME_KNOTS)
+    views = LOCAL_VIEWS | {
+        "base": f"select station, y, l1, {', '.join(f'{e} as u{i}' for i, e in enumerate(own))}, "
+                f"{', '.join(f'{e} as t{i}' for i, e in enumerate(shared))} from (select *, (d - 1) * 24 + h as slot from "
+                f"(select *, {CALENDAR} from ft) q) q where y > 0 and l1 is not null and v is not null",
+        "use": f"select *, {', '.join(f'u{i} - avg(u{i}) over (partition by station) as g{i}' for i in range(nl))} from base",
+    }
+    eta = " + ".join(f"c{i} * {x}" for i, x in enumerate(names))
+    for n in range(passes + 1):
+        if n:
+            views[f"eta{n}"] = f"select use.*, {eta} as eta from use join back{n - 1} on back{n - 1}.station = use.station"
+            views[f"z{n}"] = f"select *, eta + (y - exp(eta)) / exp(eta) as z from eta{n}"
+        else:
+            views["z0"] = "select *, ln(y) as z from use"
+        views[f"raw{n}"] = f"select station, count(*) as n, {moment_sql(names, 'z')} from z{n} group by 1"
+        made = [f"a{i}{j} + {strength} * n * {local[i, j]} as a{i}{j}" if (i, j) in local and j < nl else f"a{i}{j}"
+                for i in range(p) for j in range(i, p)]
+        views[f"pen{n}"] = f"select station, n, {', '.join(made)}, {', '.join(f'b{i}' for i in range(p))} from raw{n}"
+        views |= _steps("station", f"pen{n}", f"el{n}_", range(nl), p, 0, ", n")
+        last = f"el{n}_{nl - 1}"
+        # The smooth of the hour starts behind the intercept and the lag.
+        at = nl + 2
+        sums = [f"sum(a{i}{j})" + (f" + {strength} * sum(n) * {pooled[i - at, j - at]}" if (i - at, j - at) in pooled else "")
+                + f" as a{i}{j}" for i in range(nl, p) for j in range(i, p)]
+        views[f"tot{n}"] = f"select {', '.join(sums)}, {', '.join(f'sum(b{i}) as b{i}' for i in range(nl, p))} from {last}"
+        views |= _steps("", f"tot{n}", f"sh{n}_", range(nl, p - 1), p, nl)
+        source = f"sh{n}_{p - 2}"
+        for k in range(p - 1, nl - 1, -1):
+            rest = "".join(f" - a{k}{j} * c{j}" for j in range(k + 1, p))
+            views[f"so{n}_{k}"] = f"select *, (b{k}{rest}) / a{k}{k} as c{k} from {source}"
+            source = f"so{n}_{k}"
+        views[f"beta{n}"] = f"select {', '.join(f'c{i}' for i in range(nl, p))} from {source}"
+        source = f"(select * from {last} cross join beta{n}) q"
+        for k in range(nl - 1, -1, -1):
+            rest = "".join(f" - a{k}{j} * c{j}" for j in range(k + 1, p))
+            views[f"bk{n}_{k}"] = f"select *, (b{k}{rest}) / a{k}{k} as c{k} from {source}"
+            source = f"bk{n}_{k}"
+        views[f"back{n}"] = f"select station, {', '.join(f'c{i}' for i in range(p))} from {source}"
+    return views
+
+
+_OWN = [f"smooth_view_{i}" for i in range(len(COVARIATE_KNOTS) - 1)]
+_SHARED = ["intercept", "click_lag1", *[f"smooth_time_{i}" for i in range(len(TIME_KNOTS) - 1)]]
+
+
+@query("gam_smooth_station", sql(" union all ".join(
+    [f"select station, '{n}' as term, {r(f'c{i}')} as coefficient from back1" for i, n in enumerate(_OWN)]
+    + [f"select 'all' as station, '{n}' as term, {r(f'c{len(_OWN) + i}')} as coefficient from beta1" for i, n in enumerate(_SHARED)]),
+    "panel", extra=smooth_views(1), kept=True))
+def _(t: Tables) -> DataFrame:
+    """A smooth of the hour of the week and one of a covariate by station, at a fixed strength, after one reweighted pass."""
+    rows = local_rows(t).withColumn("time", time_of_week("ts"))
+    smooths = [smooth.Smooth("time", TIME_KNOTS), smooth.Smooth(COVARIATE, COVARIATE_KNOTS, by_station=True)]
+    fit = smooth.additive_gamma(rows, TARGET, ["click_lag1"], smooths, strengths={"time": STRENGTH, COVARIATE: STRENGTH},
+                                iterations=1, tolerance=None)
+    shared = t.spark.createDataFrame([("all", n, c) for n, c in zip(["intercept", *fit.names], fit.shared, strict=True)],
+                                     "station string, term string, coefficient double")
+    labels = F.array(*[F.lit(n) for n in fit.local_names])
+    own = fit.local.select("station", F.explode(F.arrays_zip(labels.alias("term"), F.col("own").alias("coefficient"))).alias("_t"))
+    return own.select("station", "_t.term", "_t.coefficient").unionByName(shared)
+
+
+@query("gam_smooth_station_fitted")
+def _(t: Tables) -> DataFrame:
+    """The same terms with strengths chosen by cross-validation, passes until they settle, on the filled panel."""
+    rows = _pooled_rows(t)
+    smooths = [smooth.Smooth("time"), smooth.Smooth(COVARIATE, COVARIATE_KNOTS, by_station=True)]
+    fit = smooth.additive_gamma(rows, TARGET, [*regression.lag_names(TARGET, panel.LONG_LAGS), SECOND_COVARIATE], smooths,
+                                fold=F.xxhash64(F.to_date("ts")))
+    return smooth.with_fitted(rows, fit, smooths).select("station", "ts", "fitted")
+
+
 CANDIDATES = [0.2, 0.3, 0.478, 1.0]
 _GRAM = " + ".join(f"{1 if i == j else 2} * c{i} * c{j} * st.a{i}{j}" for i in range(4) for j in range(i, 4))
 _CROSS = " + ".join(f"c{i} * st.b{i}" for i in range(4))
