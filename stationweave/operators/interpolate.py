@@ -22,6 +22,8 @@ SAME_PLACE_KM = 1e-9
 SIDE = 16  # lattice points per block side
 TILE = 1.0  # degrees per station tile
 STATION_ROWS = 256  # stations per block, on average
+SLICE = 64  # dates whose values share one weight matrix, on average
+TILE_SIZES = (1.0, 2.0, 4.0, 8.0, 24.0, 72.0, 360.0)  # whole tiles of TILE degrees, and whole parts of a turn
 
 CELL = ("i", "j", "x", "y")
 
@@ -88,12 +90,7 @@ def _reach(sources: DataFrame, blocks: DataFrame, maxdist: float | None) -> Data
     low_x, high_x = F.col("_s.bx0"), F.col("_s.bx1")
     low_y, high_y = F.col("_s.by0"), F.col("_s.by1")
     if maxdist is not None:
-        degrees = maxdist / KM_PER_DEGREE + 1e-9
-        angle = min(maxdist / EARTH_RADIUS_KM, math.pi / 2)
-        top = F.greatest(F.abs("lat0"), F.abs("lat1"))
-        ratio = F.lit(math.sin(angle)) / F.cos(F.radians(top))
-        wide = F.when((top + degrees < 90) & (ratio < 1),
-                      F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) + 1e-9).otherwise(F.lit(360.0))
+        degrees, wide = _degrees(F.lit(float(maxdist)), F.greatest(F.abs("lat0"), F.abs("lat1")))
 
         def block(value: Column, origin: str) -> Column:
             return F.floor((value - F.col(f"_s.{origin}")) / F.col("_s.step") / SIDE)
@@ -128,40 +125,69 @@ def _least_km() -> Column:
     return F.greatest(north, F.when(wraps, 0.0).otherwise(across))
 
 
-def _most_km() -> Column:
-    """Upper bound of the distance between a source box and a lattice block."""
-    tall = F.greatest("lat1", "y1") - F.least("lat0", "y0")
-    wide = F.greatest("lon1", "x1") - F.least("lon0", "x0")
-    return (tall + wide) * KM_PER_DEGREE
+def _near_blocks(named: DataFrame, blocks: DataFrame, keys: list[str], nmax: int, maxdist: float | None) -> DataFrame:
+    """Source blocks that may hold one of the nmax nearest stations of a point of a lattice block: (keys, bx, by, block).
 
-
-def _nearest_blocks(reached: DataFrame, keys: list[str], blocks: DataFrame, nmax: int) -> DataFrame:
-    """Drop source blocks that cannot hold one of the nmax nearest stations of any point of the lattice block.
-
-    Enough stations lie in the blocks whose farthest corner is within some distance; blocks whose nearest corner is
-    beyond that distance are useless. Works on block outlines, not on stations.
+    A ring search in a pyramid of tile counts. A lattice block takes the smallest tiles whose three by three around it hold
+    nmax stations; all of those are within the size of that square, so stations farther away are of no use. Only source
+    blocks in the tiles within that bound are paired with it, whatever the number of stations elsewhere. Tiles go round the
+    date line.
     """
+    size, turns = F.col("size"), 360.0 / F.col("size")
+    sizes = F.explode(F.array(*[F.lit(v) for v in TILE_SIZES]))
+
+    def column(value: Column) -> Column:
+        return F.floor((value + 180.0) / size)
+
+    def round_trip(low: Column, high: Column) -> Column:
+        """Tile columns from low to high, at most once each."""
+        return F.array_distinct(F.transform(F.sequence(low, F.least(high, low + turns.cast("long") - 1)),
+                                            lambda v: F.pmod(v, turns.cast("long"))))
+
+    def row(value: Column) -> Column:
+        return F.floor((value + 90.0) / size)
+    placed = named.drop("sources").withColumn("size", sizes).withColumns({
+        "_tx": F.pmod(column(F.col("lon0")), turns.cast("long")), "_ty": row(F.col("lat0"))})
+    counts = placed.groupBy(*keys, "size", "_tx", "_ty").agg(F.sum("n_sources").alias("_n"))
+    grid = blocks.drop("targets").withColumn("size", sizes)
+    around = (grid.withColumn("_tx", F.explode(round_trip(column(F.col("x0")) - 1, column(F.col("x0")) + 1)))
+              .withColumn("_ty", F.explode(F.sequence(row(F.col("y0")) - 1, row(F.col("y0")) + 1))))
     where = [*keys, "bx", "by"]
-    outlines = (reached.drop("sources").join(blocks.drop("targets"), ["bx", "by"])
-                .select(*where, "block", "n_sources", _least_km().alias("_least"), _most_km().alias("_most")))
-    order = Window.partitionBy(*where).orderBy("_most").rowsBetween(Window.unboundedPreceding, 0)
-    enough = (outlines.withColumn("_have", F.sum("n_sources").over(order))
-              .groupBy(*where).agg(F.min(F.when(F.col("_have") >= nmax, F.col("_most"))).alias("_limit")))
-    kept = (outlines.join(enough, where)
-            .where(F.col("_limit").isNull() | (F.col("_least") <= F.col("_limit") + 1e-6))
+    sums = around.select("bx", "by", "size", "_tx", "_ty").join(counts, ["size", "_tx", "_ty"]).groupBy(*where, "size").agg(
+        F.sum("_n").alias("_n"))
+    # Less than nmax stations in all: the coarsest tiles, and no bound.
+    ring = sums.groupBy(*where).agg(F.min(F.when(F.col("_n") >= nmax, size)).alias("_ring"))
+    bound = (4 * F.col("_ring") + (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0"))) * KM_PER_DEGREE
+    bound = F.coalesce(bound, F.lit(math.pi * EARTH_RADIUS_KM + 1.0))
+    if maxdist is not None:
+        bound = F.least(bound, F.lit(float(maxdist)))
+    wanted = (ring.join(blocks.drop("targets"), ["bx", "by"])
+              .withColumns({"_limit": bound, "size": F.coalesce("_ring", F.lit(TILE_SIZES[-1]))}))
+    degrees, wide = _degrees(F.col("_limit"), F.greatest(F.abs("y0"), F.abs("y1")))
+    tiles = (wanted.withColumn("_tx", F.explode(round_trip(column(F.col("x0") - wide), column(F.col("x1") + wide))))
+             .withColumn("_ty", F.explode(F.sequence(F.greatest(row(F.col("y0") - degrees), F.lit(0)),
+                                                     F.greatest(row(F.col("y1") + degrees), F.lit(0))))))
+    return (tiles.join(placed, [*keys, "size", "_tx", "_ty"]).where(_least_km() <= F.col("_limit") + 1e-6)
             .select(*where, "block"))
-    return kept
+
+
+def _degrees(km: Column, latitude: Column) -> tuple[Column, Column]:
+    """How many degrees of latitude, and of longitude from up to a latitude on, a distance reaches at most."""
+    tall = km / KM_PER_DEGREE + 1e-9
+    ratio = F.sin(F.least(km / EARTH_RADIUS_KM, F.lit(math.pi / 2))) / F.cos(F.radians(latitude))
+    wide = F.when((latitude + tall < 90) & (ratio < 1), F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) + 1e-9)
+    return tall, F.coalesce(wide, F.lit(360.0))
 
 
 def _pairs(values: DataFrame, cells: DataFrame, keys: list[str], payload: Sequence[str],
-           maxdist: float | None, nmax: int | None) -> DataFrame:
-    sources = source_blocks(values, keys, "station", payload, TILE, STATION_ROWS)
+           maxdist: float | None, nmax: int | None, rows: int | None = None) -> DataFrame:
+    sources = source_blocks(values, keys, "station", payload, TILE, rows or STATION_ROWS)
     blocks = _target_blocks(cells)
     if nmax is None:
         return _reach(sources, blocks, maxdist).join(blocks.select("bx", "by", "targets"), ["bx", "by"])
     named = sources.withColumn("block", F.concat_ws(
         ":", F.floor(F.col("lon0") / TILE), F.floor(F.col("lat0") / TILE), F.col("part")))
-    kept = _nearest_blocks(_reach(named, blocks, maxdist), keys, blocks, nmax)
+    kept = _near_blocks(named, blocks, keys, nmax, maxdist)
     return (kept.join(named.select(*keys, "block", "sources"), [*keys, "block"])
             .join(blocks.select("bx", "by", "targets"), ["bx", "by"]))
 
@@ -254,20 +280,43 @@ def _frame(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _partial_sums(rows: DataFrame, cells: DataFrame, keys: list[str], idp: float, maxdist: float | None) -> DataFrame:
+    """Weighted sums per (keys, grid point).
+
+    Dates are cut into slices, and a station block holds a slice's values. Distances and weights are made once per
+    (station block, grid block, slice) and meet the slice's values, stations x dates, in two matrix products.
+    """
+    key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    dated = rows.select(key.alias("_k"), *keys).distinct()
+    slices = F.ceil(F.lit(1.0) * dated.agg(F.count(F.lit(1))).scalar() / SLICE).cast("long")
+    sliced = rows.withColumns({"_k": key, "_p": F.xxhash64("station", "lon", "lat")}).withColumn(
+        "_slice", F.pmod(F.xxhash64("_k"), F.greatest(slices, F.lit(1))))
+
     def kernel(t: dict, s: dict) -> dict:
-        km = km_matrix(t["x"], t["y"], s["lon"], s["lat"])
+        dates, k = np.unique(s["_k"], return_inverse=True)
+        _, first, p = np.unique(s["_p"], return_index=True, return_inverse=True)
+        shape = (len(first), len(dates))
+        total, count, top = np.zeros(shape), np.zeros(shape), np.full(shape, -np.inf)
+        np.add.at(total, (p, k), s["value"])
+        np.add.at(count, (p, k), 1.0)
+        np.maximum.at(top, (p, k), s["value"])
+        km = km_matrix(t["x"], t["y"], s["lon"][first], s["lat"][first])
         w = np.maximum(km, SAME_PLACE_KM) ** -float(idp)
         if maxdist is not None:
             w = np.where(km <= maxdist, w, 0.0)
-        same = np.where(km < SAME_PLACE_KM, s["value"][None, :], -np.inf).max(axis=1)
-        return {n: t[n] for n in CELL} | {"num": w @ s["value"], "den": w.sum(axis=1), "same": same}
-
-    fields = T.StructType([*_CELL_FIELDS, *[T.StructField(n, T.DoubleType()) for n in ("num", "den", "same")]])
-    pairs = _pairs(rows, cells, keys, ["value"], maxdist, None)
-    made = reduce_pairs(pairs, keys, CELL, ["lon", "lat", "value"], kernel, fields)
-    return made.groupBy(*keys, *CELL).agg(
+        same = np.full((len(t["x"]), len(dates)), -np.inf)
+        for point, station in np.argwhere(km < SAME_PLACE_KM):
+            same[point] = np.maximum(same[point], top[station])
+        out = {n: np.repeat(t[n], len(dates)) for n in CELL} | {"_k": np.tile(dates, len(t["x"]))}
+        return out | {"num": (w @ total).ravel(), "den": (w @ count).ravel(), "same": same.ravel()}
+
+    fields = T.StructType([*_CELL_FIELDS, T.StructField("_k", T.LongType()),
+                           *[T.StructField(n, T.DoubleType()) for n in ("num", "den", "same")]])
+    pairs = _pairs(sliced, cells, ["_slice"], ["_k", "_p", "value"], maxdist, None, STATION_ROWS * SLICE)
+    made = reduce_pairs(pairs, ["_slice"], CELL, ["lon", "lat", "_k", "_p", "value"], kernel, fields)
+    sums = made.groupBy("_k", *CELL).agg(
         F.sum("num").alias("num"), F.nullif(F.sum("den"), F.lit(0.0)).alias("den"),
         F.max(F.when(F.col("same") > F.lit(float("-inf")), F.col("same"))).alias("exact"))
+    return sums.join(dated, "_k") if keys else sums
 
 
 def idw_zonal(values: DataFrame, cells: DataFrame, zones: DataFrame, **options) -> DataFrame:

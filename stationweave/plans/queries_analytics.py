@@ -309,15 +309,15 @@ VALUES_SQL = ("select o.station, date_trunc('day', begin_ts) as date, lon, lat,
               "join station t on t.station = o.station where pollutant = 'view' group by 1, 2, 3, 4")
 
 
-def _picked(t: Tables) -> DataFrame:
-    return zones.prepare_zones(t.zone.where(F.col("zone_id").isin("XX12", "XX13", "XX22")))
+def _all_zones(t: Tables) -> DataFrame:
+    return zones.prepare_zones(t.zone)
 
 
-_PICK = "zone_id in ('XX12', 'XX13', 'XX22')"
+_PICK = "true"
 
 
 def _cells(t: Tables) -> DataFrame:
-    ready = _picked(t)
+    ready = _all_zones(t)
     return interpolate.grid_mask(interpolate.make_grid(ready, STEP), ready)
 
 
@@ -332,7 +332,7 @@ def _values(t: Tables) -> DataFrame:
     f"select min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, round(sum(radians(x1 - x0) * (sin(radians(y1)) - "
     f"sin(radians(y0))) * pow(6371008.8e0, 2)) / 1e6, 6) as area_km2 from zone where {_PICK}", "zone"))
 def _(t: Tables) -> DataFrame:
-    return zones.zone_bbox_area(_picked(t)).select("x0", "y0", "x1", "y1", (F.col("area_m2") / 1e6).alias("area_km2"))
+    return zones.zone_bbox_area(_all_zones(t)).select("x0", "y0", "x1", "y1", (F.col("area_m2") / 1e6).alias("area_km2"))
 
 
 @query("grid_resolution", sql(
@@ -347,13 +347,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("make_grid", sql(f"select i, j, {r('x')} as x, {r('y')} as y from cells", "zone", "ints", extra=_cells_sql(_PICK, 0.05)))
 def _(t: Tables) -> DataFrame:
-    return interpolate.make_grid(_picked(t), 0.05).select("i", "j", "x", "y")
+    return interpolate.make_grid(_all_zones(t), 0.05).select("i", "j", "x", "y")
 
 
 @query("grid_mask", sql(
     f"select i, j, {r('x')} as x, {r('y')} as y, zone_id from inside", "zone", "ints", extra=_cells_sql(_PICK, 0.05)))
 def _(t: Tables) -> DataFrame:
-    ready = _picked(t)
+    ready = _all_zones(t)
     return interpolate.grid_mask(interpolate.make_grid(ready, 0.05), ready).select("i", "j", "x", "y", "zone_id")
 
 

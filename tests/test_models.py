@@ -251,3 +251,55 @@ def test_forest_scan_equals_model(regression_rows):
     from pyspark.ml.linalg import Vectors
     for x in ([1.1, 0.3], [2.9, 1.9], [2.0, 1.0]):
         assert predict(np.array(x), None) == pytest.approx(model.predict(Vectors.dense(x)))
+
+
+def test_nearest_stations_on_the_whole_globe(spark, monkeypatch):
+    """Ring search over the date line, at the poles, between crowds and in empty oceans; and how many outlines it pairs."""
+    monkeypatch.setattr(interpolate, "STATION_ROWS", 4)
+    rng = np.random.default_rng(6)
+    spots = [*rng.uniform([-180, -88], [180, 88], (60, 2)), *rng.uniform([9, 45], [11, 46], (60, 2)),
+             *rng.uniform([178, -20], [180, -18], (15, 2)), *rng.uniform([-180, -20], [-178, -18], (15, 2))]
+    places = [(f"S{i:03d}", round(float(x), 4), round(float(y), 4)) for i, (x, y) in enumerate(spots)]
+    points = [(i, i, round(float(x), 3), round(float(y), 3)) for i, (x, y) in enumerate(
+        [(179.95, -19.0), (-179.95, -19.0), (0.0, 89.5), (120.0, -89.9), (10.0, 45.5), (-150.0, 0.0), (-30.0, -50.0), (9.0, 45.0)])]
+    stations = spark.createDataFrame(places, "station string, lon double, lat double")
+    cells = spark.createDataFrame([(16 * i, 16 * j, x, y, 0.0, 0.0, 1.0) for i, j, x, y in points],
+                                  "i long, j long, x double, y double, gx0 double, gy0 double, step double")
+    for nmax, maxdist in ((1, None), (5, None), (30, None), (400, None), (5, 900.0)):
+        got = interpolate.neighbours(stations, cells, nmax=nmax, maxdist=maxdist).collect()
+        for i, _, x, y in points:
+            near = sorted((haversine(x, y, lon, lat), s) for s, lon, lat in places)
+            near = [n for n in near if maxdist is None or n[0] <= maxdist][:nmax]
+            mine = sorted((r["rank"], r["km"], r["station"]) for r in got if r["i"] == 16 * i)
+            assert len(mine) == len(near) and all(a[1] == pytest.approx(b[0], abs=1e-6) for a, b in zip(mine, near))
+    # Stations far away don't add to what is paired with a crowd's own block.
+    def paired(extra):
+        more = spark.createDataFrame([*places[60:120], *extra], "station string, lon double, lat double")
+        sources = interpolate.source_blocks(more, [], "station", ["station"], interpolate.TILE, 4)
+        named = sources.withColumn("block", F.concat_ws(":", F.floor("lon0"), F.floor("lat0"), F.col("part")))
+        return interpolate._near_blocks(named, interpolate._target_blocks(cells.where("i = 64")), [], 3, None).count()
+    far = [(f"F{i:04d}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([60, -60], [170, 30], (500, 2)))]
+    assert 0 < paired([]) == paired(far)
+
+
+def test_idw_of_many_dates_and_places_that_move(spark, monkeypatch):
+    """Slices of dates, stations that miss dates or have another place on some, and no dates at all."""
+    monkeypatch.setattr(interpolate, "SLICE", 3)
+    rng = np.random.default_rng(9)
+    vals = [(f"d{d:02d}", f"S{i}", 10.0 + 0.1 * i + (0.05 if d % 4 == 0 else 0.0), 45.0 + 0.07 * i, float(rng.uniform(1, 9)))
+            for d in range(11) for i in range(9) if rng.random() < 0.7 or d == 5]
+    vals.append(("d05", "S9", 10.5, 45.5, 3.25))
+    df = spark.createDataFrame(vals, "date string, station string, lon double, lat double, value double")
+    zs = zones.prepare_zones(zone_rows(spark, [("Z", 10.0, 45.0, 11.0, 46.0)]))
+    cells = interpolate.grid_mask(interpolate.make_grid(zs, 0.25), zs)
+    for maxdist in (None, 40.0):
+        got = {(r["date"], r["i"], r["j"]): r for r in interpolate.idw(df, cells, 2.0, None, maxdist).collect()}
+        assert len(got) == 11 * 16
+        for (d, _, _), r in got.items():
+            near = [(haversine(r["x"], r["y"], v[2], v[3]), v[4]) for v in vals if v[0] == d]
+            near = [n for n in near if maxdist is None or n[0] <= maxdist]
+            same = [v for k, v in near if k < 1e-9]
+            want = same[0] if same else (sum(v / k ** 2 for k, v in near) / sum(1 / k ** 2 for k, _ in near) if near else None)
+            assert (r["value"] is None) == (want is None) and (want is None or r["value"] == pytest.approx(want, rel=1e-9))
+    one = interpolate.idw(df.where("date = 'd05'").drop("date"), cells, keys=()).collect()
+    assert len(one) == 16 and all(r["value"] is not None for r in one)
