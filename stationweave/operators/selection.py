@@ -31,6 +31,23 @@ def filter_pollutant(df: DataFrame, wanted: Sequence[str | int], vocabulary: Dat
     return df.join(kept.select(F.col("notation").alias("pollutant")).distinct(), "pollutant", "left_semi")
 
 
+def notations(wanted: Sequence[str | int], vocabulary: DataFrame | None) -> list[str]:
+    """Pollutant notations of a request that may name some by their numeric code, in the order of the request.
+
+    A code that the vocabulary doesn't have is an error; what is collected is no longer than the request.
+    """
+    codes = sorted({w for w in wanted if isinstance(w, int)})
+    if not codes:
+        return list(wanted)
+    if vocabulary is None:
+        raise ValueError("numeric pollutant codes need the vocabulary")
+    known = {r["code"]: r["notation"] for r in vocabulary.where(F.col("code").isin(codes)).groupBy("code").agg(
+        F.min("notation").alias("notation")).collect()}
+    if set(codes) - set(known):
+        raise ValueError(f"unknown pollutant codes: {sorted(set(codes) - set(known))}")
+    return list(dict.fromkeys(known[w] if isinstance(w, int) else w for w in wanted))
+
+
 def missing_values(spark_df: DataFrame, column: str, wanted: Sequence[str]) -> DataFrame:
     """The wanted values that the table does not have."""
     spark = spark_df.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from stationweave.functions.columns import hours_between, nan_inf_to_null
 from stationweave.functions.sequences import CHUNK_HOURS, chunk_of
 from stationweave.operators.aggregate import pivot_longer
+from stationweave.operators.stations import stations_info
 
 
 def dataset_counters(df: DataFrame) -> DataFrame:
@@ -136,8 +137,8 @@ def corr_matrix(wide: DataFrame, pollutants: Sequence[str]) -> DataFrame:
     return table.select("station", F.explode(F.array(*entries)).alias("_e")).select("station", "_e.*")
 
 
-def summary(wide: DataFrame, pollutants: Sequence[str]) -> dict[str, DataFrame]:
-    """Every summary table, each a lazy DataFrame."""
+def summary(wide: DataFrame, pollutants: Sequence[str], master: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every summary table, each a lazy DataFrame; with the station ``master`` also what it says of the stations at hand."""
     long = pivot_longer(wide, pollutants)
     tables = {
         "counters": dataset_counters(wide),
@@ -146,6 +147,8 @@ def summary(wide: DataFrame, pollutants: Sequence[str]) -> dict[str, DataFrame]:
         "averaging_time": summary_averaging_time(wide, pollutants),
         "gap_length": gap_length(long, ts="begin_ts", value="concentration"),
     }
+    if master is not None:
+        tables["stations"] = stations_info(wide, master, pollutants)
     if len(pollutants) > 1:
         tables["corr_matrix"] = corr_matrix(wide, pollutants)
     return tables

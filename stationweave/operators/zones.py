@@ -58,6 +58,35 @@ def point_in_zone(
     return points.join(found, [*key, "lon", "lat"], "left").select(*points.columns, name)
 
 
+# The level of each pair of zone columns in the master.
+ZONE_LEVELS = ((1, "nuts1"), (2, "nuts2"), (3, "nuts3"), (4, "lau"))
+
+
+def assign_zones(sampling_points: DataFrame, zones_table: DataFrame) -> DataFrame:
+    """Add name and id of the zone of every level that the station's coordinate lies in: nuts1, nuts1_id, ..., lau, lau_id.
+
+    Each distinct station place is tested once for all levels; the smallest id wins where zones of a level overlap. A
+    station without a coordinate, or outside of all zones of a level, has none; existing columns of these names go.
+    """
+    made = [c for _, n in ZONE_LEVELS for c in (n, f"{n}_id")]
+    base = sampling_points.drop(*[c for c in made if c in sampling_points.columns])
+    places = base.select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")).where(
+        F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).distinct()
+    # A level is part of the zone's id here, so that one pass over cells and edges serves all levels.
+    tagged = zones_table.where(F.col("level").isin([level for level, _ in ZONE_LEVELS])).withColumn(
+        "zone_id", F.concat_ws(":", F.col("level").cast("string"), "zone_id"))
+    found = candidate_zones(places, tagged).select("lon", "lat", F.substring_index("zone_id", ":", 1).cast("int").alias("_level"),
+                                                   F.expr("substring(zone_id, instr(zone_id, ':') + 1)").alias("_id"))
+    best = found.groupBy("lon", "lat").agg(*[
+        F.min(F.when(F.col("_level") == level, F.col("_id"))).alias(f"{name}_id") for level, name in ZONE_LEVELS])
+    for level, name in ZONE_LEVELS:
+        titles = zones_table.where(F.col("level") == level).groupBy(F.col("zone_id").alias(f"{name}_id")).agg(
+            F.min("zone_name").alias(name))
+        best = best.join(titles, f"{name}_id", "left")
+    match = (base["longitude"] == best["lon"]) & (base["latitude"] == best["lat"])
+    return base.join(best, match, "left").select(*base.columns, *made)
+
+
 def select_in_polygon(points: DataFrame, polygon: Sequence[geometry.Point]) -> DataFrame:
     """Points inside one polygon given as request parameters."""
     edge_array = geometry.edges(F.array(geometry.ring_literal(polygon)))

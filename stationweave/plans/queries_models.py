@@ -402,6 +402,14 @@ def _(t: Tables) -> DataFrame:
     return rolling.rolling_refit(model_panel(t), TARGET, [COVARIATE, SECOND_COVARIATE]).select("station", "ts", TARGET)
 
 
+@query("rolling_refit_terms")
+def _(t: Tables) -> DataFrame:
+    """With a smooth of the hour of the week, the station type and a log link."""
+    rows = model_panel(t).withColumn("time", time_of_week("ts"))
+    return rolling.rolling_refit(rows, TARGET, [COVARIATE, SECOND_COVARIATE], link="log", factor="type",
+                                 smooths=[smooth.Smooth("time", TIME_KNOTS)], iterations=3).select("station", "ts", TARGET)
+
+
 @query("compare_methods")
 def _(t: Tables) -> DataFrame:
     base = complete_panel(t)

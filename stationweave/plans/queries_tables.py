@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from stationweave.functions import columns as C
 from stationweave.functions import geometry
 from stationweave.model import infer_pollutants, is_measurement_table, validate_contract
-from stationweave.operators import aggregate, maps, selection, stations, zones
+from stationweave.operators import aggregate, maps, selection, stations, summary, zones
 from stationweave.plans.binding import POLLUTANTS, Tables
 from stationweave.plans.oracle_views import PARTS, day, r, sql, stamp
 from stationweave.plans.registry import query
@@ -659,3 +659,38 @@ def _(t: Tables) -> DataFrame:
     local = maps.zone_bounds(t.zones, "NUTS1", ["XX1"], "LAU", local_zones=t.district).where("role = 'inner'")
     near = maps.zone_bounds(t.zones, "NUTS1", ["XX1"], "NUTS2")
     return near.select("role", "zone_id").unionByName(local.select(F.lit("inner-local").alias("role"), "zone_id"))
+
+
+_LEVELS = {1: "nuts1", 2: "nuts2", 4: "lau"}
+_MASTER_ZONES = "select level, zone_id, zone_name, x0, x1, y0, y1 from zones where level in (1, 2) union all " \
+                "select level, zone_id, zone_name, x0, x1, y0, y1 from district"
+
+
+@query("master_zones", sql(
+    "select sampling_point_id, " + ", ".join(
+        f"(select min(zone_id) from mz where level = {level} and longitude >= x0 and longitude < x1 and latitude >= y0 and "
+        f"latitude < y1) as {name}_id, (select min(zone_name) from mz where level = {level} and zone_id = (select min(zone_id) "
+        f"from mz where level = {level} and longitude >= x0 and longitude < x1 and latitude >= y0 and latitude < y1)) as {name}"
+        for level, name in _LEVELS.items()) + " from sp", "sp", "zones", "district", extra={"mz": _MASTER_ZONES}))
+def _(t: Tables) -> DataFrame:
+    columns = ["level", "zone_id", "zone_name", "rings"]
+    table = t.zones.where("level in (1, 2)").select(*columns).unionByName(t.district.select(*columns))
+    return zones.assign_zones(t.sampling_point, table).select(
+        "sampling_point_id", *[c for n in _LEVELS.values() for c in (f"{n}_id", n)])
+
+
+@query("request_by_code", sql(
+    f"select station, pollutant, {stamp('begin_ts')} as begin_ts, {r('x')} as x from long where pollutant in "
+    "(select event_type from events where ascii(event_type) = ascii('view') or event_type = 'click')", "long"))
+def _(t: Tables) -> DataFrame:
+    wanted = selection.notations(["click", ord("v")], t.vocabulary)
+    return aggregate.pivot_longer(t.wide, POLLUTANTS).where(F.col("pollutant").isin(wanted)).select(
+        "station", "pollutant", "begin_ts", F.col("concentration").alias("x"))
+
+
+@query("summary_stations", sql(
+    f"select {SP_COLUMNS} from sp where station in (select station from wide) and pollutant in ('click', 'error')", "sp", "wide"))
+def _(t: Tables) -> DataFrame:
+    tables = summary.summary(t.wide, ["click", "error"], t.sampling_point)
+    return tables["stations"].select(
+        "sampling_point_id", "station", "nat_code", "station_name", "country", "pollutant", "longitude", "latitude")

@@ -26,7 +26,7 @@ def get_stations(master: DataFrame, by_station: bool = False, complete: bool = T
 def get_measurements(
     measurements: DataFrame,
     master: DataFrame,
-    pollutants: Sequence[str],
+    pollutants: Sequence[str | int],
     start: int | str,
     end: int | str,
     zones_table: DataFrame | None = None,
@@ -34,10 +34,12 @@ def get_measurements(
     zone_names: Sequence[str] | None = None,
     quadrant: Sequence[tuple[float, float]] | None = None,
     polygon: Sequence[tuple[float, float]] | None = None,
+    vocabulary: DataFrame | None = None,
 ) -> Measurements:
     """Wide measurements of the stations in a zone, a quadrant (two corners or a hull) or a polygon, in no order.
 
-    ``start`` and ``end`` are both years or both ISO dates. ``master`` has one row per sampling point.
+    ``start`` and ``end`` are both years or both ISO dates. ``master`` has one row per sampling point. Pollutants are named
+    by notation or, with the ``vocabulary``, by numeric code.
     """
     given = [zone_names is not None, quadrant is not None, polygon is not None]
     if sum(given) != 1:
@@ -46,7 +48,7 @@ def get_measurements(
         raise ValueError("start and end must both be years or both be dates")
     if validate_contract(measurements) != "long":
         raise ValueError("expected a long measurement table")
-    available = selection.check_availability(master, "pollutant", pollutants)
+    available = selection.check_availability(master, "pollutant", selection.notations(pollutants, vocabulary))
     chosen, zone_df = master.where(F.col("pollutant").isin(available)), None
     if zone_names is not None:
         if zones_table is None or zone_level is None:
@@ -85,8 +87,13 @@ def time_aggregate(
     return replace(data, df=aggregate.time_aggregate(long, frequency, functions), frequency=frequency)
 
 
-def summarise(data: Measurements) -> dict[str, DataFrame]:
-    return summary.summary(data.df, data.pollutants)
+def prepare_master(sampling_points: DataFrame, zones_table: DataFrame) -> DataFrame:
+    """The station master: codes, status, clean names, agreed coordinates and the zones of every level they lie in."""
+    return zones.assign_zones(stations.prepare_master(sampling_points), zones_table)
+
+
+def summarise(data: Measurements, master: DataFrame | None = None) -> dict[str, DataFrame]:
+    return summary.summary(data.df, data.pollutants, master)
 
 
 def idw_map_data(

@@ -244,6 +244,46 @@ def test_rolling_refit_fills_everything(spark, panel, panel_frame):
     assert np.allclose(table["x"].to_numpy(dtype=float)[known], panel_frame["x"].to_numpy()[known])
 
 
+def test_rolling_refit_equals_a_direct_fit(spark, panel, panel_frame, monkeypatch):
+    """The first two days by hand; every later day reads a bounded number of folders and has a plan of the same size."""
+    seen = []
+    real = rolling.recursive_fill
+    monkeypatch.setattr(rolling, "recursive_fill", lambda df, *a, **k: seen.append(df) or real(df, *a, **k))
+    base = panel.drop("pollutant").withColumn("z", F.hour("ts") + 1.0)
+    done = rolling.rolling_refit(base, "x", ["z"], warm_days=7, lags=(1, 24), train_hours=48)
+    got = done.toPandas().set_index(["station", "ts"])["x"].sort_index()
+    warmed = effects.warm_up(base, 24 * 7, "x", "ts", ()).toPandas().sort_values(["station", "ts"]).reset_index(drop=True)
+    warmed["x"] = warmed["x"].astype(float)
+    for day in (pd.Timestamp("2024-04-01"), pd.Timestamp("2024-04-02")):
+        lagged = warmed.assign(l1=warmed.groupby("station")["x"].shift(1), l24=warmed.groupby("station")["x"].shift(24))
+        week = lagged[(lagged["ts"] < day) & (lagged["ts"] >= day - pd.Timedelta(hours=48))].dropna()
+        x = np.column_stack([np.ones(len(week)), week["l1"], week["l24"], week["z"]])
+        b = irls(x, week["x"].to_numpy())
+        for i in warmed.index[(warmed["ts"] >= day) & (warmed["ts"] < day + pd.Timedelta(days=1)) & warmed["x"].isna()]:
+            warmed.loc[i, "x"] = b @ [1, warmed.loc[i - 1, "x"], warmed.loc[i - 24, "x"], warmed.loc[i, "z"]]
+    until = warmed[warmed["ts"] < pd.Timestamp("2024-04-03")].set_index(["station", "ts"])["x"].sort_index()
+    assert np.allclose(got.loc[until.index].astype(float), until, atol=2e-3)
+    assert len(seen) == 3 and len({len(d._jdf.queryExecution().optimizedPlan().toString().split("\n")) for d in seen}) == 1
+    folders = [{f.rsplit("/", 2)[1] for f in d.inputFiles()} for d in seen]
+    assert [len(f) for f in folders] == [4, 4, 4] and folders[0] != folders[2]
+
+
+def test_rolling_refit_with_terms(spark, panel, panel_frame):
+    base = panel.drop("pollutant").withColumns({
+        "z": F.hour("ts") + 1.0, "time": F.hour("ts") + 24.0 * F.dayofweek("ts"),
+        "type": F.when(F.col("station") == "A001", "a").otherwise("b")})
+    from stationweave.operators.smooth import Smooth
+    done = rolling.rolling_refit(base, "x", ["z"], warm_days=9, lags=(1, 24), link="log", factor="type",
+                                 smooths=[Smooth("time", (24.0, 90.0, 192.0))], iterations=2)
+    table = done.toPandas().sort_values(["station", "ts"])
+    assert done.columns == base.columns and len(table) == len(panel_frame) and table["x"].notna().mean() > 0.99
+    filled = table["x"].to_numpy(dtype=float)[panel_frame["x"].isna().to_numpy()]
+    assert (filled[~np.isnan(filled)] > 0).all()
+    with pytest.raises(ValueError):
+        rolling.rolling_refit(base, "x", ["z"], smooths=[Smooth("z", (0.0, 1.0, 2.0), by_station=True)])
+    assert rolling.rolling_refit(base.limit(0), "x", ["z"]).count() == 0
+
+
 def test_forest_scan_equals_model(regression_rows):
     _, df = regression_rows
     model, names = regression.forest(df, "y", ["a", "b"], trees=3, depth=3)
