@@ -119,16 +119,17 @@ def _decided(docs: DataFrame, id_column: str, text_column: str, source_column: s
     depth = 1 + max(0, math.ceil(math.log(most_buckets, FAN)))
     parts = [settled]
     for k in range(depth):
-        # The order inside a bucket is that of a hash, so neither long nor short documents come first.
-        order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + k), "u.id", "u.size").alias("h"), F.col("u"))))
+        # From the longest document to the shortest, ties by a hash: what is left to chance in the end is a short one.
+        order = F.array_sort(F.collect_list(F.struct((-F.col("u.size")).alias("s"), F.xxhash64(F.lit(seed + k), "u.id", "u.size").alias("h"),
+                                                     F.col("u"))))
         grouped = level.groupBy("_source", "_bucket").agg(order.alias("_ordered"))
         folded = written(grouped.select("_source", "_bucket", F.expr("transform(_ordered, o -> o.u)").alias("_units"))
                          .select("_source", "_bucket", _fold("_units", seed + k).alias("_r")), "mix-level")
         parts.append(folded.select("_source", F.explode("_r.done").alias("u"))
                      .withColumn("_copies", F.col("u.base") + F.col("u.p").cast("long")))
         level = folded.select("_source", F.floor(F.col("_bucket") / FAN).alias("_bucket"), F.col("_r.cur").alias("u"))
-    last = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "u.id", "u.size", "_source"), 11) * (2.0 ** -53)
-    parts.append(level.withColumn("_copies", F.col("u.base") + (last < F.col("u.p")).cast("long")))
+    # The one fraction that is left of a source goes to the nearer whole number, which is off by half a document at most.
+    parts.append(level.withColumn("_copies", F.col("u.base") + (F.col("u.p") >= 0.5).cast("long")))
     decided = parts[0]
     for part in parts[1:]:
         decided = decided.unionByName(part.select("_source", "u", "_copies"))
