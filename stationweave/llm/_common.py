@@ -46,7 +46,8 @@ def discard(spark: SparkSession, path: str) -> None:
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` returns, as a written table; every scratch path that was made on the way is deleted.
 
-    Nothing else that ``make`` built may be used afterwards.
+    Nothing else that ``make`` built may be used afterwards. Spark's cleaner drops shuffle files when the driver's JVM finds
+    that nobody refers to them any more, which may take half an hour; it is asked to look at once.
     """
     _open.append([])
     try:
@@ -58,6 +59,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     finally:
         for path in _open.pop():
             discard(spark, path)
+        spark._jvm.System.gc()
 
 
 def uri_of(path: str) -> str:

@@ -22,7 +22,7 @@ How each guard holds at scale:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -303,6 +303,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def _judged(docs: DataFrame, id_column: str, text_column: str, shingle_words: int, percent: int) -> DataFrame:
     """One row per input row: ``_id, _hash, _n, component_id, _root``, the number of its component (null without words)."""
+    spark = docs.sparkSession
     found = written(features(docs, id_column, text_column, shingle_words), "sketches")
     # The number of a class is part of the written table, so it stays the same however often the table is read.
     classes = written(found.where("_n > 0").groupBy("_set").agg(
@@ -319,9 +320,22 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, shingle_words: in
     heads = heads.withColumn("_leaders", F.when(F.col("_c") > FEW, F.col("_leaders")).otherwise(F.slice("_leaders", 1, 1)))
     star = (posts.join(heads, "_v").select(F.col("_node").alias("a"), F.explode("_leaders").alias("b")).where("a <> b")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = written(confirm(star), "links")
-
+    links = settled(spark, lambda: confirm(star), "links")
     roots = components(links)
+    more = settled(spark, lambda: _crossing(posts, heads, roots, classes, docs, confirm, id_column, text_column, shingle_words, percent),
+                   "more-links")
+    roots = components(links.unionByName(more))
+    lowest = (classes.join(roots, F.col("_node") == F.col("node"), "left")
+              .select("_set", "_first", F.coalesce("root", "_node").alias("_root")))
+    component = lowest.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    names = lowest.join(component, "_root").select("_set", "component_id", "_root")
+    return found.select("_id", "_hash", "_n", "_set").join(names, "_set", "left").select(
+        "_id", "_hash", "_n", F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), "_root")
+
+
+def _crossing(posts: DataFrame, heads: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame,
+              confirm: Callable[[DataFrame], DataFrame], id_column: str, text_column: str, shingle_words: int, percent: int) -> DataFrame:
+    """Links between different components of the lists that the leaders left in several."""
     placed = posts.join(heads.select("_v", "_c"), "_v").join(roots, F.col("_node") == F.col("node"), "left").select(
         "_v", "_c", "_node", F.coalesce("root", "_node").alias("_root"))
     split = placed.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_v")
@@ -329,20 +343,13 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, shingle_words: in
     short = open_lists.where(F.col("_c") <= HOT_LIST).join(classes.select("_node", "_n", F.col("_sketch").alias("_values")), "_node")
     crossed = _compare_blocks(_meet(short, "blocks", percent, whole=False), percent, whole=False).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(confirm(crossed))
+    links = confirm(crossed)
     long = open_lists.where(F.col("_c") > HOT_LIST)
     if not long.isEmpty():
         nodes = classes.join(long.select("_node").distinct(), "_node", "left_semi").select("_node", "_first", "_hash", "_set", "_n")
         sets = full_sets(docs, small_side(written(nodes, "long-list-nodes")), id_column, text_column, shingle_words)
         links = links.unionByName(_compare_blocks(_meet(long.join(sets, "_node"), "whole-blocks", percent, whole=True), percent, whole=True))
-
-    roots = components(links)
-    lowest = (classes.join(roots, F.col("_node") == F.col("node"), "left")
-              .select("_set", "_first", F.coalesce("root", "_node").alias("_root")))
-    component = lowest.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    names = lowest.join(component, "_root").select("_set", "component_id", "_root")
-    return found.select("_id", "_hash", "_n", "_set").join(names, "_set", "left").select(
-        "_id", "_hash", "_n", F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), "_root")
+    return links
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5,
