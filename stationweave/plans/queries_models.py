@@ -383,6 +383,33 @@ def _(t: Tables) -> DataFrame:
     return recursion.glm_fill(warmed_panel(t), TARGET, [COVARIATE]).select("station", "ts", TARGET)
 
 
+# Given coefficients: intercept, two lags of the target, the carried covariate at the hour.
+GIVEN = (-0.5, 0.6, 0.3, 0.1)
+FOLD_VIEWS = {
+    "carried": LOCAL_VIEWS["carried"],
+    "cv": "select station, ts, max(x) as v from carried where pollutant = 'view' group by 1, 2",
+    "rf": "select station, ts, x as y, v, row_number() over (partition by station order by ts) as i "
+          "from panel join cv using (station, ts) where pollutant = 'click'",
+    "fold(station, i, a, b)": "select station, i, y, cast(null as double) from rf where i = 1 union all "
+        "select f.station, q.i, coalesce(q.y, case when g <= 0 then 1e-2 else g end), f.a from fold f join "
+        "lateral (select i, y, -0.5e0 + 0.6e0 * f.a + 0.3e0 * f.b + 0.1e0 * v as g from rf where rf.station = f.station "
+        "and rf.i = f.i + 1) q on true",
+}
+
+
+@query("recursive_fill_given", sql(
+    f"select station, {stamp('ts')} as ts, {r('a')} as click from fold join rf using (station, i)", "panel",
+    extra=FOLD_VIEWS).replace("with ", "with recursive ", 1))
+def _(t: Tables) -> DataFrame:
+    """The fill of the whole target panel under given coefficients; a filled hour feeds the next two."""
+    done = panel.locf(t.panel.where(F.col("pollutant") == COVARIATE)).select("station", "ts", F.col("x").alias(COVARIATE))
+    target = t.panel.where(F.col("pollutant") == TARGET).select("station", "ts", F.col("x").alias(TARGET))
+    rows = panel.add_lags(target.join(done, ["station", "ts"]), TARGET, ["station"], lags=(1, 2))
+    x = F.array(*regression.design([f"{TARGET}_lag1", f"{TARGET}_lag2", COVARIATE]))
+    beta = F.array(*[F.lit(b) for b in GIVEN])
+    return recursion.recursive_fill(rows, ["station"], "ts", TARGET, x, {1: 1, 2: 2}, beta).select("station", "ts", TARGET)
+
+
 _LEADS = " and ".join(f'lead("{c}", {k}) over (partition by station order by ts) is not null'
                      for c in (TARGET, COVARIATE) for k in (1, 2, 3))
 

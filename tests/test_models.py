@@ -211,6 +211,66 @@ def test_recursive_fill_brute_force(panel, panel_frame):
         assert np.allclose(mine, want, equal_nan=True)
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_lockstep_equals_a_loop_over_cells(rows):
+    """Runs of many lengths, rows of two widths, NULL rows and entries, runs cut at every place."""
+    import pyarrow as pa
+    rng = np.random.default_rng(rows)
+    cells = []
+    for run in range(12):
+        hours = np.flatnonzero(rng.random(60) < 0.6) + 100 * run
+        for h in hours.tolist():
+            x = [1.0, *[None if rng.random() < 0.7 else float(rng.normal()) for _ in range(3)], float(rng.normal())]
+            beta = [0.3, 0.5, -0.2, 0.4, 0.1]
+            if h % 5 == 0:
+                x, beta = [*x, 2.0], [*beta, 0.05]
+            cells.append((run, h, None if rng.random() < 0.05 else x, None if rng.random() < 0.05 else beta))
+    want, filled, owner = [], {}, None
+    for run, h, x, beta in cells:
+        if run != owner:
+            owner, filled = run, {}
+        guess = math.nan
+        if x is not None and beta is not None:
+            full = [filled.get(h - lag, math.nan) if x[at] is None else x[at] for at, lag in ((1, 1), (2, 2), (3, 5))]
+            guess = float(np.dot([x[0], *full, *x[4:]], beta))
+            guess = 0.01 if guess <= 0 else guess
+            if not math.isnan(guess):
+                filled[h] = guess
+        want.append(guess)
+    runs, hours, xs, betas = zip(*cells)
+    table = pa.table({"run": pa.array(runs), "hour": pa.array(hours), "x": pa.array(xs, pa.list_(pa.float64())),
+                      "b": pa.array(betas, pa.list_(pa.float64()))})
+    got, owner, past = [], None, (np.zeros(0, dtype=np.int64), np.zeros(0))
+    for part in recursion._gathered(iter(table.to_batches(max_chunksize=rows)), rows):
+        run, hour = part.column("run").to_numpy(), part.column("hour").to_numpy()
+        past = past if run[0] == owner else (past[0][:0], past[1][:0])
+        x, beta, usable = recursion._model_rows(part.column("x"), part.column("b"))
+        made = recursion._lockstep(x, beta, usable, np.unique(run, return_inverse=True)[1], hour,
+                                   {1: 1, 2: 2, 5: 3}, recursion._dot, 0.01, past)
+        got += made.tolist()
+        past = past if run[-1] == run[0] else (past[0][:0], past[1][:0])
+        last = run == run[-1]
+        past, owner = (np.concatenate([past[0], hour[last]]), np.concatenate([past[1], made[last]])), run[-1]
+    assert np.allclose(got, want, equal_nan=True) and not all(math.isnan(v) for v in got)
+
+
+def test_runs_that_go_on_in_the_next_batch(panel, monkeypatch):
+    """Batches of one row give what one batch of all rows gives."""
+    rows = P.add_lags(panel, "x", ["station"], lags=(1, 2))
+    x = F.array(F.lit(1.0), F.col("x_lag1"), F.col("x_lag2"))
+
+    def filled():
+        got = recursion.recursive_fill(rows, ["station"], "ts", "x", x, {1: 1, 2: 2}, F.array(F.lit(0.5), F.lit(0.7), F.lit(0.2)))
+        return sorted(map(tuple, got.collect()))
+    whole = filled()
+    monkeypatch.setattr(recursion, "LOCKSTEP_ROWS", 1)
+    panel.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert filled() == whole
+    finally:
+        panel.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_forward_model_needs_every_lead(panel):
     rows = P.panel_features(panel.withColumn("z", F.col("x")), "x", ["z"], ["station"])
     flags = rows.select(recursion.choose_forward_model("x", ["z"]).alias("f"), *[F.col(c) for c in regression.lead_names("x")]).toPandas()
@@ -284,13 +344,16 @@ def test_rolling_refit_with_terms(spark, panel, panel_frame):
     assert rolling.rolling_refit(base.limit(0), "x", ["z"]).count() == 0
 
 
-def test_forest_scan_equals_model(regression_rows):
+def test_forest_scan_equals_model(regression_rows, monkeypatch):
     _, df = regression_rows
     model, names = regression.forest(df, "y", ["a", "b"], trees=3, depth=3)
     predict = recursion.forest_predictor(regression.forest_nodes(model))
     from pyspark.ml.linalg import Vectors
-    for x in ([1.1, 0.3], [2.9, 1.9], [2.0, 1.0]):
-        assert predict(np.array(x), None) == pytest.approx(model.predict(Vectors.dense(x)))
+    rows = [[1.1, 0.3], [2.9, 1.9], [2.0, 1.0]]
+    want = [model.predict(Vectors.dense(x)) for x in rows]
+    assert predict(np.array(rows), None) == pytest.approx(want)
+    monkeypatch.setattr(recursion, "WALK_CELLS", 4)  # one tree at a time
+    assert predict(np.array(rows), None) == pytest.approx(want)
 
 
 def test_nearest_stations_on_the_whole_globe(spark, monkeypatch):
