@@ -33,6 +33,8 @@ COVERAGE = 0.8
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+# An odd number has an inverse modulo 2^64.
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -47,11 +49,8 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(size, _BASE))
-        total = np.zeros(n, dtype=np.uint64)
-        for i in range(size):
-            total += words[i:i + n] * powers[size - 1 - i]
-    return total
+        before = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), _INVERSE)))])
+        return (before[size:] - before[:-size]) * np.cumprod(np.full(len(words), _BASE))[size - 1:]
 
 
 def _free_windows(marked: np.ndarray, size: int) -> np.ndarray:
@@ -68,23 +67,27 @@ def greedy_tiles(text: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH)
     tiles: list[tuple[int, int, int]] = []
     text_marked, item_marked = np.zeros(len(text), dtype=bool), np.zeros(len(item), dtype=bool)
 
-    def matches(size: int) -> list[tuple[int, int]]:
+    def same(p: int, i: int, size: int) -> bool:
+        return np.array_equal(text[p:p + size], item[i:i + size])
+
+    def matches(size: int) -> tuple[dict, list[tuple[int, int]]] | None:
+        """Unmarked item windows by hash, and the unmarked text windows with such a hash, if any two are equal."""
         there = defaultdict(list)
         free = _free_windows(item_marked, size)
         for i, h in zip(free.tolist(), window_hashes(item, size)[free].tolist()):
             there[h].append(i)
         if not there:
-            return []
+            return None
         free = _free_windows(text_marked, size)
         hashes = window_hashes(text, size)[free]
         hit = np.isin(hashes, np.fromiter(there, dtype=np.uint64, count=len(there)))
-        return [(p, i) for p, h in zip(free[hit].tolist(), hashes[hit].tolist()) for i in there[h]
-                if np.array_equal(text[p:p + size], item[i:i + size])]
+        found = list(zip(free[hit].tolist(), hashes[hit].tolist()))
+        return (there, found) if any(same(p, i, size) for p, h in found for i in there[h]) else None
 
     longest = min(len(item), len(text))
     while longest >= min_match:
         # A common run of some length has common runs of every smaller length, so the longest one is found by halving.
-        low, high, found = min_match - 1, longest, []
+        low, high, found = min_match - 1, longest, None
         while low < high:
             middle = (low + high + 1) // 2
             if at := matches(middle):
@@ -93,11 +96,26 @@ def greedy_tiles(text: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH)
                 high = middle - 1
         if low < min_match:
             break
-        for p, i in found:
-            if not text_marked[p:p + low].any() and not item_marked[i:i + low].any():
-                text_marked[p:p + low] = True
-                item_marked[i:i + low] = True
-                tiles.append((p, i, low))
+        # Each text window takes the first item window that is still free. Tiles of this round are equally long, so a window
+        # that meets one holds it at its first or last word; a taken item window is never looked at again.
+        there, starts = found
+        taken: dict[int, int] = defaultdict(int)
+        end = 0
+        for p, h in starts:
+            if p < end:
+                continue
+            places = there[h]
+            while taken[h] < len(places) and (item_marked[places[taken[h]]] or item_marked[places[taken[h]] + low - 1]):
+                taken[h] += 1
+            # The first of them is equal but for a collision of hashes.
+            for k in range(taken[h], len(places)):
+                i = places[k]
+                if not (item_marked[i] or item_marked[i + low - 1]) and same(p, i, low):
+                    text_marked[p:p + low] = True
+                    item_marked[i:i + low] = True
+                    tiles.append((p, i, low))
+                    end = p + low
+                    break
         longest = low
     return tiles
 
@@ -123,7 +141,7 @@ class Block:
                 by_size[min(min_match, len(w))].append(k)
         seeds = {}
         for size, members in by_size.items():
-            windows = [window_hashes(words[k], size) for k in members]
+            windows = [np.unique(window_hashes(words[k], size)) for k in members]
             hashes, owners = np.concatenate(windows), np.repeat(members, [len(x) for x in windows])
             order = np.argsort(hashes, kind="stable")
             seeds[size] = hashes[order], owners[order]

@@ -15,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from stationweave.llm._common import prepare, ranked, written
+from stationweave.llm._common import free_name, prepare, ranked, written
 
 BITS = 8
 
@@ -121,9 +121,15 @@ def document_shards(docs: DataFrame, shards: int = 16, dimensions: Sequence[str]
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **options) -> None:
-    """Write the rows of ``docs``, whose ids must be unique, as one Parquet folder per shard in Hilbert order."""
+    """Write the rows of ``docs``, whose ids must be unique, as one Parquet folder per shard in Hilbert order.
+
+    The folders are named after the column ``shard``; where ``docs`` has a column of that name it is kept and the folders'
+    column gets an underscore before its name (more where that is taken too).
+    """
     key = options.get("id_column", "doc_id")
-    placed = document_shards(docs, shards, **options).select(F.col(key).alias("_key"), "shard", "slot")
-    (docs.join(placed, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-     .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot")
-     .write.partitionBy("shard").parquet(path))
+    of, shard, slot = (free_name(docs, n) for n in ("__key", "shard", "__slot"))
+    placed = document_shards(docs, shards, **options).select(
+        F.col(key).alias(of), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    (docs.join(placed, F.col(key).eqNullSafe(F.col(of))).drop(of)
+     .repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot)
+     .write.partitionBy(shard).parquet(path))

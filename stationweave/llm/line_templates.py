@@ -16,7 +16,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from stationweave.llm._common import prepare, small_side, written
+from stationweave.llm._common import free_name, prepare, small_side, written
 
 LEAD = 3
 LEAST_TOKENS = 5
@@ -82,15 +82,16 @@ def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str
     is judged. A text all of whose lines go becomes empty. Rows that repeat an id, or have none, each lose the recurring lines of their own
     text. All other columns stay, whatever they are called.
     """
+    of, hashed, numbers = (free_name(docs, n) for n in ("__of", "__text", "__gone"))
     gone = recurring_lines(docs, id_column, text_column, least_documents, least_tokens).withColumnsRenamed(
-        {"_id": "__of", "_text": "__text", "_lines": "__gone"})
+        {"_id": of, "_text": hashed, "_lines": numbers})
     gone = written(gone, "recurring-lines")
-    joined = docs.join(gone, F.col(id_column).eqNullSafe(F.col("__of")) & (F.xxhash64(text_column) == F.col("__text")), "left")
-    rest = F.array_join(F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(rest)
+    joined = docs.join(gone, F.col(id_column).eqNullSafe(F.col(of)) & (F.xxhash64(text_column) == F.col(hashed)), "left")
+    rest = F.array_join(F.filter(F.split(text_column, "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    text = F.when(F.col(numbers).isNull(), F.col(text_column)).otherwise(rest)
     columns = [text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
     if dropped:
-        columns.append(F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(dropped))
+        columns.append(F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(dropped))
     return joined.select(*columns)
 
 

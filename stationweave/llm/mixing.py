@@ -138,10 +138,10 @@ def _decided(docs: DataFrame, id_column: str, text_column: str, source_column: s
                     "_copies", "_source_size", "_target"))
 
 
-def _share_of_row(number: Column) -> Column:
-    """Copies of row ``number`` (from 1) among rows that share ``_copies``."""
-    even = F.floor(F.col("_copies") / F.col("_rows"))
-    return even + (number <= F.col("_copies") - even * F.col("_rows")).cast("long")
+def _share_of_row(number: Column, copies: str = "_copies", rows: str = "_rows") -> Column:
+    """Copies of row ``number`` (from 1) among ``rows`` rows that share ``copies``."""
+    even = F.floor(F.col(copies) / F.col(rows))
+    return even + (number <= F.col(copies) - even * F.col(rows)).cast("long")
 
 
 def taken_words(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
@@ -175,8 +175,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     if not several.isEmpty():
         key = ["__mix_id", "__mix_source", "__mix_size"]
         number = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text_column)))
-        rows = met(small_side(several)).select(*own, *key, F.col("__mix_rows").alias("_rows"), F.col("__mix_copies").alias("_copies"),
-                                   number.alias("__mix_row"))
-        dealt = dealt.unionByName(rows.select(*docs.columns, _share_of_row(F.col("__mix_row")).alias("__mix_copies")))
+        rows = met(small_side(several)).select(*own, *key, "__mix_rows", "__mix_copies", number.alias("__mix_row"))
+        dealt = dealt.unionByName(rows.select(*docs.columns, _share_of_row(
+            F.col("__mix_row"), "__mix_copies", "__mix_rows").alias("__mix_copies")))
     often = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))
     return dealt.where("__mix_copies > 0").withColumn("__mix_copy", often).select(*docs.columns)

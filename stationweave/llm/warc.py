@@ -5,8 +5,9 @@ compressed with it, so one record can be read without the others. A payload that
 names the response it equals.
 
 Equal payloads are found by SHA-256 in Spark before anything is written; a task then writes the records it has as one
-archive, named after its attempt, and reports it in a manifest. Archives of lost attempts are never read. Reader and
-writer hold one record at a time.
+archive, named after its attempt, and reports it in a manifest. Archives of lost attempts are never read. Payloads are
+never shuffled by digest: only ids and digests are, and what they decide meets the pages by id and digest, so copies of
+one page stay spread. The reader holds one record and some 8 MB of rows, the writer one Arrow batch of pages.
 """
 
 from __future__ import annotations
@@ -66,9 +67,12 @@ def records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     sized = rows.withColumns({"_bytes": F.octet_length("_payload").cast("long"), "_digest": F.sha2("_payload", 256)})
     first = (sized.where(F.col("_bytes") >= LEAST_SHARED).groupBy("_digest").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_digest", "_first"))
-    joined = sized.join(first, "_digest", "left")
-    refers = F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.select("_id", "_url", "_payload", "_bytes", "_digest", refers.alias("_refers"))
+    narrow = sized.where(F.col("_bytes") >= LEAST_SHARED).select("_id", "_digest")
+    revisits = written(narrow.join(first, "_digest").where(~F.col("_id").eqNullSafe(F.col("_first"))).distinct()
+                       .select(F.col("_id").alias("_of"), F.col("_digest").alias("_same"), F.col("_first").alias("_refers")),
+                       "warc-revisits")
+    met = sized["_id"].eqNullSafe(revisits["_of"]) & (sized["_digest"] == revisits["_same"])
+    return sized.join(revisits, met, "left").select("_id", "_url", "_payload", "_bytes", "_digest", "_refers")
 
 
 def record_id(page: object) -> str:
