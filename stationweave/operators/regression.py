@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Sequence
 from functools import reduce
@@ -187,7 +188,7 @@ def spline_columns(df: DataFrame, column: str, knots: Sequence[float], prefix: s
 
 
 def forest(
-    df: DataFrame, target: str, features: Sequence[str], factor: str | None = None, trees: int = 20, depth: int = 5,
+    df: DataFrame, target: str, features: Sequence[str], factor: str | None = None, trees: int = 100, depth: int = 8,
     seed: int = 77,
 ) -> tuple[RandomForestRegressionModel, list[str]]:
     """Random forest on complete rows."""
@@ -198,25 +199,37 @@ def forest(
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(ready), names
 
 
+# Lines of a tree's text: a test, or what a leaf predicts.
+_SPLIT = re.compile(r"\s*If \(feature (\d+) <= (\S+)\)")
+_LEAF = re.compile(r"\s*Predict: (\S+)")
+
+
 def forest_nodes(model: RandomForestRegressionModel) -> list[list[tuple]]:
     """Every tree as (feature, threshold, left, right, prediction) rows; a leaf has feature -1.
 
-    At most trees * 2 ** (depth + 1) rows: model size, not data size.
+    At most trees * 2 ** (depth + 1) rows: model size, not data size. Read from the text of each tree, one call a tree.
     """
     out = []
     for tree in model.trees:
-        rows: list[tuple] = []
-
-        def walk(node, rows=rows) -> int:
+        rows: list[list] = []
+        # Inner nodes whose left or right branch is still to come, innermost last.
+        waiting: list[int] = []
+        for line in tree.toDebugString.splitlines():
+            split, leaf = _SPLIT.match(line), _LEAF.match(line)
+            if not split and not leaf:
+                continue
             at = len(rows)
-            rows.append(())
-            if node.subtreeDepth() == 0:
-                rows[at] = (-1, 0.0, -1, -1, float(node.prediction()))
+            if waiting:
+                parent = rows[waiting[-1]]
+                if parent[2] < 0:
+                    parent[2] = at
+                else:
+                    parent[3] = at
+                    waiting.pop()
+            if split:
+                rows.append([int(split[1]), float(split[2]), -1, -1, 0.0])
+                waiting.append(at)
             else:
-                split = node.split()
-                left, right = walk(node.leftChild()), walk(node.rightChild())
-                rows[at] = (int(split.featureIndex()), float(split.threshold()), left, right, 0.0)
-            return at
-        walk(tree._call_java("rootNode"))
-        out.append(rows)
+                rows.append([-1, 0.0, -1, -1, float(leaf[1])])
+        out.append([tuple(r) for r in rows])
     return out
