@@ -173,6 +173,53 @@ def directional_fill(
     return filled.select(*panel.columns)
 
 
+def newest_tables(
+    rows: DataFrame, tables: DataFrame, place: Sequence[str], day: str, name: str = "_table",
+) -> DataFrame:
+    """Add as ``name`` the coefficients of the newest table that isn't later than a row's day; NULL before the first.
+
+    ``tables`` holds place, day and coefficients, one row per place and day. Only distinct places and days are ordered,
+    in chunks of the calendar; the coefficients then meet the rows by place and the day of their table.
+    """
+    place = list(place)
+    made = tables.select(*place, day, F.col(day).alias("_made"))
+    asked = rows.select(*place, day, F.lit(None).cast(tables.schema[day].dataType).alias("_made"))
+    days = made.unionByName(asked).groupBy(*place, day).agg(F.max("_made").alias("_made"))
+    known = (nearest_observed(days, place, day, "_made", previous="_older")
+             .select(*place, day, F.coalesce("_made", "_older").alias("_made")))
+    entries = tables.select(*place, F.col(day).alias("_made"), F.col("coefficients").alias(name))
+    return (rows.join(known, [*place, day], "left").join(entries, [*place, "_made"], "left")
+            .select(*rows.columns, name))
+
+
+def local_fill(
+    rows: DataFrame, keys: Sequence[str], ts: str, target: str, features: Column, lag_positions: Mapping[int, int],
+    tables: DataFrame, place: Sequence[str] = ("station",), at: str | None = None, newest: bool = False,
+    forward: tuple[DataFrame, Column, Column] | None = None,
+) -> DataFrame:
+    """Recursive fill from tables of local coefficients, one per place and, with ``at``, per day or hour of the week.
+
+    ``tables`` holds place, ``at`` and coefficients; ``newest`` takes the latest one that isn't later than the row's
+    ``at``. ``forward`` is (tables by place, features, usable): rows that are usable and have such a table take it
+    instead. Only missing hours meet the tables. Hours without a table stay NULL, and so do those that need them.
+    """
+    place = list(place)
+    gaps = rows.where(F.col(target).isNull())
+    if newest:
+        found = newest_tables(gaps, tables, place, at)
+    else:
+        by = [*place, *([at] if at else [])]
+        found = gaps.join(tables.select(*by, F.col("coefficients").alias("_table")), by, "left")
+    x, beta = features, F.col("_table")
+    if forward is not None:
+        later, ahead, usable = forward
+        found = found.join(later.select(*place, F.col("coefficients").alias("_later")), place, "left")
+        chosen = F.coalesce(usable, F.lit(False)) & F.col("_later").isNotNull()
+        x, beta = F.when(chosen, ahead).otherwise(x), F.when(chosen, F.col("_later")).otherwise(beta)
+    filled = recursive_fill(found, keys, ts, target, x, lag_positions, beta).select(*rows.columns)
+    return rows.where(F.col(target).isNotNull()).unionByName(filled)
+
+
 def glm_fill(
     panel: DataFrame, target: str, covariates: Sequence[str], keys: Sequence[str] = ("station",), ts: str = "ts",
     forward: bool = True,

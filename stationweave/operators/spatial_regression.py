@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from stationweave.functions.blocks import reduce_pairs, source_blocks
 from stationweave.functions.linalg import grouped_moments, solve_moments, unpack
 from stationweave.operators.regression import design
+from stationweave.session import ensure_checkpoint_dir
 
 # A Gaussian weight is exactly 0 in double precision beyond this many bandwidths.
 UNDERFLOW = math.sqrt(2 * 746.0)
@@ -58,28 +59,33 @@ def _weighted_sums(
 
     A block pair is one matrix product.
     """
-    return _array_sum(_weighted_parts(statistics, targets, keys, bandwidth, time, leave_out, reach), [*keys, "station"])
+    return _array_sum(_weighted_parts(statistics, targets, keys, [bandwidth], time, leave_out, reach), [*keys, "station"])
 
 
 def _weighted_parts(
-    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidth: float, time: bool, leave_out: bool,
+    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidths: Sequence[float], time: bool, leave_out: bool,
     reach: float | None,
 ) -> DataFrame:
-    """One weighted sum per target and block of statistics."""
+    """One weighted sum per bandwidth, target and block of statistics; all bandwidths share one pairing."""
     share = SPACE_SHARE if time else 1.0
     payload = ["station", "moments", *(["dt"] if time else [])]
-    pairs = _pairs(statistics, targets, keys, payload, UNDERFLOW * bandwidth / share if reach is None else reach)
+    pairs = _pairs(statistics, targets, keys, payload, UNDERFLOW * max(bandwidths) / share if reach is None else reach)
 
     def kernel(t: dict, s: dict) -> dict:
         d = np.hypot(t["lon"][:, None] - s["lon"][None, :], t["lat"][:, None] - s["lat"][None, :])
         if time:
             d = (np.sqrt(share * d) + np.sqrt((1 - share) * np.abs(s["dt"])[None, :])) ** 2
-        w = np.exp(-0.5 * (d / bandwidth) ** 2)
-        if leave_out:
-            w[t["station"][:, None] == s["station"][None, :]] = 0.0
-        return {"station": t["station"], "part": w @ s["moments"]}
-
-    fields = T.StructType([T.StructField("station", T.StringType()),
+        own = t["station"][:, None] == s["station"][None, :] if leave_out else None
+        parts = []
+        for h in bandwidths:
+            w = np.exp(-0.5 * (d / h) ** 2)
+            if own is not None:
+                w[own] = 0.0
+            parts.append(w @ s["moments"])
+        return {"station": np.tile(t["station"], len(parts)), "bandwidth": np.repeat(np.asarray(bandwidths, float), len(d)),
+                "part": np.concatenate(parts)}
+
+    fields = T.StructType([T.StructField("station", T.StringType()), T.StructField("bandwidth", T.DoubleType()),
                            T.StructField("part", T.ArrayType(T.DoubleType()))])
     return reduce_pairs(pairs, keys, ["lon", "lat", "station"], ["lon", "lat", *payload], kernel, fields)
 
@@ -121,14 +127,22 @@ def gtwr(
     # A station's copies from different hours share its identity; each is its own row of a block.
     slots = targets.select("station", "lon", "lat").withColumn(
         time, F.explode(F.sequence(F.lit(1), F.lit(168))))
+    parts = _timed_parts(statistics, slots, time, [bandwidth], leave_out=False)
+    return _array_sum(parts, [time, "station"]).select("station", time, solve_moments("moments").alias("coefficients"))
+
+
+def _timed_parts(
+    statistics: DataFrame, slots: DataFrame, time: str, bandwidths: Sequence[float], leave_out: bool,
+) -> DataFrame:
+    """Weighted sums per bandwidth and (station, hour of the week), lag by lag within the widest bandwidth's reach."""
     parts = None
-    for lag, reach in enumerate(lag_reaches(bandwidth)):
+    for lag, reach in enumerate(lag_reaches(max(bandwidths))):
         copied = (statistics.withColumn("dt", F.explode(F.array(*[F.lit(d) for d in sorted({-lag, lag})])))
                   .withColumns({time: F.col(time) + F.col("dt"), "dt": F.col("dt").cast("double")})
                   .where(F.col(time).between(1, 168)))
-        part = _weighted_parts(copied, slots, [time], bandwidth, True, False, reach)
+        part = _weighted_parts(copied, slots, [time], bandwidths, True, leave_out, reach)
         parts = part if parts is None else parts.unionByName(part)
-    return _array_sum(parts, [time, "station"]).select("station", time, solve_moments("moments").alias("coefficients"))
+    return parts
 
 
 def lag_reaches(bandwidth: float) -> list[float]:
@@ -139,18 +153,28 @@ def lag_reaches(bandwidth: float) -> list[float]:
 
 
 def bandwidth_cv(
-    rows: DataFrame, target: str, features: Sequence[str], candidates: Sequence[float],
+    rows: DataFrame, target: str, features: Sequence[str], candidates: Sequence[float], time: str | None = None,
 ) -> DataFrame:
-    """Leave-one-station-out error of every candidate bandwidth, best first.
+    """Leave-one-station-out error of every candidate bandwidth, best first: (bandwidth, cv_error).
 
-    The error of a station under its neighbours' coefficients follows from its own cross products, so the data is
-    read once for all candidates.
+    With ``time``, the column of the hour of the week, the kernel is the one of ``gtwr`` and a (station, hour) cell is
+    judged by the coefficients that all other stations give it. The error of a cell under its neighbours' coefficients
+    follows from its own cross products, so the data is read once. The cells are paired once for all candidates, within
+    the reach of the widest; a cell to which a narrower candidate gives no weight counts with coefficients of zero. A cell
+    without any neighbour in that reach counts for no candidate.
     """
+    return _cv_scores(_cv_statistics(rows, target, features, time), len(features) + 1, candidates, time).orderBy(
+        "cv_error", "bandwidth")
+
+
+def _cv_statistics(rows: DataFrame, target: str, features: Sequence[str], time: str | None) -> DataFrame:
     y = F.col(target)
-    statistics = _known(grouped_moments(rows, ["station", "lon", "lat"], design(features), y,
-                                        extra={"_yy": F.sum(F.col("_use") * y * y)}))
-    p = len(features) + 1
+    return _known(grouped_moments(rows, ["station", *([time] if time else []), "lon", "lat"], design(features), y,
+                                  extra={"_yy": F.sum(F.col("_use") * y * y)}))
+
 
+def _cv_scores(statistics: DataFrame, p: int, candidates: Sequence[float], time: str | None) -> DataFrame:
+    """One row per candidate, from one pairing of the statistics."""
     @F.pandas_udf(T.DoubleType())
     def error(coefficients: pd.Series, packed: pd.Series, yy: pd.Series) -> pd.Series:
         out = []
@@ -163,18 +187,78 @@ def bandwidth_cv(
             out.append(float(y2 - 2 * b @ right + b @ gram @ b))
         return pd.Series(out, dtype=float)
 
-    scores = []
-    for h in candidates:
-        sums = _weighted_sums(statistics, statistics.select("station", "lon", "lat"), [], h, leave_out=True)
-        local = sums.select("station", solve_moments("moments").alias("_b"))
-        scores.append(statistics.join(local, "station").select(
-            F.lit(float(h)).alias("bandwidth"), error("_b", "moments", "_yy").alias("_e")))
-    stacked = scores[0]
-    for s in scores[1:]:
-        stacked = stacked.unionByName(s)
-    return (stacked.groupBy("bandwidth").agg(F.sum("_e").alias("cv_error"))
-            .orderBy("cv_error", "bandwidth"))
+    widths = sorted({float(h) for h in candidates})
+    if time:
+        cell = ["station", time]
+        known = statistics.select(*cell, "lon", "lat", "moments")
+        parts = _timed_parts(known, statistics.select(*cell, "lon", "lat"), time, widths, leave_out=True)
+    else:
+        cell = ["station"]
+        parts = _weighted_parts(statistics, statistics.select("station", "lon", "lat"), [], widths, False, True, None)
+    local = _array_sum(parts, ["bandwidth", *cell]).select("bandwidth", *cell, solve_moments("moments").alias("_b"))
+    return (local.join(statistics, cell).select("bandwidth", error("_b", "moments", "_yy").alias("_e"))
+            .groupBy("bandwidth").agg(F.sum("_e").alias("cv_error")))
+
+
+def bandwidth_search(
+    rows: DataFrame, target: str, features: Sequence[str], low: float, high: float, points: int = 5, rounds: int = 3,
+    time: str | None = None,
+) -> DataFrame:
+    """Interval search for the bandwidth of least leave-one-station-out error, best first: (round, bandwidth, cv_error).
+
+    Each round scores ``points`` bandwidths, spaced evenly in the logarithm from end to end of the interval, by one pairing
+    (``bandwidth_cv``); the next interval lies between the neighbours of the best one, so it shrinks by (points - 1) / 2 a
+    round, or by points - 1 where the best one is an end. The smaller bandwidth wins a tie. The cross products are made
+    once; the driver sees ``points`` numbers a round.
+    """
+    if not 0 < low < high or points < 3 or rounds < 1:
+        raise ValueError("needs 0 < low < high, at least 3 points and 1 round")
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    statistics = _cv_statistics(rows, target, features, time).checkpoint()
+    seen: list[tuple[int, float, float | None]] = []
+    for number in range(1, rounds + 1):
+        grid = [low * (high / low) ** (i / (points - 1)) for i in range(points)]
+        found = {r["bandwidth"]: r["cv_error"] for r in _cv_scores(statistics, len(features) + 1, grid, time).collect()}
+        seen += [(number, h, found.get(h)) for h in grid]
+        scored = [i for i, h in enumerate(grid) if found.get(h) is not None]
+        if not scored:
+            break
+        best = min(scored, key=lambda i: (found[grid[i]], i))
+        low, high = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
+    scores = spark.createDataFrame(seen, "round int, bandwidth double, cv_error double")
+    return scores.orderBy(F.col("cv_error").asc_nulls_last(), "bandwidth", "round")
 
 
 def best_bandwidth(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("cv_error").isNotNull()).orderBy("cv_error", "bandwidth").limit(1)
+
+
+def daily_coefficients(
+    rows: DataFrame, targets: DataFrame, target: str, features: Sequence[str], bandwidth: float, window: int = 7,
+    every: int = 1, ts: str = "ts",
+) -> DataFrame:
+    """Local coefficients of ``gwr`` refitted every ``every`` days on the ``window`` days before: (day, station, coefficients).
+
+    Cross products of least squares add up over days, so a day's products are made once and summed into the windows they
+    belong to. Refit days are counted from the epoch; one gets a table where its window holds a complete row.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    daily = station_moments(rows.withColumn("_day", F.to_date(ts)), ["station", "_day"], target, features).checkpoint()
+
+    def refits(first: Column, last: Column) -> Column:
+        """The refit days between two days, as rows."""
+        begin = F.date_add(first, F.pmod(-F.unix_date(first), F.lit(every)).cast("int"))
+        return F.explode(F.when(begin <= last, F.sequence(begin, last, F.make_dt_interval(days=F.lit(every)))))
+
+    served = daily.withColumn("day", refits(F.date_add("_day", 1), F.date_add("_day", window)))
+    entries = served.select("station", "day", "lon", "lat", F.posexplode("moments").alias("_at", "_v"))
+    summed = entries.groupBy("station", "day", "lon", "lat", "_at").agg(F.sum("_v").alias("_v"))
+    statistics = summed.groupBy("station", "day", "lon", "lat").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda e: e["_v"]).alias("moments"))
+    # Two dates: a place wants every refit day, measured in its window or not.
+    span = daily.agg(F.min("_day").alias("low"), F.max("_day").alias("high")).first()
+    wanted = targets.select("station", "lon", "lat").withColumn(
+        "day", refits(F.date_add(F.lit(span["low"]).cast("date"), 1), F.date_add(F.lit(span["high"]).cast("date"), window)))
+    sums = _weighted_sums(statistics, wanted, ["day"], bandwidth)
+    return sums.select("day", "station", solve_moments("moments").alias("coefficients"))

@@ -378,6 +378,148 @@ def _(t: Tables) -> DataFrame:
     return scores.select("bandwidth", (F.col("cv_error") / total).alias("cv_share"))
 
 
+TIMED_CANDIDATES = [0.2, 0.3, 0.45]
+_TIMED_GRAM = " + ".join(f"{1 if i == j else 2} * c{i} * c{j} * st2.a{i}{j}" for i in range(3) for j in range(i, 3))
+_TIMED_CROSS = " + ".join(f"c{i} * st2.b{i}" for i in range(3))
+TIMED_CV_VIEWS = GTWR_VIEWS | {
+    "st2": f"select station, slot, sum(y * y) as yy, {moment_sql(['1e0', 'l1', 'v'], 'y')} from slots where l1 is not null group by 1, 2",
+    "s0": f"select h, station, slot, {_TIMED_SUMS} from (select h, t.station, t.slot, exp(-0.5e0 * pow(pow({_HOURS}, 2) / h, 2)) as w, "
+          "u.* exclude (station, slot, lon, lat, yy) from (select unnest([0.2e0, 0.3e0, 0.45e0]) as h) c cross join "
+          "(select * from st2 join pl using (station)) t join (select * from st2 join pl using (station)) u "
+          "on u.slot between t.slot - 18 and t.slot + 18 and u.station <> t.station) q group by 1, 2, 3",
+} | solve_views("h, station, slot", 3)
+
+
+@query("bandwidth_cv_time", sql(
+    f"select h as bandwidth, {r(f'sum(yy - 2 * ({_TIMED_CROSS}) + {_TIMED_GRAM}) / sum(yy)')} as cv_share "
+    "from k0 join st2 using (station, slot) group by 1", "panel", extra=TIMED_CV_VIEWS, kept=True))
+def _(t: Tables) -> DataFrame:
+    """Bandwidths of the kernel in space and time."""
+    rows = local_rows(t).withColumn("time", time_of_week("ts"))
+    names = [*regression.lag_names(TARGET, (1,)), COVARIATE]
+    total = rows.where(F.col("click_lag1").isNotNull()).agg(F.sum(F.col(TARGET) * F.col(TARGET))).scalar()
+    scores = spatial_regression.bandwidth_cv(rows, TARGET, names, TIMED_CANDIDATES, time="time")
+    return scores.select("bandwidth", (F.col("cv_error") / total).alias("cv_share"))
+
+
+SEARCH_LOW, SEARCH_HIGH, SEARCH_POINTS, SEARCH_ROUNDS = 0.2, 1.6, 4, 3
+
+
+def search_views() -> dict[str, str]:
+    """An interval search, one set of views a round; the next interval lies between the neighbours of the best."""
+    views = dict(LOCAL_VIEWS)
+    bounds = f"select {SEARCH_LOW}e0 as low, {SEARCH_HIGH}e0 as high"
+    for n in range(1, SEARCH_ROUNDS + 1):
+        views[f"grid{n}"] = (f"select i, low * pow(high / low, i / {SEARCH_POINTS - 1}e0) as h from ({bounds}) b, "
+                             f"(select unnest(generate_series(0, {SEARCH_POINTS - 1})) as i) q")
+        made = {"s0": f"select i, station, {_SUMS} from (select i, t.station, exp(-0.5e0 * {_SQUARED} / pow(h, 2)) as w, st.* exclude "
+                      f"(station) from grid{n} c cross join pl t cross join st join pl u on u.station = st.station "
+                      "where u.station <> t.station) q group by 1, 2"} | solve_views("i, station", 4)
+        views |= renamed(made, f"r{n}")
+        views[f"score{n}"] = (f"select i, any_value(h) as h, sum(yy - 2 * ({_CROSS}) + {_GRAM}) / sum(yy) as e from r{n}k0 "
+                              f"join st using (station) join grid{n} using (i) group by 1")
+        views[f"best{n}"] = f"select i from score{n} order by e, i limit 1"
+        bounds = (f"select min(h) as low, max(h) as high from grid{n} "
+                  f"where i between (select i from best{n}) - 1 and (select i from best{n}) + 1")
+    return views
+
+
+@query("bandwidth_search", sql(" union all ".join(
+    f"select {n}::bigint as round, {r('h')} as bandwidth, {r('e')} as cv_share from score{n}" for n in range(1, SEARCH_ROUNDS + 1)),
+    "panel", extra=search_views(), kept=True))
+def _(t: Tables) -> DataFrame:
+    rows = local_rows(t)
+    total = rows.where(F.col("click_lag2").isNotNull()).agg(F.sum(F.col(TARGET) * F.col(TARGET))).scalar()
+    scores = spatial_regression.bandwidth_search(rows, TARGET, LOCAL, SEARCH_LOW, SEARCH_HIGH, SEARCH_POINTS, SEARCH_ROUNDS)
+    return scores.select("round", "bandwidth", (F.col("cv_error") / total).alias("cv_share"))
+
+
+# ---- recursive fills from local coefficients: refitted by the day, or by hour of the week with a model that sees ahead
+
+WINDOW_DAYS, REFIT_DAYS = 7, 3
+_RAW = ("select station, ts, x as y, v, cast(ts as date) as dy, row_number() over (partition by station order by ts) as i, lead(x) "
+        "over (partition by station order by ts) as n1 from panel join (select station, ts, max(x) as v from carried where "
+        "pollutant = 'view' group by 1, 2) q using (station, ts) where pollutant = 'click'")
+_FIELDS = ", ".join([f"a{i}{j}" for i in range(4) for j in range(i, 4)] + [f"b{i}" for i in range(4)])
+DAILY_VIEWS = LOCAL_VIEWS | {
+    "byday": f"select station, cast(ts as date) as dy, {moment_sql(['1e0', 'l1', 'l2', 'v'], 'y')} from ft "
+             "where l1 is not null and l2 is not null group by 1, 2",
+    "served": f"select station, cast(dy + cast(n as int) as date) as rd, {_FIELDS} from byday cross join "
+              f"(select unnest(generate_series(1, {WINDOW_DAYS})) as n) q",
+    "win": f"select station, rd, {', '.join(f'sum({f}) as {f}' for f in _FIELDS.split(', '))} from served "
+           f"where datediff('day', date '1970-01-01', rd) % {REFIT_DAYS} = 0 group by 1, 2",
+    "s0": f"select station, rd, {_SUMS} from (select t.station, exp(-0.5e0 * {_SQUARED} / pow({BANDWIDTH}e0, 2)) as w, win.* exclude "
+          "(station) from pl t cross join win join pl u on u.station = win.station) q group by 1, 2",
+} | solve_views("station, rd", 4) | {
+    "rf": _RAW,
+    "rc": "select rf.*, c0, c1, c2, c3 from rf asof left join k0 on rf.station = k0.station and rf.dy >= k0.rd",
+    "fold(station, i, a, b)": "select station, i, y, cast(null as double) from rc where i = 1 union all "
+        "select f.station, q.i, coalesce(q.y, case when g <= 0 then 1e-2 else g end), f.a from fold f join "
+        "lateral (select i, y, c0 + c1 * f.a + c2 * f.b + c3 * v as g from rc where rc.station = f.station "
+        "and rc.i = f.i + 1) q on true",
+}
+
+
+def _raw_target(t: Tables) -> DataFrame:
+    """The target with its gaps and lags, beside the carried covariate."""
+    done = panel.locf(t.panel.where(F.col("pollutant") == COVARIATE)).select("station", "ts", F.col("x").alias(COVARIATE))
+    target = t.panel.where(F.col("pollutant") == TARGET).select("station", "ts", F.col("x").alias(TARGET))
+    return panel.add_lags(target.join(done, ["station", "ts"]), TARGET, ["station"], lags=(1, 2))
+
+
+def recursive_sql(body: str, views: dict[str, str]) -> str:
+    """``sql`` with a recursive view; everything before it is stored."""
+    plain = {n: v for n, v in views.items() if "(" not in n}
+    folds = ", ".join(f"{n} as ({v})" for n, v in views.items() if "(" in n)
+    return sql(f"@@{body}", "panel", extra=plain, kept=True).replace("with ", "with recursive ", 1).replace(" @@", f", {folds} ", 1)
+
+
+@query("gwr_daily_fill", recursive_sql(
+    f"select station, {stamp('ts')} as ts, {r('a')} as click from fold join rf using (station, i)", DAILY_VIEWS))
+def _(t: Tables) -> DataFrame:
+    """Refitted every third day on the seven days before; a missing hour takes the newest coefficients of its station."""
+    tables = spatial_regression.daily_coefficients(
+        local_rows(t), t.panel_place.select("station", "lon", "lat"), TARGET, LOCAL, BANDWIDTH, WINDOW_DAYS, REFIT_DAYS)
+    rows = _raw_target(t).withColumn("day", F.to_date("ts"))
+    x = F.array(*regression.design(LOCAL))
+    filled = recursion.local_fill(rows, ["station"], "ts", TARGET, x, {1: 1, 2: 2}, tables, at="day", newest=True)
+    return filled.select("station", "ts", TARGET)
+
+
+GTWR_FILL_VIEWS = GTWR_VIEWS | {
+    "ft2": "select *, lead(y, 1) over (partition by station order by ts) as n1 from ft",
+    "st3": f"select station, {moment_sql(['1e0', 'l1', 'n1', 'v'], 'y')} from ft2 where l1 is not null and n1 is not null group by 1",
+} | renamed({
+    "s0": f"select station, {_SUMS} from (select t.station, exp(-0.5e0 * {_SQUARED} / pow({BANDWIDTH}e0, 2)) as w, st3.* exclude "
+          "(station) from pl t cross join st3 join pl u on u.station = st3.station) q group by 1",
+} | solve_views("station", 4), "z") | {
+    "rf": _RAW,
+    "rc": "select q.*, k0.c0 as e0, k0.c1 as e1, k0.c2 as e2, z.c0, z.c1, z.c2, z.c3 from (select *, (d - 1) * 24 + h as slot "
+          f"from (select *, {CALENDAR} from rf) o) q left join k0 on k0.station = q.station and k0.slot = q.slot "
+          "left join zk0 z on z.station = q.station",
+    "fold(station, i, a)": "select station, i, y from rc where i = 1 union all "
+        "select f.station, q.i, coalesce(q.y, case when g <= 0 then 1e-2 else g end) from fold f join lateral (select i, y, "
+        "case when n1 is not null then c0 + c1 * f.a + c2 * n1 + c3 * v else e0 + e1 * f.a + e2 * v end as g "
+        "from rc where rc.station = f.station and rc.i = f.i + 1) q on true",
+}
+
+
+@query("gtwr_fill", recursive_sql(
+    f"select station, {stamp('ts')} as ts, {r('a')} as click from fold join rf using (station, i)", GTWR_FILL_VIEWS))
+def _(t: Tables) -> DataFrame:
+    """Coefficients by hour of the week in space and time; where the next hour is known, a local model that uses it."""
+    places = t.panel_place.select("station", "lon", "lat")
+    known = panel.add_leads(local_rows(t), TARGET, ["station"], leads=(1,)).withColumn("time", time_of_week("ts"))
+    names = [*regression.lag_names(TARGET, (1,)), COVARIATE]
+    tables = spatial_regression.gtwr(known, places, TARGET, names)
+    later = spatial_regression.gwr(known, places, TARGET, AHEAD, BANDWIDTH)
+    rows = panel.add_leads(_raw_target(t), TARGET, ["station"], leads=(1,)).withColumn("time", time_of_week("ts"))
+    forward = (later, F.array(*regression.design(AHEAD)), F.col("click_lead1").isNotNull())
+    filled = recursion.local_fill(rows, ["station"], "ts", TARGET, F.array(*regression.design(names)), {1: 1}, tables,
+                                  at="time", forward=forward)
+    return filled.select("station", "ts", TARGET)
+
+
 @query("recursive_impute")
 def _(t: Tables) -> DataFrame:
     return recursion.glm_fill(warmed_panel(t), TARGET, [COVARIATE]).select("station", "ts", TARGET)
