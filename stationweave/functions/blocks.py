@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from stationweave.functions.columns import EARTH_RADIUS_KM
@@ -26,7 +26,7 @@ def source_blocks(
     keys: Sequence[str],
     identity: str,
     payload: Sequence[str],
-    tile: float,
+    tile: float | Column,
     rows: int,
 ) -> DataFrame:
     """Pack rows with lon/lat into blocks per (keys, tile); a crowded tile is split by a hash of its identity."""

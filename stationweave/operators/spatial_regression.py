@@ -32,12 +32,13 @@ def _known(statistics: DataFrame) -> DataFrame:
     return statistics.where(F.col("moments")[0].isNotNull())
 
 
-def _pairs(statistics: DataFrame, targets: DataFrame, keys: list[str], payload: list[str], reach: float) -> DataFrame:
+def _pairs(statistics: DataFrame, targets: DataFrame, keys: list[str], payload: list[str], reach: float | Column) -> DataFrame:
     """Blocks of targets with the blocks of statistics within reach: (keys, targets, sources).
 
-    Source blocks are copied to the target tiles within the kernel's exact reach and met by an equi-join.
+    Source blocks are copied to the target tiles within the kernel's exact reach and met by an equi-join. The reach may be
+    a column over the keys.
     """
-    tile = max(reach / 2, 1e-6)
+    tile = F.greatest((reach if isinstance(reach, Column) else F.lit(float(reach))) / 2, F.lit(1e-6))
     # The statistics are re-tiled per target tile, so blocks stay as bounded as the station tiles.
     sources = source_blocks(statistics, keys, "station", payload, tile, rows=128)
 
@@ -53,7 +54,7 @@ def _pairs(statistics: DataFrame, targets: DataFrame, keys: list[str], payload:
 
 def _weighted_sums(
     statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidth: float, time: bool = False,
-    leave_out: bool = False, reach: float | None = None,
+    leave_out: bool = False, reach: float | Column | None = None,
 ) -> DataFrame:
     """Kernel-weighted sum of the statistics at every target station: (keys, target, moments).
 
@@ -64,7 +65,7 @@ def _weighted_sums(
 
 def _weighted_parts(
     statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidths: Sequence[float], time: bool, leave_out: bool,
-    reach: float | None,
+    reach: float | Column | None,
 ) -> DataFrame:
     """One weighted sum per bandwidth, target and block of statistics; all bandwidths share one pairing."""
     share = SPACE_SHARE if time else 1.0
@@ -134,15 +135,17 @@ def gtwr(
 def _timed_parts(
     statistics: DataFrame, slots: DataFrame, time: str, bandwidths: Sequence[float], leave_out: bool,
 ) -> DataFrame:
-    """Weighted sums per bandwidth and (station, hour of the week), lag by lag within the widest bandwidth's reach."""
-    parts = None
-    for lag, reach in enumerate(lag_reaches(max(bandwidths))):
-        copied = (statistics.withColumn("dt", F.explode(F.array(*[F.lit(d) for d in sorted({-lag, lag})])))
-                  .withColumns({time: F.col(time) + F.col("dt"), "dt": F.col("dt").cast("double")})
-                  .where(F.col(time).between(1, 168)))
-        part = _weighted_parts(copied, slots, [time], bandwidths, True, leave_out, reach)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Weighted sums per bandwidth and (station, hour of the week), for each lag within the widest bandwidth's reach."""
+    reaches = lag_reaches(max(bandwidths))
+    lags = F.sequence(F.lit(0), F.lit(len(reaches) - 1))
+    # The lag is a key of the pairing, so all lags are one join, each with tiles of its own size.
+    ahead = statistics.withColumn("_lag", F.explode(lags)).withColumn(
+        "dt", F.explode(F.array_distinct(F.array(F.col("_lag"), -F.col("_lag")))))
+    copied = (ahead.withColumns({time: F.col(time) + F.col("dt"), "dt": F.col("dt").cast("double")})
+              .where(F.col(time).between(1, 168)))
+    wanted = slots.withColumn("_lag", F.explode(lags))
+    reach = F.element_at(F.array(*[F.lit(v) for v in reaches]), F.col("_lag") + 1)
+    return _weighted_parts(copied, wanted, [time, "_lag"], bandwidths, True, leave_out, reach)
 
 
 def lag_reaches(bandwidth: float) -> list[float]:

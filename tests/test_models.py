@@ -197,6 +197,103 @@ def test_bandwidth_cv_brute_force(regression_rows):
         assert error == pytest.approx(total, rel=1e-8)
 
 
+def _timed_table(df):
+    timed = df.withColumn("time", (F.pmod(F.monotonically_increasing_id(), F.lit(6)) + 1).cast("int")).checkpoint()
+    t = timed.toPandas()
+    return timed, t, np.column_stack([np.ones(len(t)), t["a"]]), t["y"].to_numpy()
+
+
+def test_timed_bandwidth_cv_brute_force(regression_rows):
+    """Every (station, hour) cell under the coefficients that all other stations give it."""
+    timed, t, x, y = _timed_table(regression_rows[1])
+    got = {r["bandwidth"]: r["cv_error"] for r in spatial_regression.bandwidth_cv(timed, "y", ["a"], [0.3, 0.6], time="time").collect()}
+    assert set(got) == {0.3, 0.6}
+    for h, error in got.items():
+        total = 0.0
+        for (name, hour), part in t.groupby(["station", "time"]):
+            space = np.hypot(t["lon"] - part["lon"].iloc[0], t["lat"] - part["lat"].iloc[0])
+            d = (np.sqrt(0.05 * space) + np.sqrt(0.95 * np.abs(t["time"] - hour))) ** 2
+            w = np.where(t["station"] == name, 0.0, np.exp(-0.5 * (d / h) ** 2))
+            b = np.linalg.solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ y)
+            own = ((t["station"] == name) & (t["time"] == hour)).to_numpy()
+            total += ((y[own] - x[own] @ b) ** 2).sum()
+        assert error == pytest.approx(total, rel=1e-7)
+
+
+def test_bandwidth_search_narrows_around_the_best(regression_rows):
+    _, df = regression_rows
+    rounds = {}
+    for r in spatial_regression.bandwidth_search(df, "y", ["a"], 0.1, 3.0, points=4, rounds=3).collect():
+        rounds.setdefault(r["round"], []).append((r["bandwidth"], r["cv_error"]))
+    low, high = 0.1, 3.0
+    for n in (1, 2, 3):
+        found = sorted(rounds[n])
+        assert [h for h, _ in found] == pytest.approx([low * (high / low) ** (i / 3) for i in range(4)])
+        alone = {r["bandwidth"]: r["cv_error"] for r in spatial_regression.bandwidth_cv(df, "y", ["a"], [h for h, _ in found]).collect()}
+        assert [e for _, e in found] == pytest.approx([alone[h] for h, _ in found])
+        best = min(range(4), key=lambda i: found[i][1])
+        low, high = found[max(best - 1, 0)][0], found[min(best + 1, 3)][0]
+    with pytest.raises(ValueError):
+        spatial_regression.bandwidth_search(df, "y", ["a"], 1.0, 0.5)
+
+
+def test_narrow_candidates_do_not_lose_stations(regression_rows):
+    """Without any weight a station counts with its whole sum of squares, so a narrow bandwidth can't win by it."""
+    table, df = regression_rows
+    got = {r["bandwidth"]: r["cv_error"] for r in spatial_regression.bandwidth_cv(df, "y", ["a"], [1e-4, 1.0]).collect()}
+    assert got[1e-4] == pytest.approx((table["y"] ** 2).sum()) and got[1.0] < got[1e-4]
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_daily_coefficients_brute_force(regression_rows, every):
+    table, df = regression_rows
+    spread = table.assign(day=pd.Timestamp("2024-02-27") + pd.to_timedelta(table.groupby("station").cumcount() // 25, unit="D"))
+    rows = df.sparkSession.createDataFrame(spread).withColumn("ts", F.col("day").cast("timestamp"))
+    places = df.select("station", "lon", "lat").distinct()
+    got = spatial_regression.daily_coefficients(rows, places, "y", ["a"], 0.3, window=2, every=every).collect()
+    first, last = spread["day"].min() + pd.Timedelta(days=1), spread["day"].max() + pd.Timedelta(days=2)
+    days = [d for d in pd.date_range(first, last) if (d - pd.Timestamp("1970-01-01")).days % every == 0]
+    assert sorted({pd.Timestamp(r["day"]) for r in got}) == days and len(got) == 5 * len(days)
+    for r in got:
+        own = table[table["station"] == r["station"]].iloc[0]
+        day = pd.Timestamp(r["day"])
+        part = spread[(spread["day"] < day) & (spread["day"] >= day - pd.Timedelta(days=2))]
+        x, y = np.column_stack([np.ones(len(part)), part["a"]]), part["y"].to_numpy()
+        w = np.exp(-0.5 * ((part["lon"] - own["lon"]) ** 2 + (part["lat"] - own["lat"]) ** 2) / 0.09).to_numpy()
+        assert np.allclose(r["coefficients"], np.linalg.solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ y), atol=1e-8)
+
+
+def test_local_fill_takes_the_newest_table(spark, panel, panel_frame):
+    """Hours before the first table stay empty, and so does a station without any; the next hour's value is used where known."""
+    rng = np.random.default_rng(4)
+    days = ["2024-03-27", "2024-03-30", "2024-04-02"]
+    made = [(s, d, [float(rng.uniform(5, 9)), float(rng.uniform(0.2, 0.6))]) for s in ("A001", "B002") for d in days]
+    tables = spark.createDataFrame(made, "station string, d string, coefficients array<double>").select(
+        "station", F.to_date("d").alias("day"), "coefficients")
+    later = spark.createDataFrame([("A001", [1.0, 0.5, 0.4])], "station string, coefficients array<double>")
+    rows = P.add_leads(P.add_lags(panel, "x", ["station"], lags=(1,)), "x", ["station"], leads=(1,)).withColumn("day", F.to_date("ts"))
+    forward = (later, F.array(F.lit(1.0), F.col("x_lag1"), F.col("x_lead1")), F.col("x_lead1").isNotNull())
+    got = recursion.local_fill(rows, ["station"], "ts", "x", F.array(F.lit(1.0), F.col("x_lag1")), {1: 1}, tables,
+                               at="day", newest=True, forward=forward).toPandas()
+    assert len(got) == len(panel_frame)
+    by = {}
+    for s, d, b in made:
+        by.setdefault(s, []).append((pd.Timestamp(d), b))
+    for name, part in panel_frame.groupby("station"):
+        raw, hours = part["x"].to_numpy(), part["ts"].to_list()
+        want = raw.copy()
+        for i in range(len(want)):
+            if np.isnan(want[i]) and i and not np.isnan(want[i - 1]):
+                old = [b for d, b in by.get(name, []) if d <= hours[i].normalize()]
+                if name == "A001" and i + 1 < len(raw) and not np.isnan(raw[i + 1]):
+                    want[i] = 1.0 + 0.5 * want[i - 1] + 0.4 * raw[i + 1]
+                elif old:
+                    want[i] = old[-1][0] + old[-1][1] * want[i - 1]
+        mine = got[got["station"] == name].sort_values("ts")["x"].to_numpy(dtype=float)
+        assert np.allclose(mine, want, equal_nan=True)
+        assert np.isnan(want).sum() < np.isnan(raw).sum() or name == "C003"
+
+
 def test_recursive_fill_brute_force(panel, panel_frame):
     rows = P.add_lags(panel, "x", ["station"], lags=(1, 2))
     x = F.array(F.lit(1.0), F.col("x_lag1"), F.col("x_lag2"))
