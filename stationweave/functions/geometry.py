@@ -7,6 +7,7 @@ zones that share a border tile the plane without overlap.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -140,7 +141,7 @@ def from_wkt(text: Column) -> Column:
 def _cross_section(edges_array: np.ndarray, x: float) -> np.ndarray:
     """Sorted heights where a vertical line meets the edges."""
     x1, y1, x2, y2 = edges_array.T
-    hit = (np.minimum(x1, x2) < x) & (x < np.maximum(x1, x2))
+    hit = (np.minimum(x1, x2) <= x) & (x < np.maximum(x1, x2))
     return np.sort(y1[hit] + (y2[hit] - y1[hit]) * (x - x1[hit]) / (x2[hit] - x1[hit]))
 
 
@@ -151,10 +152,10 @@ def _shared_length(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.clip(high - low, 0.0, None).sum())
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Area shared by two edge sets: exact per vertical slab, as no edges cross inside a slab."""
-    left = max(min(a[:, 0].min(), a[:, 2].min()), min(b[:, 0].min(), b[:, 2].min()))
-    right = min(max(a[:, 0].max(), a[:, 2].max()), max(b[:, 0].max(), b[:, 2].max()))
+def _overlap(a: np.ndarray, b: np.ndarray, low: float = -math.inf, high: float = math.inf) -> float:
+    """Area shared by two edge sets between ``low`` and ``high``: exact per vertical slab, as no edges cross inside a slab."""
+    left = max(min(a[:, 0].min(), a[:, 2].min()), min(b[:, 0].min(), b[:, 2].min()), low)
+    right = min(max(a[:, 0].max(), a[:, 2].max()), max(b[:, 0].max(), b[:, 2].max()), high)
     if left >= right:
         return 0.0
     da, db = a[:, 2:] - a[:, :2], b[:, 2:] - b[:, :2]
@@ -175,13 +176,12 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Shared area of two edge arrays flattened to [x1,y1,x2,y2,...], in the units of the coordinates."""
-    return pd.Series([_overlap(np.asarray(p, float).reshape(-1, 4), np.asarray(q, float).reshape(-1, 4))
-                      for p, q in zip(a, b, strict=True)], dtype=float)
+def overlap_area(a: pd.Series, b: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    """Area that two edge arrays, each flattened to [x1,y1,x2,y2,...], share between two verticals."""
+    return pd.Series([_overlap(np.asarray(p, float).reshape(-1, 4), np.asarray(q, float).reshape(-1, 4), x0, x1)
+                      for p, q, x0, x1 in zip(a, b, low, high, strict=True)], dtype=float)
 
 
-def equal_area_edges(rings: Column) -> Column:
-    """Edges mapped to (longitude, sine of latitude) in radians and flattened for overlap_area."""
-    return F.flatten(F.transform(edges(rings), lambda e: F.array(
-        F.radians(e["x1"]), F.sin(F.radians(e["y1"])), F.radians(e["x2"]), F.sin(F.radians(e["y2"])))))
+def equal_area_edge(e: Column) -> Column:
+    """An edge mapped to (longitude, sine of latitude) in radians and flattened for overlap_area."""
+    return F.array(F.radians(e["x1"]), F.sin(F.radians(e["y1"])), F.radians(e["x2"]), F.sin(F.radians(e["y2"])))

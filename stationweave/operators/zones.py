@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from stationweave.functions import geometry
 from stationweave.operators.stations import slice_max
@@ -13,6 +13,8 @@ from stationweave.operators.stations import slice_max
 CELL_DEGREES = 1.0
 # Degrees added to a cell's sides where edges are dealt to it, for rounding.
 EDGE_SLACK = 1e-9
+# Edges of one zone that a slab should hold at most where a column is cut into slabs.
+SLAB_EDGES = 256
 
 
 def prepare_zones(zones: DataFrame) -> DataFrame:
@@ -121,24 +123,65 @@ def zones_intersecting(zones: DataFrame, polygon: Sequence[geometry.Point]) -> D
             .select(*[c for c in zones.columns]))
 
 
-def zone_largest_overlap(fine: DataFrame, coarse: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """For every fine zone the coarse zone sharing the largest area with it (km2); smallest id on a tie."""
-    def packed(zones: DataFrame, name: str) -> DataFrame:
-        ready = zones if "box" in zones.columns else prepare_zones(zones)
-        return ready.select(F.col("zone_id").alias(name), "box",
-                            geometry.equal_area_edges(F.col("rings")).alias(f"_{name}"))
-    left = _covering(packed(fine, "zone_id"), cell).withColumnRenamed("box", "_box")
-    right = _covering(packed(coarse, "parent_id"), cell)
+def _column_edges(zones: DataFrame, name: str, cell: float) -> DataFrame:
+    """One row per edge and grid column that it touches. Vertical edges bound no area and are left out."""
+    edge = F.explode(geometry.edges(F.col("rings"))).alias("_e")
+    low, high = F.least("_e.x1", "_e.x2"), F.greatest("_e.x1", "_e.x2")
+    return (zones.select(F.col("zone_id").alias(name), edge).where(F.col("_e.x1") != F.col("_e.x2"))
+            .withColumn("_cx", F.explode(F.sequence(F.floor((low - EDGE_SLACK) / cell), F.floor((high + EDGE_SLACK) / cell)))))
+
+
+def _slab_edges(rows: DataFrame, grid: DataFrame, name: str, cell: float) -> DataFrame:
+    """Edges by zone and slab: (name, _cx, _k, edges as one flat array)."""
+    offset = F.col("_cx") * cell
+    width = F.lit(cell) / F.col("_slabs")
+
+    def slab(x: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("_slabs") - 1, F.floor((x - offset) / width)))
+    low, high = F.least("_e.x1", "_e.x2") - EDGE_SLACK, F.greatest("_e.x1", "_e.x2") + EDGE_SLACK
+    dealt = rows.join(grid, "_cx").withColumn("_k", F.explode(F.sequence(slab(low), slab(high))))
+    return (dealt.groupBy(name, "_cx", "_slabs", "_k")
+            .agg(F.flatten(F.collect_list(geometry.equal_area_edge(F.col("_e")))).alias(f"_{name}")))
+
+
+def zone_largest_overlap(
+    fine: DataFrame, coarse: DataFrame, cell: float = CELL_DEGREES, slab_edges: int = SLAB_EDGES,
+) -> DataFrame:
+    """For every fine zone the coarse zone sharing the largest area with it (km2); smallest id on a tie.
+
+    Grid columns are cut into vertical slabs, the more the more edges of one zone a column holds, and edges are dealt to
+    slabs. Zones whose boxes meet are compared slab by slab and the areas summed, so no outline is ever whole in one row;
+    only edges that run through the same slab are. Areas that agree to a square metre tie.
+    """
+    def boxes(zones: DataFrame, name: str) -> DataFrame:
+        return _covering(zones.select(F.col("zone_id").alias(name), geometry.bounds(F.col("rings")).alias("box")), cell)
+    left, right = boxes(fine, "zone_id").withColumnRenamed("box", "_box"), boxes(coarse, "parent_id")
     overlap = ((F.col("_box.x0") <= F.col("box.x1")) & (F.col("box.x0") <= F.col("_box.x1"))
                & (F.col("_box.y0") <= F.col("box.y1")) & (F.col("box.y0") <= F.col("_box.y1")))
     # A pair meets in every shared cell; keep the one cell holding the corner of the common box.
     home = ((F.col("_cx") == F.floor(F.greatest("_box.x0", "box.x0") / cell))
             & (F.col("_cy") == F.floor(F.greatest("_box.y0", "box.y0") / cell)))
-    pairs = left.join(right, ["_cx", "_cy"]).where(overlap & home)
-    scale = F.lit(geometry.EARTH_RADIUS_KM ** 2)
-    shared = pairs.select("zone_id", "parent_id",
-                          (geometry.overlap_area("_zone_id", "_parent_id") * scale).alias("area_km2"))
-    return slice_max(shared.where(F.col("area_km2") > 0), ["zone_id"], "area_km2", ["parent_id"])
+    pairs = left.join(right, ["_cx", "_cy"]).where(overlap & home).select("zone_id", "parent_id")
+
+    ours, theirs = _column_edges(fine, "zone_id", cell), _column_edges(coarse, "parent_id", cell)
+    sizes = [e.groupBy(n, "_cx").agg(F.count(F.lit(1)).alias("_n")).select("_cx", "_n")
+             for e, n in ((ours, "zone_id"), (theirs, "parent_id"))]
+    # One row per column of the globe.
+    grid = sizes[0].unionByName(sizes[1]).groupBy("_cx").agg(F.ceil(F.max("_n") / slab_edges).alias("_slabs"))
+    met = (pairs.join(_slab_edges(ours, grid, "zone_id", cell), "zone_id")
+           .join(_slab_edges(theirs, grid, "parent_id", cell), ["parent_id", "_cx", "_slabs", "_k"]))
+
+    def border(k: Column) -> Column:
+        """The same expression for the end of a slab and the start of the next."""
+        return F.radians(F.col("_cx") * cell + k * cell / F.col("_slabs"))
+    end = F.when(F.col("_k") + 1 == F.col("_slabs"), F.radians((F.col("_cx") + 1) * cell)).otherwise(border(F.col("_k") + 1))
+    shared = met.select("zone_id", "parent_id", (geometry.overlap_area("_zone_id", "_parent_id", border(F.col("_k")), end)
+                                                 * F.lit(geometry.EARTH_RADIUS_KM ** 2)).alias("_km2"))
+    # Decimals add up to the same sum in any order.
+    total = F.sum(F.col("_km2").cast("decimal(26,15)")).cast("double")
+    areas = shared.where(F.col("_km2") > 0).groupBy("zone_id", "parent_id").agg(total.alias("area_km2"))
+    ranked = areas.where(F.col("area_km2") > 0).withColumn("_area", F.round("area_km2", 6))
+    return slice_max(ranked, ["zone_id"], "_area", ["parent_id"]).drop("_area")
 
 
 def country_name_lookup(zones: DataFrame) -> DataFrame:

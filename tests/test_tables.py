@@ -167,6 +167,59 @@ def test_overlap_area_of_triangles():
     assert geometry._overlap(square, edge([(5, 5), (6, 5), (5, 6)])) == 0.0
 
 
+def _ring_area(ring):
+    """Area in km2 of a ring after the equal-area map, by the shoelace."""
+    x, y = np.radians([p[0] for p in ring]), np.sin(np.radians([p[1] for p in ring]))
+    return abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2 * geometry.EARTH_RADIUS_KM ** 2
+
+
+def _zones_of_rings(spark, rings):
+    rows = [(name, [[(float(x), float(y)) for x, y in [*ring, ring[0]]] for ring in parts]) for name, parts in rings]
+    return spark.createDataFrame(rows, "zone_id string, rings array<array<struct<x:double,y:double>>>")
+
+
+@pytest.mark.parametrize("slab_edges", [1, 3, 256])
+def test_overlap_by_slabs_equals_the_whole_outlines(spark, slab_edges):
+    rng = np.random.default_rng(3)
+
+    def star(cx, cy, n=23):
+        turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        far = rng.uniform(0.2, 1.3, n)
+        return list(zip(cx + far * np.cos(turn), cy + far * np.sin(turn), strict=True))
+    # The third coarse zone has a hole; two are equal, so the smaller id wins.
+    fine = [(f"F{i}", [star(rng.uniform(-1, 3), rng.uniform(-1, 3))]) for i in range(6)]
+    coarse = [("C0", [star(0, 0)]), ("C1", [star(2, 1), [(6, 6), (7, 6), (7, 7)]]),
+              ("C2", [[(-2, -2), (4, -2), (4, 4), (-2, 4)], [(0, 0), (1.5, 0), (1.5, 1.5), (0, 1.5)]])]
+    coarse.append(("C3", coarse[2][1]))
+    got = {r["zone_id"]: (r["parent_id"], r["area_km2"]) for r in zones.zone_largest_overlap(
+        _zones_of_rings(spark, fine), _zones_of_rings(spark, coarse), slab_edges=slab_edges).collect()}
+
+    def flat(parts):
+        return np.array([[np.radians(a[0]), np.sin(np.radians(a[1])), np.radians(b[0]), np.sin(np.radians(b[1]))]
+                         for ring in parts for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)])
+    for name, parts in fine:
+        areas = [(geometry._overlap(flat(parts), flat(other)) * geometry.EARTH_RADIUS_KM ** 2, c) for c, other in coarse]
+        best = max(a for a, _ in areas)
+        assert got[name][0] == min(c for a, c in areas if a > best - 1e-7) and got[name][1] == pytest.approx(best, abs=1e-6)
+
+
+def test_overlap_of_an_outline_of_30000_edges(spark, monkeypatch):
+    """A fine outline and two halves: areas by the shoelace; no slab holds more than a small part of the edges."""
+    n = 30_000
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    far = 0.8 + 0.05 * np.sin(60 * turn)
+    ring = list(zip(0.9 + far * np.cos(turn), 45.3 + far * np.sin(turn), strict=True))
+    fine = _zones_of_rings(spark, [("round", [ring])])
+    coarse = _zones_of_rings(spark, [("all", [[(-3, 40), (5, 40), (5, 50), (-3, 50)]]), ("west", [[(-3, 40), (0.5, 40), (0.5, 50), (-3, 50)]])])
+    row = zones.zone_largest_overlap(fine, coarse).first()
+    assert row["parent_id"] == "all" and row["area_km2"] == pytest.approx(_ring_area(ring), rel=1e-9)
+    edges = zones._column_edges(fine, "zone_id", 1.0)
+    grid = edges.groupBy("_cx").agg(F.ceil(F.count(F.lit(1)) / 256).alias("_slabs"))
+    held = zones._slab_edges(edges, grid, "zone_id", 1.0).agg(F.max(F.size("_zone_id") / 4), F.sum(F.size("_zone_id") / 4)).first()
+    # The outline turns back at its sides, where a slab holds most edges.
+    assert held[0] < n / 10 and held[1] < 1.1 * n
+
+
 def test_bounds_warn_when_inner_is_not_finer(spark):
     zs = zone_rows(spark, [("XX1", 0.0, 0.0, 1.0, 1.0)], 1)
     with pytest.warns(UserWarning):
