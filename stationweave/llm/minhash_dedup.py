@@ -84,11 +84,16 @@ def features(docs: DataFrame, id_column: str, text_column: str, size: int, k: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t, size) for t in batch.column(1).to_pylist()]
+            # One text and one whole set at a time; a copied slice doesn't hold its set.
+            lengths, prints, sketches = [], [], []
+            for text in batch.column(1):
+                whole = shingle_hashes(text.as_py(), size)
+                lengths.append(len(whole))
+                prints.append(fingerprint(whole))
+                sketches.append(whole[:k].copy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([fingerprint(s) for s in sets], pa.string()),
-                 _lists([s[:k] for s in sets])], names=["_id", "_hash", "_n", "_set", "_sketch"])
+                [batch.column(0), batch.column(2), pa.array(lengths, pa.int64()), pa.array(prints, pa.string()), _lists(sketches)],
+                names=["_id", "_hash", "_n", "_set", "_sketch"])
 
     return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t"), F.xxhash64(text_column).alias("_h")).mapInArrow(
         run, f"_id {kind.simpleString()}, _hash long, _n long, _set string, _sketch array<long>")
