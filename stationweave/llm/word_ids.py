@@ -21,10 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words whose ids a worker remembers; beyond it those go that came up in one batch only since the last clearing.
-MEMO_WORDS = 700_000
+# Words whose ids a worker remembers, before those of a batch; beyond it the half goes that came up in the fewest batches.
+MEMO_WORDS = 400_000
+# Bytes of those words; beyond it all go, as words so long seldom come again.
+MEMO_BYTES = 32 << 20
 # Texts are worked on in batches of about so many bytes; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+# Texts that are encoded whole are handed to the tokenizer about so many bytes at a time, as it returns far more than ids.
+WHOLE_BYTES = 1 << 18
 
 
 def _visible(char: str) -> bool:
@@ -60,9 +64,10 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
+        # Words by number, as one Arrow array: a few bytes a word beside its letters.
+        self.memo = pa.array([], pa.string())
         self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = np.zeros(0, bool)
+        self.used = np.zeros(0, np.uint32)
         self.pool = np.zeros(0, np.uint32)
 
     def _direct(self, texts: list[str]) -> list[list[int]]:
@@ -80,16 +85,16 @@ class WordEncoder:
         return np.diff(ends, prepend=-1) - 1, np.delete(ids, ends)
 
     def _shrink(self) -> None:
-        """Keep the words met since the last time, if that is less than half of the memo."""
-        kept = np.flatnonzero(self.used)
-        if 2 * len(kept) > MEMO_WORDS:
+        """Keep the half of the memo's bound that came up in the most batches, of equal ones the newer; old batches count half."""
+        if self.memo.nbytes > MEMO_BYTES:
             return self._clear()
-        words = list(self.memo)
+        order = np.lexsort((np.arange(len(self.used)), self.used))
+        kept = np.sort(order[max(0, len(order) - MEMO_WORDS // 2):])
         pool = self._gather(kept)
         self.lengths = self.lengths[kept]
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.memo = {words[i]: k for k, i in enumerate(kept.tolist())}
-        self.pool, self.used = pool, np.zeros(len(kept), bool)
+        self.memo = self.memo.take(pa.array(kept))
+        self.pool, self.used = pool, self.used[kept] >> 1
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of words by number, one run after another."""
@@ -98,18 +103,14 @@ class WordEncoder:
         shift = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
         return self.pool[shift + np.arange(len(shift))]
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """The memo's number of each distinct word, which is encoded if it is new."""
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        if new:
-            lengths, ids = self._words(new)
-            starts = len(self.pool) + np.cumsum(lengths) - lengths
-            self.pool = np.concatenate([self.pool, ids])
-            self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
-            self.used = np.concatenate([self.used, np.zeros(len(new), bool)])
-            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+    def _learn(self, words: pa.Array) -> None:
+        """Number words that the memo doesn't hold and keep their ids."""
+        lengths, ids = self._words(words.to_pylist())
+        starts = len(self.pool) + np.cumsum(lengths) - lengths
+        self.pool = np.concatenate([self.pool, ids])
+        self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.uint32)])
+        self.memo = pa.concat_arrays([self.memo, words])
 
     def _split(self, texts: pa.Array) -> pa.ListArray:
         """The words of each text."""
@@ -126,23 +127,40 @@ class WordEncoder:
             whole |= pc.match_substring(texts, part, ignore_case=part != _CUT).to_numpy(zero_copy_only=False)
         return whole
 
+    def _uncut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of texts encoded whole."""
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for part in batches_of_bytes([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, WHOLE_BYTES):
+            found = self._direct(part.column(0).to_pylist())
+            counts.append(np.array([len(x) for x in found], np.int64))
+            ids += [np.array(x, np.uint32) for x in found]
+        return np.concatenate(counts), np.concatenate(ids)
+
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts and ids of texts that may be cut, and which texts may not; if there are any, the rest is empty."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.memo.nbytes > MEMO_BYTES:
             self._shrink()
         split = self._split(texts)
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = split.flatten().dictionary_encode()
-        distinct, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, places = coded.dictionary, coded.indices.to_numpy()
+        found = pc.index_in(distinct, value_set=self.memo)
+        numbers = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = numbers < 0
+        new = distinct.filter(pa.array(unknown))
         if self.cut == "spaces":
-            odd = np.array([w[:1] == " " and not _visible(w[1:2]) for w in distinct], bool)
+            # The memo holds no odd word: texts with one are never numbered.
+            odd = unknown.copy()
+            odd[unknown] = [w[:1] == " " and not _visible(w[1:2]) for w in new.to_pylist()]
             if odd.any():
                 uncut = np.diff(np.concatenate([[0], np.cumsum(odd[places])])[offsets]) > 0
                 return np.zeros(0, np.int64), np.zeros(0, np.uint32), uncut
-        known = len(self.memo)
-        numbers = self._numbers(distinct)[places]
-        self.used[numbers[numbers < known]] = True
+        if len(new):
+            numbers[unknown] = len(self.memo) + np.arange(len(new))
+            self._learn(new)
+        self.used[numbers] += 1
+        numbers = numbers[places]
         ends = np.concatenate([[0], np.cumsum(self.lengths[numbers])])[offsets]
         return np.diff(ends), self._gather(numbers), np.zeros(len(texts), bool)
 
@@ -160,15 +178,14 @@ class WordEncoder:
                 if not whole.any() and not uncut.any():
                     return counts, ids
                 whole[np.flatnonzero(~whole)[uncut]] = True
-        direct = self._direct(texts.filter(pa.array(whole)).to_pylist())
         counts = np.zeros(len(texts), np.int64)
-        counts[whole] = [len(x) for x in direct]
+        counts[whole], direct = self._uncut(texts.filter(pa.array(whole)))
         rest = np.zeros(0, np.uint32)
         if not whole.all():
             counts[~whole], rest, _ = self._by_words(texts.filter(pa.array(~whole)))
         ids = np.zeros(int(counts.sum()), np.uint32)
         from_whole = np.repeat(whole, counts)
-        ids[from_whole] = np.fromiter((i for x in direct for i in x), np.uint32, int(counts[whole].sum()))
+        ids[from_whole] = direct
         ids[~from_whole] = rest
         return counts, ids
 

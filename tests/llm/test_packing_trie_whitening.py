@@ -46,6 +46,41 @@ def test_word_memo_is_bounded(monkeypatch):
         assert len(encoder.memo) < 50 + 40
 
 
+def test_word_memo_takes_few_bytes_a_word(monkeypatch):
+    import tracemalloc
+    encoder = word_ids.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), "spaces")
+    texts = [pa.array([" ".join(f"{k * 7919 % 1000003}q" for k in range(i, i + 5000))]) for i in range(0, 100000, 5000)]
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for text in texts:
+        encoder.encode(text)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(encoder.memo) >= 100000 and held < 80 * len(encoder.memo)
+    # Words of many bytes are bounded by their bytes.
+    monkeypatch.setattr(word_ids, "MEMO_BYTES", 20000)
+    for i in range(40):
+        text = f"{i:03d}" + "ab" * 2000
+        assert encoder.encode(pa.array([text]))[1].tolist() == encoder._direct([text])[0]
+        assert encoder.memo.nbytes < 20000 + 5000
+
+
+def test_word_memo_keeps_common_words(monkeypatch):
+    monkeypatch.setattr(word_ids, "MEMO_WORDS", 50)
+    encoder = word_ids.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), "blanks")
+    common = [f"c{k}x" for k in range(20)]
+    for i in range(30):
+        encoder.encode(pa.array([" ".join(common + [f"r{i}y{k}" for k in range(20)])]))
+        memo = set(encoder.memo if isinstance(encoder.memo, dict) else encoder.memo.to_pylist())
+        learnt = [w for w in common if w in memo]
+        calls = []
+        direct = encoder._direct
+        monkeypatch.setattr(encoder, "_direct", lambda texts, f=direct: calls.extend(texts) or f(texts))
+        encoder.encode(pa.array([" ".join(common)]))
+        monkeypatch.setattr(encoder, "_direct", direct)
+        assert len(learnt) == len(common) and not calls
+
+
 def test_batches_of_bytes_keep_all_rows():
     batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 7)), pa.array([("x" * (j * 5 % 23)) if j % 4 else None for j in range(i, i + 7)])],
                                           names=["i", "t"]) for i in range(0, 70, 7)]
