@@ -81,6 +81,18 @@ def test_word_memo_keeps_common_words(monkeypatch):
         assert len(learnt) == len(common) and not calls
 
 
+def test_whole_texts_reach_the_tokenizer_in_parts(monkeypatch):
+    encoder = word_ids.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), "blanks")
+    texts = [f"{k}{word_ids._CUT}" + "ab cd " * 10000 for k in range(20)]
+    direct = encoder._direct
+    expected = [i for text in texts for i in direct([text])[0]]
+    sizes = []
+    monkeypatch.setattr(encoder, "_direct", lambda part: sizes.append(sum(len(t.encode()) for t in part)) or direct(part))
+    counts, ids = encoder.encode(pa.array(texts))
+    assert ids.tolist() == expected and len(counts) == 20
+    assert max(sizes) <= (1 << 18) + 100000 < sum(sizes)
+
+
 def test_batches_of_bytes_keep_all_rows():
     batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 7)), pa.array([("x" * (j * 5 % 23)) if j % 4 else None for j in range(i, i + 7)])],
                                           names=["i", "t"]) for i in range(0, 70, 7)]
