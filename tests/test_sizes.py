@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
-QUERIES = ["effect_hour"]
+QUERIES = ["effect_hour", "effect_week"]
 
 
 @pytest.fixture(scope="module")
