@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
-QUERIES = ["effect_hour", "effect_week", "gap_length", "observation_gap", "boundary_fill"]
+QUERIES = ["effect_hour", "effect_week", "gap_length", "observation_gap", "boundary_fill", "effect_weekday"]
 
 
 @pytest.fixture(scope="module")
