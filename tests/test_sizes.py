@@ -7,7 +7,10 @@ import pytest
 import __spark_entry__
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
-QUERIES = ["effect_hour", "effect_week", "gap_length", "observation_gap", "boundary_fill", "effect_weekday"]
+QUERIES = [
+    "effect_hour", "effect_week", "gap_length", "observation_gap", "boundary_fill", "effect_weekday",
+    "peer_mean",
+]
 
 
 @pytest.fixture(scope="module")
