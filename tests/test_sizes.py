@@ -9,7 +9,7 @@ import __spark_entry__
 KINDS = ["click", "error", "purchase", "signup", "view"]
 QUERIES = [
     "effect_hour", "effect_week", "gap_length", "observation_gap", "boundary_fill", "effect_weekday",
-    "peer_mean", "sdem_station_weights", "sdem_global_weights",
+    "peer_mean", "sdem_station_weights", "sdem_global_weights", "impute_warmup",
 ]
 
 
