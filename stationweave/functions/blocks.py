@@ -34,7 +34,10 @@ def source_blocks(
     tiled = df.withColumns({"_tx": F.floor(F.col("lon") / tile), "_ty": F.floor(F.col("lat") / tile)})
     where = [*keys, "_tx", "_ty"]
     sizes = tiled.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
-    return (tiled.join(sizes, where)
+    for c in where:
+        tiled = tiled.where(F.col(c).isNotNull())
+    # Every row has its size; as a left join only the sizes can be broadcast, not rows whose number the optimizer can't see.
+    return (tiled.join(sizes, where, "left")
             .withColumn("_part", F.pmod(F.xxhash64(identity), F.col("_parts")))
             .groupBy(*where, "_part")
             .agg(F.collect_list(F.struct("lon", "lat", *payload)).alias("sources"),

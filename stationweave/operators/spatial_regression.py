@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
@@ -20,6 +21,9 @@ from stationweave.session import ensure_checkpoint_dir
 UNDERFLOW = math.sqrt(2 * 746.0)
 # Fixed value: share of the space distance in the space-time distance.
 SPACE_SHARE = 0.05
+# Hours of the week; places of a side that meet in one task, and that one matrix product takes.
+WEEK = 168
+GROUP_PLACES, BLOCK_PLACES = 2048, 128
 
 
 def station_moments(rows: DataFrame, keys: Sequence[str], target: str, features: Sequence[str]) -> DataFrame:
@@ -35,47 +39,42 @@ def _known(statistics: DataFrame) -> DataFrame:
 def _pairs(statistics: DataFrame, targets: DataFrame, keys: list[str], payload: list[str], reach: float | Column) -> DataFrame:
     """Blocks of targets with the blocks of statistics within reach: (keys, targets, sources).
 
-    Source blocks are copied to the target tiles within the kernel's exact reach and met by an equi-join. The reach may be
-    a column over the keys.
+    Target blocks, the lighter ones, are copied to the tiles within the kernel's exact reach and met by an equi-join. The
+    reach may be a column over the keys.
     """
     tile = F.greatest((reach if isinstance(reach, Column) else F.lit(float(reach))) / 2, F.lit(1e-6))
-    # The statistics are re-tiled per target tile, so blocks stay as bounded as the station tiles.
     sources = source_blocks(statistics, keys, "station", payload, tile, rows=128)
 
-    def tiles(low: str, high: str, margin: float) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(low) - margin) / tile), F.floor((F.col(high) + margin) / tile)))
-    spread = (sources.withColumn("_gx", tiles("lon0", "lon1", reach))
-              .withColumn("_gy", tiles("lat0", "lat1", reach)).select(*keys, "_gx", "_gy", "sources"))
+    def home(corner: str) -> Column:
+        return F.floor(F.col(corner) / tile)
+
+    def tiles(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(low) - reach) / tile), F.floor((F.col(high) + reach) / tile)))
+    known = sources.withColumns({"_gx": home("lon0"), "_gy": home("lat0")}).select(*keys, "_gx", "_gy", "sources")
     wanted = source_blocks(targets, keys, "station", ["station"], tile, rows=128)
-    wanted = (wanted.withColumns({"_gx": F.floor(F.col("lon0") / tile), "_gy": F.floor(F.col("lat0") / tile)})
+    spread = (wanted.withColumn("_gx", tiles("lon0", "lon1")).withColumn("_gy", tiles("lat0", "lat1"))
               .select(*keys, "_gx", "_gy", F.col("sources").alias("targets")))
-    return wanted.join(spread, [*keys, "_gx", "_gy"])
+    # Sizes seen by the optimizer leave out the copies, and what blocks hold: neither side is left to be broadcast by them.
+    return spread.hint("merge").join(known, [*keys, "_gx", "_gy"])
 
 
-def _weighted_sums(
-    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidth: float, time: bool = False,
-    leave_out: bool = False, reach: float | Column | None = None,
-) -> DataFrame:
+def _weighted_sums(statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidth: float) -> DataFrame:
     """Kernel-weighted sum of the statistics at every target station: (keys, target, moments).
 
     A block pair is one matrix product.
     """
-    return _array_sum(_weighted_parts(statistics, targets, keys, [bandwidth], time, leave_out, reach), [*keys, "station"])
+    return _array_sum(_weighted_parts(statistics, targets, keys, [bandwidth], False), [*keys, "station"])
 
 
 def _weighted_parts(
-    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidths: Sequence[float], time: bool, leave_out: bool,
-    reach: float | Column | None,
+    statistics: DataFrame, targets: DataFrame, keys: list[str], bandwidths: Sequence[float], leave_out: bool,
 ) -> DataFrame:
     """One weighted sum per bandwidth, target and block of statistics; all bandwidths share one pairing."""
-    share = SPACE_SHARE if time else 1.0
-    payload = ["station", "moments", *(["dt"] if time else [])]
-    pairs = _pairs(statistics, targets, keys, payload, UNDERFLOW * max(bandwidths) / share if reach is None else reach)
+    payload = ["station", "moments"]
+    pairs = _pairs(statistics, targets, keys, payload, UNDERFLOW * max(bandwidths))
 
     def kernel(t: dict, s: dict) -> dict:
         d = np.hypot(t["lon"][:, None] - s["lon"][None, :], t["lat"][:, None] - s["lat"][None, :])
-        if time:
-            d = (np.sqrt(share * d) + np.sqrt((1 - share) * np.abs(s["dt"])[None, :])) ** 2
         own = t["station"][:, None] == s["station"][None, :] if leave_out else None
         parts = []
         for h in bandwidths:
@@ -91,6 +90,12 @@ def _weighted_parts(
     return reduce_pairs(pairs, keys, ["lon", "lat", "station"], ["lon", "lat", *payload], kernel, fields)
 
 
+def _entry_sums(parts: DataFrame, keys: list[str], features: int) -> DataFrame:
+    """``_array_sum`` of packed systems with a row per part instead of one per entry."""
+    size = features * (features + 1) // 2 + features
+    return parts.groupBy(*keys).agg(F.array(*[F.sum(F.col("part")[i]) for i in range(size)]).alias("moments"))
+
+
 def _array_sum(parts: DataFrame, keys: list[str]) -> DataFrame:
     entries = parts.select(*keys, F.posexplode("part").alias("_at", "_v"))
     summed = entries.groupBy(*keys, "_at").agg(F.sum("_v").alias("_v"))
@@ -120,32 +125,162 @@ def gtwr(
 ) -> DataFrame:
     """Local coefficients per (station, hour of the week) with a kernel on space and time together.
 
-    The space-time distance is (sqrt(a * space) + sqrt((1 - a) * hours)) ** 2 with a = SPACE_SHARE. A statistic is
-    copied to the hours its weight can reach, and for each lag in hours only to the stations that the rest of the
-    distance still reaches (``lag_reaches``), so the pairs thin out as the hours grow apart.
+    The space-time distance is (sqrt(a * space) + sqrt((1 - a) * hours)) ** 2 with a = SPACE_SHARE. A lag in hours counts
+    only for the stations that the rest of the distance still reaches (``lag_reaches``), so the pairs thin out as the
+    hours grow apart.
     """
     statistics = station_moments(rows, ["station", time], target, features)
-    # A station's copies from different hours share its identity; each is its own row of a block.
     slots = targets.select("station", "lon", "lat").withColumn(
         time, F.explode(F.sequence(F.lit(1), F.lit(168))))
     parts = _timed_parts(statistics, slots, time, [bandwidth], leave_out=False)
-    return _array_sum(parts, [time, "station"]).select("station", time, solve_moments("moments").alias("coefficients"))
+    return _entry_sums(parts, [time, "station"], len(features) + 1).select("station", time, solve_moments("moments").alias("coefficients"))
 
 
 def _timed_parts(
     statistics: DataFrame, slots: DataFrame, time: str, bandwidths: Sequence[float], leave_out: bool,
 ) -> DataFrame:
-    """Weighted sums per bandwidth and (station, hour of the week), for each lag within the widest bandwidth's reach."""
+    """Weighted sums per bandwidth and (station, hour of the week), for each lag within the widest bandwidth's reach.
+
+    A place carries its whole week, so what is paired are places: all lags of a pair share its distance, and a statistic
+    isn't copied to the hours it reaches. Places of a tile meet in groups of bounded size, targets copied to the tiles
+    within the widest reach; a group of targets and one of statistics leave one partial row per target cell.
+    """
+    place, reach = ["station", "lon", "lat"], lag_reaches(max(bandwidths))[0]
+    tile = F.lit(max(reach / 2, 1e-6))
+    size = statistics.schema[time].dataType
+
+    def tiles(at: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(at) - reach) / tile), F.floor((F.col(at) + reach) / tile)))
+    sources = (statistics.where(F.col(time).isNotNull())
+               .groupBy(*place).agg(F.collect_list(F.struct(F.col(time).cast("long").alias("at"), "moments")).alias("cells"))
+               .withColumns({"_gx": F.floor(F.col("lon") / tile), "_gy": F.floor(F.col("lat") / tile)}))
+    targets = (slots.where(F.col(time).between(1, WEEK)).groupBy(*place)
+               .agg(F.collect_list(F.col(time).cast("long")).alias("slots"))
+               .withColumn("_gx", tiles("lon")).withColumn("_gy", tiles("lat")))
+
+    def groups(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("_gx", "_gy").agg(F.ceil(F.count(F.lit(1)) / GROUP_PLACES).alias(name))
+
+    # Their sizes say little about copied rows, so nothing here is left to be broadcast by them.
+    counts = groups(sources, "_sn").hint("merge").join(groups(targets, "_tn"), ["_gx", "_gy"])
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows with their own group, once for every group of the other side."""
+        return (rows.hint("merge").join(counts, ["_gx", "_gy"])
+                .withColumn(f"_{own}", F.pmod(F.xxhash64(*place), F.col(f"_{own}n")))
+                .withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}n") - 1)))
+                .drop("_sn", "_tn"))
+    keys = ["_gx", "_gy", "_t", "_s"]
+    widths = [float(h) for h in bandwidths]
+
+    def run(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        return _timed_sums(wanted, known, time, widths, leave_out)
+    schema = T.StructType([T.StructField("station", T.StringType()), T.StructField(time, T.LongType()),
+                           T.StructField("bandwidth", T.DoubleType()), T.StructField("part", T.ArrayType(T.DoubleType()))])
+    right = dealt(sources, "s", "t")
+    # Both sides may come from one table; new names keep them apart.
+    parts = (dealt(targets, "t", "s").groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys))
+             .applyInArrow(run, schema))
+    return parts.withColumn(time, F.col(time).cast(size))
+
+
+def _timed_sums(wanted: pa.Table, known: pa.Table, time: str, bandwidths: list[float], leave_out: bool) -> pa.Table:
+    """Weighted sums of a group of places with their cells at the cells of another group.
+
+    A target cell gets rows, one per bandwidth, if a cell of the group lies within its reach. Blocks of near places are one
+    matrix product per lag; lags whose reach ends before a pair of blocks are left out.
+    """
     reaches = lag_reaches(max(bandwidths))
-    lags = F.sequence(F.lit(0), F.lit(len(reaches) - 1))
-    # The lag is a key of the pairing, so all lags are one join, each with tiles of its own size.
-    ahead = statistics.withColumn("_lag", F.explode(lags)).withColumn(
-        "dt", F.explode(F.array_distinct(F.array(F.col("_lag"), -F.col("_lag")))))
-    copied = (ahead.withColumns({time: F.col(time) + F.col("dt"), "dt": F.col("dt").cast("double")})
-              .where(F.col(time).between(1, 168)))
-    wanted = slots.withColumn("_lag", F.explode(lags))
-    reach = F.element_at(F.array(*[F.lit(v) for v in reaches]), F.col("_lag") + 1)
-    return _weighted_parts(copied, wanted, [time, "_lag"], bandwidths, True, leave_out, reach)
+    lags = len(reaches) - 1
+    if not wanted.num_rows or not known.num_rows:
+        return _timed_table([], [], [], [], time)
+    t, s = _places(wanted), _places(known)
+    codes = pd.factorize(np.concatenate([t["station"], s["station"]]), use_na_sentinel=False)[0]
+    t["code"], s["code"] = codes[:len(t["lon"])], codes[len(t["lon"]):]
+    cells = known.column("cells").combine_chunks().take(pa.array(s["order"]))
+    flat = cells.flatten()
+    at, packed = flat.field("at").to_numpy(zero_copy_only=False), flat.field("moments")
+    moments = packed.flatten().to_numpy(zero_copy_only=False).reshape(len(packed), -1)
+    owner = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy(zero_copy_only=False))
+    slots = wanted.column("slots").combine_chunks().take(pa.array(t["order"]))
+    slot = slots.flatten().to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(slots)), slots.value_lengths().to_numpy(zero_copy_only=False))
+    q, out = moments.shape[1], ([], [], [], [])
+    use = (at >= 1 - lags) & (at <= WEEK + lags)
+    owner, at, moments = owner[use], at[use] - 1 + lags, moments[use]
+    blocks = []
+    for first in range(0, len(s["lon"]), BLOCK_PLACES):
+        n = min(BLOCK_PLACES, len(s["lon"]) - first)
+        mine = (owner >= first) & (owner < first + n)
+        # The week with the hours that lags reach on both sides.
+        week, there = np.zeros((n, WEEK + 2 * lags, q)), np.zeros((n, WEEK + 2 * lags), dtype=np.float32)
+        np.add.at(week, (owner[mine] - first, at[mine]), moments[mine])
+        there[owner[mine] - first, at[mine]] = 1
+        # One value that isn't finite would spoil a whole product.
+        odd = (~np.isfinite(week)).any(axis=2)
+        week[odd] = 0.0
+        blocks.append((slice(first, first + n), week, there, odd.astype(np.float32) if odd.any() else None))
+    for first in range(0, len(t["lon"]), BLOCK_PLACES):
+        rows = slice(first, min(first + BLOCK_PLACES, len(t["lon"])))
+        n = rows.stop - rows.start
+        sums, seen = np.zeros((len(bandwidths) * n, WEEK * q)), np.zeros((n, WEEK), dtype=bool)
+        bad = np.zeros((n, WEEK), dtype=bool)
+        for places, week, there, odd in blocks:
+            d = np.hypot(t["lon"][rows, None] - s["lon"][None, places], t["lat"][rows, None] - s["lat"][None, places])
+            own = t["code"][rows, None] == s["code"][None, places] if leave_out else None
+            nearest = d.min()
+            for lag, reach in enumerate(reaches):
+                if nearest > reach:
+                    break
+                within = (d <= reach).astype(np.float32)
+                seen |= within @ _around(there, lag, lags) > 0
+                if odd is not None:
+                    bad |= within @ _around(odd, lag, lags) > 0
+                far = (np.sqrt(SPACE_SHARE * d) + np.sqrt((1 - SPACE_SHARE) * lag)) ** 2
+                w = np.concatenate([np.exp(-0.5 * (far / h) ** 2) for h in bandwidths])
+                if own is not None:
+                    w[np.tile(own, (len(bandwidths), 1))] = 0.0
+                sums += w @ _around(week, lag, lags).reshape(len(week), -1)
+        sums = sums.reshape(len(bandwidths), n, WEEK, q)
+        sums[:, bad] = np.nan
+        mine = (of >= rows.start) & (of < rows.stop)
+        place, hour = of[mine], slot[mine] - 1
+        found = seen[place - first, hour]
+        place, hour = place[found], hour[found]
+        for i, h in enumerate(bandwidths):
+            out[0].append(t["station"][place])
+            out[1].append(hour + 1)
+            out[2].append(np.full(len(place), h))
+            out[3].append(sums[i, place - first, hour])
+    return _timed_table(*out, time)
+
+
+def _timed_table(stations: list, hours: list, bandwidths: list, sums: list, time: str) -> pa.Table:
+    """A batch per block and bandwidth."""
+    schema = pa.schema([("station", pa.string()), (time, pa.int64()), ("bandwidth", pa.float64()), ("part", pa.list_(pa.float64()))])
+    made = []
+    for a, b, c, v in zip(stations, hours, bandwidths, sums, strict=True):
+        ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
+        made.append(pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c), pa.ListArray.from_arrays(ends, pa.array(v.reshape(-1)))],
+            schema=schema))
+    return pa.Table.from_batches(made, schema)
+
+
+def _places(table: pa.Table) -> dict[str, np.ndarray]:
+    """Stations and coordinates with near places side by side: strips of longitude, each by latitude."""
+    lon, lat = (table.column(c).to_numpy().astype(float) for c in ("lon", "lat"))
+    strips = max(1, round(math.sqrt(len(lon) / BLOCK_PLACES)))
+    strip = np.argsort(np.argsort(lon, kind="stable"), kind="stable") * strips // len(lon)
+    order = np.lexsort((lat, strip))
+    return {"order": order, "station": np.array(table.column("station").to_pylist(), dtype=object)[order],
+            "lon": lon[order], "lat": lat[order]}
+
+
+def _around(week: np.ndarray, lag: int, lags: int) -> np.ndarray:
+    """What lies ``lag`` hours before and after each hour of the week."""
+    before = week[:, lags - lag:lags - lag + WEEK]
+    return before + week[:, lags + lag:lags + lag + WEEK] if lag else before
 
 
 def lag_reaches(bandwidth: float) -> list[float]:
@@ -180,25 +315,25 @@ def _cv_scores(statistics: DataFrame, p: int, candidates: Sequence[float], time:
     """One row per candidate, from one pairing of the statistics."""
     @F.pandas_udf(T.DoubleType())
     def error(coefficients: pd.Series, packed: pd.Series, yy: pd.Series) -> pd.Series:
-        out = []
-        for b, m, y2 in zip(coefficients, packed, yy, strict=True):
-            if b is None or m is None or y2 is None:
-                out.append(None)
-                continue
-            gram, right = unpack(np.asarray(m, float), p)
-            b = np.asarray(b, float)
-            out.append(float(y2 - 2 * b @ right + b @ gram @ b))
-        return pd.Series(out, dtype=float)
+        out = np.full(len(yy), np.nan)
+        use = (coefficients.notna() & packed.notna() & yy.notna()).to_numpy()
+        if use.any():
+            b, m = (np.array(c[use].tolist(), float) for c in (coefficients, packed))
+            gram, right = unpack(m, p)
+            out[use] = yy[use] - 2 * (b * right).sum(axis=1) + np.einsum("ni,nij,nj->n", b, gram, b)
+        return pd.Series(out).where(use, None)
 
     widths = sorted({float(h) for h in candidates})
     if time:
         cell = ["station", time]
         known = statistics.select(*cell, "lon", "lat", "moments")
         parts = _timed_parts(known, statistics.select(*cell, "lon", "lat"), time, widths, leave_out=True)
+        sums = _entry_sums(parts, ["bandwidth", *cell], p)
     else:
         cell = ["station"]
-        parts = _weighted_parts(statistics, statistics.select("station", "lon", "lat"), [], widths, False, True, None)
-    local = _array_sum(parts, ["bandwidth", *cell]).select("bandwidth", *cell, solve_moments("moments").alias("_b"))
+        parts = _weighted_parts(statistics, statistics.select("station", "lon", "lat"), [], widths, True)
+        sums = _array_sum(parts, ["bandwidth", *cell])
+    local = sums.select("bandwidth", *cell, solve_moments("moments").alias("_b"))
     return (local.join(statistics, cell).select("bandwidth", error("_b", "moments", "_yy").alias("_e"))
             .groupBy("bandwidth").agg(F.sum("_e").alias("cv_error")))
 

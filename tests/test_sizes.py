@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
 import __spark_entry__
+from stationweave.functions import linalg
+from stationweave.operators import evaluation, spatial_regression
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 QUERIES = [
@@ -37,3 +40,40 @@ def test_panel_frame_is_not_broadcast(spark, folder, name):
     found.collect()
     for joins in (before, frame_joins(found)):
         assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+def test_blocks_and_drawn_gaps_are_not_broadcast(spark):
+    """Blocks copied to tiles, and gaps that grow out of one row, look small to the optimizer."""
+    places = spark.createDataFrame([(f"S{i}", 10.0 + i / 100, 45.0, [1.0, 1.0]) for i in range(20)],
+                                   "station string, lon double, lat double, moments array<double>")
+    pairs = spatial_regression._pairs(places, places.select("station", "lon", "lat"), [], ["station", "moments"], 11.0)
+    joins = [x for x in pairs._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [_gx#" in x]
+    assert joins and not [x for x in joins if "Broadcast" in x]
+    observed = places.selectExpr("station", "timestamp'2024-01-01 00:00:00' as ts")
+    mask = evaluation.inject_gaps(observed, 2, 7)
+    joins = [x for x in mask._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [_index#" in x]
+    assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+def test_hours_of_a_week_are_not_copied_for_every_lag(spark):
+    """A place and its hours are one row where places meet, and leave one row per hour of the target and bandwidth."""
+    cells = spark.createDataFrame([(f"S{i}", 10.0 + i / 100, 45.0, h, [1.0 * h, 2.0]) for i in range(3) for h in range(1, 169)],
+                                  "station string, lon double, lat double, time int, moments array<double>")
+    parts = spatial_regression._timed_parts(cells, cells.drop("moments"), "time", [0.2, 0.45], leave_out=True)
+    assert parts.count() == 2 * 3 * 168
+
+
+def test_systems_solved_together_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        x = rng.normal(size=(6, 3))
+        if i % 5 == 0:
+            x[:, 2] = x[:, 1]
+        y, w = rng.normal(size=6), 0.0 if i == 7 else 1.0
+        gram = w * (x.T @ x)
+        rows.append(np.concatenate([gram[np.triu_indices(3)], w * (x.T @ y)]))
+    rows[9][0] = np.nan
+    for m, b in zip(rows, linalg.solve_many(np.array(rows)), strict=True):
+        alone = linalg.solve_packed(m)
+        assert (b is None) == (alone is None) and (b is None or np.allclose(b, alone, rtol=1e-12, atol=1e-14))
