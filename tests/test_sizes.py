@@ -8,6 +8,8 @@ import pytest
 import __spark_entry__
 from stationweave.functions import linalg
 from stationweave.operators import evaluation, spatial_regression
+from stationweave.plans import queries_models
+from stationweave.plans.binding import Tables
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 QUERIES = [
@@ -77,3 +79,19 @@ def test_systems_solved_together_equal_one_by_one():
     for m, b in zip(rows, linalg.solve_many(np.array(rows)), strict=True):
         alone = linalg.solve_packed(m)
         assert (b is None) == (alone is None) and (b is None or np.allclose(b, alone, rtol=1e-12, atol=1e-14))
+
+
+def test_panels_of_models_are_not_broadcast(spark, folder, monkeypatch):
+    """What the models' panel and the scoring of methods write down on the way; every model query starts from them."""
+    kind, seen = type(spark.range(1)), []
+    write = kind.checkpoint
+
+    def noted(self, *args, **options):
+        seen.extend(frame_joins(self))
+        return write(self, *args, **options)
+    monkeypatch.setattr(kind, "checkpoint", noted)
+    queries_models.complete_panel(Tables(spark, folder))
+    assert seen and not [x for x in seen if "Broadcast" in x]
+    seen.clear()
+    __spark_entry__.queries()["evaluate_imputation"](spark, folder)
+    assert seen and not [x for x in seen if "Broadcast" in x]
